@@ -41,7 +41,8 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int, id_col: str = "doc_i
         row = sequence
         for b in batches:
             n, first, crcs, rest_len, rest_crc, rest = [], [], [], [], [], []
-            for ids in encode([t or "" for t in b.column(1).to_pylist()]):
+            texts = b.column(1).to_pylist()
+            for ids in (x for i in range(0, len(texts), 500) for x in encode([t or "" for t in texts[i:i + 500]])):
                 ids = np.append(ids, np.uint16(end_id)).astype("<u2")
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 full = len(ids) // window
