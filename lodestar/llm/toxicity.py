@@ -14,7 +14,6 @@ both kinds scores 0 everywhere; repeated rows are scored each; an empty table gi
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fitted, labelled_sample
+
 HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 6, 4096
 WINDOW, STRIDE = 64, 48
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -253,34 +254,6 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(top.astype(np.float64), -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: str, per_class: int,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y): at most per_class labelled ids of each label that aren't held out, the smallest by a hash of the id.
-
-    The ids are chosen first, so that the texts are found by a join with a table of a bounded size, which is broadcast."""
-    own = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").where(
-        ~F.expr(held_out.format(id="id"))).groupBy("id").agg(F.max("y").alias("y"))
-    few = None
-    for k in (0, 1):
-        part = own.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        few = part if few is None else few.union(part)
-    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return got.join(F.broadcast(few), "id").select("id", "text", F.col("y").cast("int").alias("y"))
-
-
-def fitted(sample: DataFrame, fit) -> object:
-    """What fit(texts, labels) returns for a sample of a bounded size, run in one task; None if a label is missing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        y = [r[2] for r in rows]
-        model = fit([r[1] for r in rows], y) if len(set(y)) == 2 else None
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else None
-
-
 #: Rows that training must not see.
 HELD_OUT = "crc32(cast({id} as string)) % 5 = 0"
 
