@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_quality, packing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from . import compression_quality, packing, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, wrappers
 from .shared import table
 
 
@@ -25,6 +25,10 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.compression_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_compression_quality": op2_compression_quality,
+    "op3_wrappers": op3_wrappers,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
