@@ -1,76 +1,94 @@
-"""Byte-level BPE by the tokenizers library, with a cache of words.
+"""Encoding by the tokenizers library with a cache of words.
 
-A token of this pre-tokenizer never covers a non-blank character and the space after it, and nothing before such a place
-looks past it. So a text in which no space follows white space is split before each space, and the ids of a text are the
-ids of its parts. Parts not seen before are joined and encoded in one call; other texts are encoded whole."""
+Where no token covers a non-blank character and the space after it, and nothing before such a place looks past it, a text
+may be split before each space: its ids are the ids of its parts. Parts not seen before are joined, encoded in one call
+and told apart by the widths of their tokens; texts in which white space runs make the split unsafe are encoded whole."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
 _UNSAFE = re.compile(r"\s ")
-_HEAD = " "  # in place of a text's first part, which has no space before it; no part holds a space
+_HEAD = " "  # in place of a text's first part; no part holds a space
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, most: int = 1_000_000) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to arrays of unsigned 16-bit ids, without special tokens. It keeps `most` parts at most."""
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class WordCache:
+    """Texts to arrays of unsigned 16-bit ids. tokenizer: of the tokenizers library; width: bytes of text for each id;
+    space: bytes of a space; unsafe(text): it must be encoded whole; head: a text's first part has no space before it.
+    At most `most` parts are kept."""
 
-    tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
-    vocab = tk.get_vocab(with_added_tokens=True)
-    if max(vocab.values()) > 65535:
-        raise ValueError("ids of 16 bits only")
-    width = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in vocab.items():
-        width[i] = len(token)  # a byte of text is one character of a byte-level token
-    cache: dict[str, bytes] = {}
+    def __init__(self, tokenizer, width: np.ndarray, space: int, unsafe, head: bool, most: int = 1_000_000):
+        self.tokenizer, self.width, self.space, self.unsafe, self.head, self.most = tokenizer, width, space, unsafe, head, most
+        self.cache: dict[str, bytes] = {}
+        self.lead = " " if head else ""
 
-    def whole(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
         plain = [p for p in parts if p and not p[-1].isspace()]
         groups = [plain[at:at + 64] for at in range(0, len(plain), 64)]
-        for some, ids in zip(groups, whole([" " + " ".join(g) for g in groups])):
-            ends = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in some])
-            places = np.cumsum(width[ids])
+        for some, ids in zip(groups, self.whole([self.lead + " ".join(g) for g in groups])):
+            ends = np.cumsum([self.space + (len(p) if p.isascii() else len(p.encode())) for p in some])
+            places = np.cumsum(self.width[ids])
             cuts = np.searchsorted(places, ends)
             if len(places) and places[-1] == ends[-1] and (places[cuts] == ends).all():
                 raw, last = ids.tobytes(), 0
                 for p, c in zip(some, (2 * cuts + 2).tolist()):
-                    cache[p] = raw[last:c]
+                    self.cache[p] = raw[last:c]
                     last = c
             else:
-                cache.update(zip(some, (x.tobytes() for x in whole([" " + p for p in some]))))
-        odd = [p for p in parts if not p or p[-1].isspace()]
-        cache.update(zip(odd, (x.tobytes() for x in whole([" " + p for p in odd]))))
+                self._alone(some)
+        self._alone([p for p in parts if not p or p[-1].isspace()])
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(cache) > most:
-            cache.clear()
+    def _alone(self, parts: list[str]) -> None:
+        self.cache.update(zip(parts, (x.tobytes() for x in self.whole([self.lead + p for p in parts]))))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.cache) > self.most:
+            self.cache.clear()
         out: list[np.ndarray | None] = [None] * len(texts)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if not _UNSAFE.search(t)}
+        split = {i: t.split(" ") for i, t in enumerate(texts) if t and not self.unsafe(t)}
         rest = [i for i in range(len(texts)) if i not in split]
         new: set[str] = set()
         for parts in split.values():
             new.update(parts)
-        learn(list(new.difference(cache)))
-        heads = whole([parts[0] for parts in split.values()])
-        for (i, parts), head in zip(split.items(), heads):
-            parts[0] = _HEAD
-            cache[_HEAD] = head.tobytes()
-            out[i] = np.frombuffer(b"".join(map(cache.__getitem__, parts)), np.uint16)
-        for i, ids in zip(rest, whole([texts[i] for i in rest])):
+        self._learn(list(new.difference(self.cache)))
+        if self.head:
+            for parts, ids in zip(split.values(), self.whole([parts[0] for parts in split.values()])):
+                parts[0] = ids.tobytes()
+        get = self.cache.__getitem__
+        for i, parts in split.items():
+            if self.head:
+                self.cache[_HEAD], parts[0] = parts[0], _HEAD
+            out[i] = np.frombuffer(b"".join(map(get, parts)), np.uint16)
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = ids
         return out
 
-    return encode
+
+def one_thread_each() -> None:
+    """A task has one core; the tokenizers library would take all of the machine's."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> WordCache:
+    """For a byte-level BPE file of the tokenizers library, without special tokens."""
+    one_thread_each()
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(path)
+    tk.encode_special_tokens = True
+    vocab = tk.get_vocab(with_added_tokens=True)
+    if max(vocab.values()) > 65535:
+        raise ValueError("ids of 16 bits only")
+    width = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        width[i] = len(token)  # a byte of text is one character of a byte-level token
+    return WordCache(tk, width, 1, _UNSAFE.search, True)
