@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_quality, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, toxicity, wrappers
+from . import additive_search, compression_quality, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, toxicity, wrappers
 from .shared import table
 
 
@@ -41,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"))
 
 
+def op7_additive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_search.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return sentencepiece_codec.measured(table(spark, sf_dir, "documents"), model or vocabulary("piece_bpe_32k.model"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_additive_search": op7_additive_search,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
