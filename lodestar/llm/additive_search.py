@@ -192,7 +192,7 @@ def search_block(b: dict, books: np.ndarray, qid: np.ndarray, q: np.ndarray, k:
 
 
 def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sampled: int = 10000,
-            books: int = 8, words: int = 256, rerank: int = 256, batch_mb: int = 32) -> DataFrame:
+            books: int = 16, words: int = 256, rerank: int = 256, batch_mb: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row for which `is_query`, a condition on `id`, holds.
 
     Queries are broadcast in batches of at most batch_mb, each of which scans the index."""

@@ -171,18 +171,21 @@ def best(net: Network, px: np.ndarray, word_ids: list[np.ndarray], block: int =
 
 
 def train(texts: list[str], labels: list[int], vocabulary: int = 20000, steps: int = 400, batch: int = 48, rate: float = 0.01,
-          seed: int = 0) -> Network:
+          sure: float = 2.5, least: int = 250, seed: int = 0) -> Network:
     """Adam on the mean logistic loss of each text's highest window; classes weigh the same.
 
-    Word vectors start at zero but for their first entry, the log odds of a word's being in a text of label 1 (smoothed,
-    words of at least 3 texts), which only spares early steps."""
+    The vocabulary holds words of at least 3 texts whose log odds of being in a text of label 1 (smoothed) are at least
+    `sure` standard errors from 0, so that a small sample isn't learnt by heart. Word vectors start at zero but for their
+    first entry, those log odds, which spares early steps. Few texts get few steps: 8 rounds over the smaller class."""
     docs = [[normal(w) for w in t.split()] for t in texts]
     y = np.array(labels)
     seen = [Counter(w for d, v in zip(docs, y) if v == k for w in set(d)) for k in (0, 1)]
     size = [max(1, int((y == k).sum())) for k in (0, 1)]
     odds = {w: np.log((seen[1][w] + 0.5) / (size[1] + 1)) - np.log((seen[0][w] + 0.5) / (size[0] + 1))
             for w in {*seen[0], *seen[1]} if seen[0][w] + seen[1][w] >= 3}
-    words = sorted(odds, key=lambda w: (-abs(odds[w]), w))[:vocabulary]
+    error = lambda w: sum(1 / (seen[k][w] + 0.5) for k in (0, 1)) ** 0.5
+    words = sorted((w for w in odds if abs(odds[w]) >= sure * error(w)), key=lambda w: (-abs(odds[w]), w))[:vocabulary]
+    steps = min(steps, max(least, 8 * 2 * min(size) // batch))
     net = Network({w: i + 1 for i, w in enumerate(words)}, seed)
     net.p["E"][1:, 0] = np.clip([odds[w] for w in words], -2, 4)
     rnd = np.random.default_rng(seed)
@@ -258,11 +261,16 @@ class Scorer:
 HELD_OUT = "crc32(cast({id} as string)) % 5 = 0"
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000,
+        held_out: str = HELD_OUT, seed: int = 0) -> Network | None:
+    sample = labelled_sample(docs, labels, "toxic", held_out, per_class, id_col, text_col)
+    return fitted(sample, lambda texts, y: train(texts, y, seed=seed))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000,
              held_out: str = HELD_OUT, seed: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row per input row."""
-    sample = labelled_sample(docs, labels, "toxic", held_out, per_class, id_col, text_col)
-    net = fitted(sample, lambda texts, y: train(texts, y, seed=seed))
+    net = fit(docs, labels, id_col, text_col, per_class, held_out, seed)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,3 +284,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         run, "doc_id long, score double")
     return scored.select("doc_id", F.expr(held_out.format(id="doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; texts stay in their tasks."""
+    net = fit(docs, labels, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value) if shared.value else lambda texts: np.zeros(len(texts))
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                yield part.filter(pa.array(score([t or "" for t in part.column(at).to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
