@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +40,18 @@ BLOCK = "block long, ids array<long>, lens array<int>, text binary, extra array<
 # ---- blocks
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, extra: str | None, most: int = 4_000_000, most_docs: int = 20_000) -> DataFrame:
-    """One row for about `most` bytes of texts: block (unique), the ids, the lengths in bytes, the texts end to end."""
+    """One row for about `most` bytes of texts: block (unique), the ids, the lengths in bytes, and the
+    texts end to end, compressed, for the blocks go through two shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         number = TaskContext.get().partitionId() << 32
         ids, texts, more, held = [], [], [], 0
 
         def row():
             return pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int32())),
-                 pa.array([b"".join(texts)], pa.binary()), pa.array([more], pa.list_(pa.string()))],
+                 pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.array([more], pa.list_(pa.string()))],
                 ["block", "ids", "lens", "text", "extra"])
 
         for b in batches:
@@ -120,7 +123,7 @@ def stretches(text: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def _block_arrays(b: pa.RecordBatch, i: int):
-    text = np.frombuffer(b.column("text")[i].as_buffer(), np.uint8)
+    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("text")[i].as_buffer()), np.uint8)
     return text, np.array(b.column("lens")[i].values, np.int64), np.array(b.column("ids")[i].values, np.int64)
 
 
