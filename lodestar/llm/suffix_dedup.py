@@ -213,9 +213,11 @@ def _distinct(text: bytes, start: np.ndarray, count: np.ndarray, who: np.ndarray
 
 
 def requests(joined: DataFrame, size: int, shards: int) -> DataFrame:
-    """From blocks with their shared anchors: a row for each block and shard, with the distinct stretches end to end."""
+    """From blocks with their shared anchors: a row for each block and shard, with the distinct stretches end to end,
+    compressed, and their numbers of strings, places (32 bits), smallest and largest ids (64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for i in range(b.num_rows):
                 text, lens, ids = _block_arrays(b, i)
@@ -232,8 +234,8 @@ def requests(joined: DataFrame, size: int, shards: int) -> DataFrame:
                 parts = [order[x:y] for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to[order][cuts], pa.int32()), pa.array(np.full(len(cuts), b.column("block")[i].as_py())),
-                     pa.array([b"".join([strings[k] for k in p.tolist()]) for p in parts], pa.binary()),
-                     *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (count[nth], place, low, high))],
+                     pa.array([packer.compress(b"".join([strings[k] for k in p.tolist()])) for p in parts], pa.binary()),
+                     *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (count[nth].astype(np.int32), place.astype(np.int32), low, high))],
                     ["shard", "block", "strings", "count", "place", "low", "high"])
 
     return joined.mapInArrow(run, "shard int, block long, strings binary, count binary, place binary, low binary, high binary")
@@ -345,12 +347,14 @@ def marks(asked: DataFrame, size: int) -> DataFrame:
     strings from..to also start in document `low`, which is smaller than one of the block's documents with the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for rows in _by_shard(batches):
             index: dict[bytes, int] = {}
             own, count, low, high, place, sizes = [], [], [], [], [], []
             for k in range(len(rows["block"])):
-                c, p, a, z = (np.frombuffer(rows[x][k], np.int64) for x in ("count", "place", "low", "high"))
-                at, raw = 0, rows["strings"][k]
+                c, p = (np.frombuffer(rows[x][k], np.int32).astype(np.int64) for x in ("count", "place"))
+                a, z = (np.frombuffer(rows[x][k], np.int64) for x in ("low", "high"))
+                at, raw = 0, unpacker.decompress(rows["strings"][k])
                 for n in (c + size - 1).tolist():
                     own.append(index.setdefault(raw[at:at + n], len(index)))
                     at += n
