@@ -1,4 +1,471 @@
-"""Registered queries over the driver tables and their DuckDB equivalents."""
+"""Registered queries over the driver tables and their DuckDB equivalents.
+
+Embeddings play the part of an index, documents of assets, events of logs, metrics and searches."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import encoders as E
+from ..functions import formats as M
+from ..functions import texts as T
+from ..functions import vectors as V
+from ..operators import catalog_ops as O
+from ..operators import clustering as C
+from ..operators import search as S
+from ..sources import codec
+from .session import shared_dir, table
 
 QUERIES = {}
 ORACLE_SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as index entries."""
+    at = F.timestamp_seconds(F.lit(1710000000) + F.col("vec_id"))
+    return table(spark, d, "embeddings").select(
+        F.concat(F.lit("asset-"), F.col("vec_id")).alias("asset_id"), F.sha2(F.col("vec_id").cast("string"), 256).alias("fingerprint"),
+        "embedding", at.alias("created_at"), at.alias("updated_at"))
+
+
+def _r(c, n: int = 5):
+    return F.round(c, n)
+
+
+#: DuckDB: cosine of two lists in double precision.
+COS = "list_cosine_similarity({a}::double[], {b}::double[])"
+DOT = "list_inner_product({a}::double[], {b}::double[])"
+
+
+# ---- sources, projections, validation
+
+@query("""select 'asset-' || vec_id as asset_id, sha256(vec_id::varchar) as fingerprint, len(embedding)::int as dim,
+epoch_ms((1710000000 + vec_id) * 1000) as created_at from embeddings""")
+def index_metadata(spark, d):
+    return _entries(spark, d).select("asset_id", "fingerprint", F.size("embedding").alias("dim"), "created_at")
+
+
+@query("""select vec_id, len(embedding)::int as dim, round(embedding[1]::double, 5) as first from embeddings where vec_id = 42""")
+def point_lookup(spark, d):
+    return S.lookup(table(spark, d, "embeddings"), [42]).select("vec_id", F.size("embedding").alias("dim"), _r(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+@query("""select e.vec_id, label from embeddings e where vec_id in (select item_id * 7 from benchmark)""")
+def table_lookup(spark, d):
+    ids = table(spark, d, "benchmark").select((F.col("item_id") * 7).alias("vec_id"))
+    return S.lookup(table(spark, d, "embeddings"), ids).select("vec_id", "label")
+
+
+@query("""select event_id, ts, event_type from events where event_type = 'click' order by ts desc, event_id limit 100""")
+def recent_scan(spark, d):
+    return O.recent(table(spark, d, "events").where("event_type = 'click'").select("event_id", "ts", "event_type"), "ts", "event_id", 100)
+
+
+@query("""with o as (select 'doc ' || doc_id as asset_id, source, n_chars as version, doc_id as created_at from documents where doc_id % 3 < 2),
+n as (select 'doc ' || doc_id as asset_id, upper(source) as source, n_chars + 1 as version, doc_id + 1000000 as created_at from documents where doc_id % 3 > 0)
+select coalesce(o.asset_id, n.asset_id) as asset_id, coalesce(n.source, o.source) as source, coalesce(n.version, o.version) as version,
+coalesce(o.created_at, n.created_at) as created_at from o full join n on o.asset_id = n.asset_id""")
+def catalog_upsert(spark, d):
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("doc "), F.col("doc_id"))
+    old = docs.where("doc_id % 3 < 2").select(name.alias("asset_id"), "source", F.col("n_chars").alias("version"), F.col("doc_id").alias("created_at"))
+    new = docs.where("doc_id % 3 > 0").select(F.concat(F.lit("  "), name, F.lit("\n")).alias("asset_id"), F.upper("source").alias("source"),
+                                              (F.col("n_chars") + 1).alias("version"), (F.col("doc_id") + 1000000).alias("created_at"))
+    return O.upsert(old, new)
+
+
+@query("""select d.doc_id, l.quality, case when d.doc_id % 5 = 0 then 'unreadable' when l.doc_id is not null then null
+when d.doc_id % 2 = 0 then 'expired' else 'no access' end as reason
+from documents d left join labels l on d.doc_id = l.doc_id and d.doc_id % 5 <> 0""")
+def payload_resolution(spark, d):
+    assets = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).alias("library_id"))
+    store = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    return O.payloads(assets, store, "library_id", F.col("doc_id") % 2 == 0, "id").select("doc_id", "quality", "reason")
+
+
+@query("""select doc_id, coalesce(case when doc_id % 4 > 0 then upper(lang) end, lang) as payload from documents
+where doc_id % 6 <> 0 and coalesce(case when doc_id % 4 > 0 then upper(lang) end, lang) is not null""")
+def picker_import(spark, d):
+    docs = table(spark, d, "documents").select(F.when(F.col("doc_id") % 6 != 0, F.col("doc_id")).alias("doc_id"), F.coalesce(
+        F.when(F.col("doc_id") % 4 > 0, F.upper("lang")), "lang").alias("payload"))
+    return docs.where("doc_id is not null and payload is not null")
+
+
+VARIANTS = """select vec_id, case vec_id % 8 when 0 then embedding::double[] when 1 then []::double[] when 2 then null::double[]
+when 3 then list_transform(embedding::double[], lambda x: 'nan'::double) when 4 then list_transform(embedding::double[], lambda x: x * 3)
+when 5 then list_transform(embedding::double[], lambda x: 0.0::double) when 6 then (embedding::double[])[1:32]
+else list_concat(embedding::double[], ['infinity'::double]) end as v from embeddings"""
+
+
+def _variants(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    k = F.col("vec_id") % 8
+    return table(spark, d, "embeddings").select("vec_id", F.when(k == 0, v).when(k == 1, F.array().cast("array<double>")).when(k == 2, F.lit(None)).when(
+        k == 3, F.transform(v, lambda x: F.lit(float("nan")))).when(k == 4, F.transform(v, lambda x: x * 3)).when(k == 5, F.transform(v, lambda x: F.lit(0.0))).when(
+        k == 6, F.slice(v, 1, 32)).otherwise(F.concat(v, F.array(F.lit(float("inf"))))).alias("v"))
+
+
+@query(f"""with a as ({VARIANTS}) select vec_id, coalesce(len(v) > 0 and len(list_filter(v, lambda x: not isfinite(x))) = 0, false) as valid,
+coalesce(len(v) > 0 and len(list_filter(v, lambda x: not isfinite(x))) = 0 and len(v) = 64, false) as fits from a""")
+def entry_validation(spark, d):
+    ok = V.is_valid("v")
+    return _variants(spark, d).select("vec_id", ok.alias("valid"), (ok & F.coalesce(F.size("v") == 64, F.lit(False))).alias("fits"))
+
+
+@query("""with a as (select doc_id, case doc_id % 4 when 0 then '  ' || source || chr(10) when 1 then ' ' when 2 then null else source end as given, text from documents)
+select doc_id, coalesce(nullif(trim(given, ' ' || chr(10)), ''), 'asset-' || left(sha256(text), 16)) as asset_id,
+left(sha256(text), 24) as short, coalesce(length(given) > 0, false) as backed from a""")
+def asset_identity(spark, d):
+    k = F.col("doc_id") % 4
+    given = F.when(k == 0, F.concat(F.lit("  "), F.col("source"), F.lit("\n"))).when(k == 1, " ").when(k == 2, F.lit(None)).otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", T.identity(given, F.col("text").cast("binary")).alias("asset_id"), T.short_id(
+        F.sha2("text", 256), 24).alias("short"), T.is_backed(given).alias("backed"))
+
+
+@query("""select doc_id, sha256(text) as fingerprint from documents""")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
+
+
+@query()
+def checksums(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
+
+
+@query("""select distinct sha256(text) as fingerprint from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 3 = 0)""")
+def cache_misses(spark, d):
+    docs = table(spark, d, "documents").withColumn("fingerprint", F.sha2("text", 256))
+    return docs.select("fingerprint").distinct().join(docs.where("doc_id % 3 = 0").select("fingerprint"), "fingerprint", "left_anti")
+
+
+@query("""select p_partkey, case when p_partkey % 3 = 0 then 'untitled' when p_partkey % 3 = 1 then p_name else '2024-03-09 16:00' end as title,
+'model' || '|' || p_brand || '|' || p_size || '|' || 224 || '|' || 52 as fingerprint from part""")
+def titles_and_fingerprints(spark, d):
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 1, F.col("p_name")).when(k == 0, "")
+    at = F.when(k == 2, F.timestamp_seconds(F.lit(1710000000)))
+    return table(spark, d, "part").select("p_partkey", T.title(name, at, "untitled").alias("title"), F.concat_ws(
+        "|", F.lit("model"), "p_brand", "p_size", F.lit(224), F.lit(52)).alias("fingerprint"))
+
+
+@query("""select l_orderkey, l_linenumber, l_linenumber <= 7 and l_linenumber >= 0 as valid, least(1.0, round(l_linenumber / 7.0, 5))::double as progress from lineitem""")
+def build_progress(spark, d):
+    n = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", M.is_progress(n, F.lit(7)).alias("valid"), _r(M.progress(n, F.lit(7))).alias("progress"))
+
+
+# ---- joins of an index, searches
+
+@query(f"""with p as (select a.vec_id as src, b.vec_id as dst, {COS.format(a='a.embedding', b='b.embedding')} as s from embeddings a, embeddings b where a.vec_id <> b.vec_id)
+select src, dst, round(s, 5) as score from p where s >= 0.35""")
+def similarity_self_join(spark, d):
+    return S.similarity_join(table(spark, d, "embeddings"), 0.35).select("src", "dst", _r("score").alias("score"))
+
+
+TOPK = f"""select query_id, rank, id, round(s, 5) as score from (select q.vec_id as query_id, e.vec_id as id, {COS.format(a='q.embedding', b='e.embedding')} as s,
+row_number() over (partition by q.vec_id order by round({COS.format(a='q.embedding', b='e.embedding')}, 12) desc, e.vec_id)::int as rank
+from embeddings q, embeddings e where {{where}}) where rank <= {{k}}"""
+
+
+@query(TOPK.format(where="true", k=12))
+def batch_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return S.batch_top_k(e, e, 12).select("query_id", "rank", "id", _r("score").alias("score"))
+
+
+def _first(spark, d):
+    """The vector of one id: a search by an indexed asset."""
+    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]]
+
+
+ONE = "with q as (select embedding as v from embeddings where vec_id = 7), s as (select vec_id as id, {e} as s from embeddings, q) select id, round(s, 5) as score from s order by round(s, 12) {o}, id limit {k}"
+
+
+@query(ONE.format(e=COS.format(a="embedding", b="v"), o="desc", k=30))
+def image_search(spark, d):
+    return S.top_k(table(spark, d, "embeddings"), _first(spark, d), S.VIEW_TOP_K).select("id", _r("score").alias("score"))
+
+
+@query(ONE.format(e=DOT.format(a="embedding", b="v"), o="desc", k=12))
+def dot_topk(spark, d):
+    return S.top_k(table(spark, d, "embeddings"), _first(spark, d), metric="dot").select("id", _r("score").alias("score"))
+
+
+@query(ONE.format(e="list_distance(embedding::double[], v::double[])", o="", k=12))
+def euclidean_topk(spark, d):
+    return S.top_k(table(spark, d, "embeddings"), _first(spark, d), metric="euclidean").select("id", _r("score").alias("score"))
+
+
+@query("""with s as (select l_orderkey % 50 as query_id, l_orderkey * 10 + l_linenumber as id, round(case l_orderkey % 50 % 3 when 0 then l_discount * 10
+when 1 then l_discount * 7.5 else l_discount * 5 end, 3) as score from lineitem),
+r as (select *, max(score) over (partition by query_id) as best, row_number() over (partition by query_id order by score desc, id) as r from s)
+select query_id, id, score from r where case when best >= 0.8 then score >= 0.6 and r <= 25 when best >= 0.6 then r <= 20 else r <= 15 end""")
+def adaptive_cutoff(spark, d):
+    q = F.col("l_orderkey") % 50
+    score = _r(F.when(q % 3 == 0, F.col("l_discount") * 10).when(q % 3 == 1, F.col("l_discount") * 7.5).otherwise(F.col("l_discount") * 5), 3)
+    ranked = table(spark, d, "lineitem").select(q.alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), score.alias("score"))
+    return S.adaptive_cutoff(ranked, ["query_id"], order=[F.desc("score"), F.col("id")])
+
+
+@query(f"""with t as ({TOPK.format(where='q.vec_id % 10 = 0', k=30)}) select query_id, rank, id, score, d.source, coalesce(d.lang, 'unavailable') as title
+from t left join documents d on t.id = d.doc_id where case when true then rank <= 25 and score >= 0.6 end""")
+def search_results(spark, d):
+    """Queries find themselves, so every list has a best score of 1: scores from 0.6 on stay. Hits are joined to the catalog."""
+    e = table(spark, d, "embeddings")
+    hits = S.batch_top_k(e, e.where("vec_id % 10 = 0"), S.VIEW_TOP_K)
+    kept = S.adaptive_cutoff(hits, ["query_id"], order=[F.col("rank")])
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    return kept.join(docs, "id", "left").select("query_id", "rank", "id", _r("score").alias("score"), "source", F.coalesce("lang", F.lit("unavailable")).alias("title"))
+
+
+@query()
+def lsh_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return S.lsh_top_k(e, e.where("vec_id % 50 = 0"), 12)
+
+
+@query()
+def text_search(spark, d):
+    """Documents embedded by the stand-in encoder, searched with benchmark texts."""
+    enc = E.HashingEncoder(64)
+    docs = E.embed(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("payload")), "payload", enc)
+    asked = E.embed(table(spark, d, "benchmark").where(F.length(T.trimmed(F.col("text"))) > 0).select(
+        F.col("item_id").alias("doc_id"), F.col("text").cast("binary").alias("payload")), "payload", enc)
+    return S.batch_top_k(docs.select("doc_id", "embedding"), asked.select("doc_id", "embedding"), S.ENGINE_TOP_K, "doc_id")
+
+
+@query("""select doc_id, sha256(text) as fingerprint, 64 as dim from documents""")
+def cached_embedding(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    known = E.embed(docs.where("doc_id % 3 = 0").select(F.sha2("payload", 256).alias("fingerprint"), "payload").dropDuplicates(["fingerprint"]), "payload", E.HashingEncoder(64))
+    rows, _ = E.cached_embed(docs, "payload", known, E.HashingEncoder(64))
+    return rows.select("doc_id", "fingerprint", F.size("embedding").alias("dim"))
+
+
+# ---- vector functions
+
+@query(f"""with a as ({VARIANTS}), n as (select vec_id, v, sqrt(coalesce(list_sum(list_transform(v, lambda x: x * x)), 0)) as n from a where v is not null and len(list_filter(v, lambda x: not isfinite(x))) = 0)
+select vec_id, round(n, 5) as norm, abs(n - 1) < 0.001 as normalized, case when abs(n - 1) < 0.001 or n = 0 then list_transform(v, lambda x: round(x, 5)) else list_transform(v, lambda x: round(x / n, 5)) end as unit from n""")
+def normalized_vectors(spark, d):
+    v = _variants(spark, d).where(V.is_valid("v") | (F.size("v") == 0))
+    return v.select("vec_id", _r(V.l2_norm("v")).alias("norm"), V.is_normalized("v").alias("normalized"), F.transform(V.normalize("v"), lambda x: F.round(x, 5)).alias("unit"))
+
+
+PAIRS = "(select a.vec_id, a.embedding::double[] as x, b.embedding::double[] as y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
+
+
+def _pairs(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+
+
+@query(f"""with p as {PAIRS}, s as (select vec_id, list_inner_product(x, y) as dot, list_cosine_similarity(x, y) as cos, list_distance(x, y) as far,
+list_max(list_transform(x, lambda u, i: abs(u - y[i]))) as diff from p)
+select vec_id, round(dot, 5) as dot, round(cos, 5) as cosine, round(1 - cos, 5) as distance, round(far, 5) as euclidean, round(diff, 5) as max_difference,
+round(greatest(-1, least(1, dot)), 5) as clamped, round(1 / (1 + exp(-(98.864479 * cos - 10))), 5) as text_image, round(1 / (1 + exp(-(4 * cos + 1.5))), 5) as image_image from s""")
+def pair_scores(spark, d):
+    cos = V.cosine_strict("x", "y")
+    return _pairs(spark, d).select(
+        "vec_id", _r(V.dot("x", "y")).alias("dot"), _r(cos).alias("cosine"), _r(V.cosine_distance("x", "y")).alias("distance"), _r(V.euclidean("x", "y")).alias("euclidean"),
+        _r(V.max_abs_difference("x", "y")).alias("max_difference"), _r(V.clamp(V.dot("x", "y"), -1.0, 1.0)).alias("clamped"),
+        _r(V.text_image_score(cos)).alias("text_image"), _r(V.image_image_score(cos)).alias("image_image"))
+
+
+@query(f"""with p as {PAIRS} select vec_id, round(list_cosine_similarity(x, y), 5) as similarity, list_cosine_similarity(x, y) >= 0.0 as passed from p where vec_id % 3 = 0""")
+def similarity_cases(spark, d):
+    """Cases (pairs of ids) joined with both tables of vectors."""
+    e = table(spark, d, "embeddings")
+    cases = e.where("vec_id % 3 = 0").select("vec_id", F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    got = cases.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
+    return got.select("vec_id", _r(V.cosine("x", "y")).alias("similarity"), (V.cosine("x", "y") >= 0).alias("passed"))
+
+
+@query("""select l_orderkey, l_linenumber, case when l_discount * 10 >= 0.8 then 'very similar' when l_discount * 10 >= 0.6 then 'similar'
+when l_discount * 10 >= 0.4 then 'somewhat similar' when l_discount * 10 >= 0.2 then 'slightly similar' else 'not similar' end as band,
+printf('%.0f%%', l_discount * 100) as percent from lineitem""")
+def score_bands(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.band(F.col("l_discount") * 10).alias("band"), V.percent(F.col("l_discount")).alias("percent"))
+
+
+@query("""with a as (select conv_id, turn, [ascii(x) for x in string_split(left(text, 20), '')] as a, [ascii(x) for x in string_split(left(lag(text) over (partition by conv_id order by turn), 20), '')] as b from conversations)
+select conv_id, turn, case when len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) > 0 then list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])[1] - 1
+when len(a) <> len(b) then least(len(a), len(b)) end::int as mismatch from a where b is not null""")
+def first_mismatch(spark, d):
+    codes = lambda c: F.transform(F.filter(F.split(F.left(c, F.lit(20)), ""), lambda x: x != ""), lambda x: F.ascii(x))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).where("before is not null")
+    return c.select("conv_id", "turn", V.first_mismatch(codes(F.col("text")), codes(F.col("before"))).alias("mismatch"))
+
+
+# ---- clustering
+
+EDGES = f"e as (select src, dst from (select a.vec_id as src, b.vec_id as dst, {COS.format(a='a.embedding', b='b.embedding')} as s from embeddings a, embeddings b where a.vec_id <> b.vec_id) where s >= 0.35)"
+DBSCAN = f"""with recursive {EDGES}, core as (select src as id from e group by src having count(*) >= 3),
+cc as (select src, dst from e where src in (select id from core) and dst in (select id from core)),
+reach as (select id, id as root from core union select cc.dst, reach.root from reach join cc on cc.src = reach.id),
+label as (select id, min(root) as root from reach group by id), num as (select root, dense_rank() over (order by root)::int as cluster from (select distinct root from label)),
+corec as (select id, cluster from label join num using (root)), border as (select src as id, min(cluster) as cluster from e join corec on e.dst = corec.id group by src),
+lab as (select vec_id as id, coalesce(c.cluster, b.cluster, -1)::int as cluster from embeddings left join corec c on vec_id = c.id left join border b on vec_id = b.id)"""
+
+
+@query(DBSCAN + " select * from lab")
+def dbscan_labels(spark, d):
+    return C.cluster_vectors(table(spark, d, "embeddings"), 0.35, 3)
+
+
+@query(DBSCAN + """ select cluster, count(*) as size, min(id) as center_id, list_sort(list(id)) as members, list_sort(list(id))[1:10] as preview, 0.35::double as similarity_score
+from lab where cluster > 0 group by cluster""")
+def cluster_groups(spark, d):
+    c = C.clusters(C.cluster_vectors(table(spark, d, "embeddings"), 0.35, 3), 0.35)
+    return c.withColumn("preview", F.slice("members", 1, 10)).orderBy(F.desc("size"), "cluster")
+
+
+@query(DBSCAN + """ select count(*) as cluster_count, coalesce(sum(n), 0)::bigint as grouped_count, avg(n) as average_size from (select count(*) as n from lab where cluster > 0 group by cluster)""")
+def cluster_statistics(spark, d):
+    return C.statistics(C.cluster_vectors(table(spark, d, "embeddings"), 0.35, 3))
+
+
+@query(f"with {EDGES} select src as id, count(*) as neighbors, count(*) >= 3 as core from e group by src")
+def neighbor_counts(spark, d):
+    e = S.similarity_join(table(spark, d, "embeddings"), 0.35)
+    return e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("neighbors")).withColumn("core", F.col("neighbors") >= 3)
+
+
+# ---- text
+
+@query(r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\t\n\r\p{Zs}]', ' ', 'g'), '[\p{Cc}\p{Cf}]', '', 'g'), ' +', ' ', 'g')) as clean,
+list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as words from documents""")
+def clean_text(spark, d):
+    t = F.trim(F.regexp_replace(T.clean(F.col("text")), " +", " "))
+    return table(spark, d, "documents").select("doc_id", t.alias("clean"), T.white_tokens(F.col("text")).alias("words"))
+
+
+@query(r"""select doc_id, regexp_extract_all(strip_accents(lower(regexp_replace(text, '[\t\n\r\p{Zs}]', ' ', 'g'))), '[!-/:-@\[-`{-~\p{P}]|[^\s!-/:-@\[-`{-~\p{P}]+') as tokens from documents""")
+def basic_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.basic_tokens(F.col("text")).alias("tokens"))
+
+
+@query(r"""select item_id, regexp_replace(text || '漢字x', '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g') as spaced from benchmark""")
+def spaced_ideographs(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.spaced_ideographs(F.concat("text", F.lit("漢字x"))).alias("spaced"))
+
+
+@query()
+def wordpiece_ids(spark, d):
+    """Documents in word pieces of single characters and a few endings: a small fixed vocabulary."""
+    letters = "abcdefghijklmnopqrstuvwxyzß0123456789"
+    words = [T.PAD, T.UNKNOWN, T.START, T.END, *letters, *("##" + c for c in letters), "the", "##ing", "##tion", *"!\"#$%&'()*+,-./:;<=>?@[]^_{|}~"]
+    docs = table(spark, d, "documents").select("doc_id", T.basic_tokens(F.col("text")).alias("tokens"))
+    return T.wordpiece(docs, "tokens", T.load_vocabulary(words)).select("doc_id", "ids")
+
+
+@query("""select doc_id, case when doc_id % 6 = 0 then 'unfinished' when doc_id % 6 = 1 then 'model' when doc_id % 6 = 2 then 'storage' when doc_id % 6 = 3 then 'library' when doc_id % 6 = 4 then 'input' else 'other' end as kind from documents""")
+def failure_kinds(spark, d):
+    said = ("  ", "模型 x", "bad manifest of 图片", "系统相册 资源", "图片 x", "anything")
+    k = F.get(F.array(*map(F.lit, said)), (F.col("doc_id") % 6).cast("int"))
+    return table(spark, d, "documents").select("doc_id", O.failure_kind(k).alias("kind"))
+
+
+# ---- formats
+
+@query("""select l_orderkey, l_linenumber, case when m >= 1000 then printf('%.2fs', m / 1000) when m >= 100 then printf('%.0fms', m) when m >= 1 then printf('%.1fms', m) else printf('%.2fms', m) end as duration,
+strftime(l_shipdate, '%H:%M:%S') as clock, case when s < 60 then printf('%.0f s', s) when s < 3600 then floor(s / 60)::bigint || ' min'
+when floor(s % 3600 / 60) > 0 then floor(s / 3600)::bigint || ' h ' || floor(s % 3600 / 60)::bigint || ' min' else floor(s / 3600)::bigint || ' h' end as eta,
+case when (l_quantity + 0.03) / 10 >= 1 then printf('%.1f items/s', (l_quantity + 0.03) / 10) else printf('%.1f s/item', 10 / (l_quantity + 0.03)) end as speed
+from (select *, (l_extendedprice % 2000) + 0.123 as m, l_extendedprice + 0.25 as s from lineitem)""")
+def format_texts(spark, d):
+    line = table(spark, d, "lineitem").withColumn("m", F.col("l_extendedprice") % 2000 + 0.123).withColumn("s", F.col("l_extendedprice") + 0.25)
+    return line.select("l_orderkey", "l_linenumber", M.duration_text(F.col("m")).alias("duration"), M.clock_text(F.col("l_shipdate")).alias("clock"),
+                       M.eta_text(F.col("s")).alias("eta"), M.speed_text((F.col("l_quantity") + 0.03) / 10).alias("speed"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as iso, epoch_ms(o_orderdate) as ms, o_orderdate as back from orders""")
+def date_codecs(spark, d):
+    at = F.col("o_orderdate").cast("timestamp")
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "orders").select("o_orderkey", iso.alias("iso"), F.unix_millis(at).alias("ms"), F.to_timestamp(iso, "yyyy-MM-dd'T'HH:mm:ss'Z'").cast("timestamp_ntz").alias("back"))
+
+
+@query("""select event_id, user_id, event_type, round(value, 5) as value from events""")
+def json_round_trip(spark, d):
+    e = table(spark, d, "events").select("event_id", F.to_json(F.struct("user_id", "event_type", "value")).alias("j"))
+    return e.withColumn("r", F.from_json("j", "user_id long, event_type string, value double")).select("event_id", "r.user_id", "r.event_type", _r("r.value").alias("value"))
+
+
+# ---- builds, histories, metrics
+
+@query("""select event_type, arg_max(ts, (ts, event_id)) as ts, round(arg_max(value, (ts, event_id)), 5) as value from events group by event_type""")
+def latest_metrics(spark, d):
+    return O.latest(table(spark, d, "events"), "event_type", "ts", "event_id", "value").select("event_type", "ts", _r("value").alias("value"))
+
+
+@query("""select event_id, event_type, ts from (select *, row_number() over (partition by event_type, user_id % 10 order by ts desc, event_id desc) as r from events) where r = 1
+order by ts desc, event_id desc limit 20""")
+def search_history(spark, d):
+    e = table(spark, d, "events").withColumn("query", F.concat(F.lit(" "), F.col("event_type"), F.lit("/"), F.col("user_id") % 10, F.lit("\t")))
+    return O.history(e).select("event_id", "event_type", "ts")
+
+
+STATUS = "case when user_id % 7 = 0 then 'success' when user_id % 7 = 1 then 'cancelled' else 'failure' end"
+
+
+@query(f"""with s as (select event_id, user_id % 4 as build, {STATUS} as status from events),
+r as (select *, sum((status = 'success')::int) over (partition by build order by event_id) as run from s),
+c as (select *, sum((status = 'failure')::int) over (partition by build, run order by event_id) as n from r)
+select event_id, build, status, n::bigint as consecutive_failures, n >= 10 as abort from c""")
+def failure_policy(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", "user_id % 4 as build", f"{STATUS} as status")
+    return O.failure_runs(e, ["build"], "event_id", "status")
+
+
+@query(f"""select count(*) filter (s = 'success') as succeeded, count(*) filter (s = 'failure') as failed, count(*) filter (s <> 'cancelled') as completed from (select {STATUS} as s from events)""")
+def build_tally(spark, d):
+    return O.tally(table(spark, d, "events").selectExpr(f"{STATUS} as s"), "s")
+
+
+@query("""select o_orderkey, case when o_orderkey % 5 = 0 then case when o_orderkey % 2 = 0 then 'building' else 'preparing' end when o_orderkey % 5 = 1 then 'failed'
+when o_orderkey % 3 = 0 then 'ready' else 'idle' end as state from orders""")
+def restored_states(spark, d):
+    k = F.col("o_orderkey")
+    stage = F.when(k % 5 == 0, "building").when(k % 5 == 1, "failed").when(k % 5 == 2, "idle").when(k % 5 == 3, "ready")
+    return table(spark, d, "orders").select("o_orderkey", O.restored_state(stage, k % 2 == 0, k % 3 == 0).alias("state"))
+
+
+@query("""select doc_id from documents where doc_id % 2 = 0 and doc_id not in (select doc_id from labels)""")
+def resume_pending(spark, d):
+    docs, done = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels")
+    return O.pending(docs, done, "doc_id", docs.where("doc_id % 2 = 0"))
+
+
+@query("""select count(*) as missing, count(*) = 0 as complete from documents where doc_id not in (select doc_id from labels)""")
+def completeness_gate(spark, d):
+    return O.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("""select lang, bool_and(n_chars > 0) as passed, count(*) filter (n_chars > 5000) as failures from documents group by lang""")
+def validation_report(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.bool_and(F.col("n_chars") > 0).alias("passed"), F.count_if(F.col("n_chars") > 5000).alias("failures"))
+
+
+@query("""select 'asset-' || vec_id as asset_id, sha256(vec_id::varchar) as fingerprint, len(embedding)::int as dim, round(list_sum(embedding::double[]), 4) as total from embeddings""")
+def binary_codec(spark, d):
+    """Entries written as binary index files and read again."""
+    where = f"{shared_dir(spark)}/binary-{uuid.uuid4().hex}"
+    files = codec.encoded_files(_entries(spark, d), 64)
+    files.write.parquet(where)
+    back = spark.read.parquet(where).select(F.col("file").alias("content"))
+    return codec.decoded(back).select("asset_id", "fingerprint", F.size("embedding").alias("dim"), _r(F.aggregate(F.col("embedding").cast(
+        "array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
