@@ -75,9 +75,13 @@ def embed(rows: DataFrame, payload_col: str, encoder: Encoder) -> DataFrame:
     dim = encoder.descriptor.dimension
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.load()
+        loaded = False
         for b in batches:
-            x = np.asarray(encoder.encode([bytes(p or b"") for p in b.column(payload_col).to_pylist()]), np.float64)[:, :dim]
+            if b.num_rows and not loaded:  # once for each task, and only if there is something to encode
+                encoder.load()
+                loaded = True
+            payloads = [bytes(p or b"") for p in b.column(payload_col).to_pylist()]
+            x = np.asarray(encoder.encode(payloads) if payloads else np.zeros((0, dim)), np.float64)[:, :dim]
             if x.shape != (b.num_rows, dim) or not np.isfinite(x).all():
                 raise ValueError("the encoder returned no vectors of its dimension")
             n = np.sqrt((x * x).sum(1, keepdims=True))
