@@ -1,10 +1,11 @@
 """Text quality by compression: zstandard dictionaries of good and of bad labelled texts.
 
 A text is compressed with either dictionary and with none. The difference of the two sizes, by the text's length and by
-its plain compressed size, goes through a logistic function to a score from 0 to 1. The dictionaries are built from one
-half of a bounded sample of labelled rows (`per_class` ids of each label, the smallest by a hash of the id; `trained`
-bytes of pieces of their texts, evenly spaced), the logistic function is fitted on the other half, whose sizes the
-dictionaries don't flatter. The model has a fixed size and is broadcast; every row is scored where it is read.
+its plain compressed size, goes with the plain rate through a logistic function to a score from 0 to 1. The dictionaries are built from a
+bounded sample of labelled rows (`per_class` ids of each label, the smallest by a hash of the id; `trained` bytes of
+pieces of their texts, evenly spaced). The logistic function is fitted to sizes that dictionaries don't flatter: either
+half of the sample is measured by dictionaries of the other. The model has a fixed size and is broadcast; every row is
+scored where it is read.
 
 Defined results: a null or empty text has no difference and scores the fitted intercept; without labels of both kinds
 (or too few for a dictionary) every score is 0.5; repeated rows are scored each; an empty table gives no rows."""
@@ -30,10 +31,11 @@ class Model:
 
     def __init__(self, good: bytes, bad: bytes, level: int = 3):
         self.good, self.bad, self.level = good, bad, level
-        self.weights = np.zeros(3)
+        self.weights = np.zeros(5)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, 3): 1, and the difference of sizes by length and by plain compressed size, in hundredths."""
+        """(texts, 5): 1, the difference of sizes by length and by plain compressed size (scaled), and how far plain
+        compression goes: the logarithm of its rate, and what of that is below 1.5, which repetition alone reaches."""
         made = []
         for d in (self.good, self.bad, None):
             more = {}
@@ -45,7 +47,8 @@ class Model:
         good, bad, plain = (np.array([len(c.compress(t)) for t in texts], float) for c in made)
         n = np.fromiter(map(len, texts), float, len(texts))
         diff = np.where(n > 0, bad - good, 0)
-        return np.stack([np.ones(len(texts)), 100 * diff / np.maximum(n, 1), 10 * diff / np.maximum(plain, 1)], axis=1)
+        rate = np.where(n > 0, np.log(plain / np.maximum(n, 1)), 0)
+        return np.stack([np.ones(len(texts)), 100 * diff / np.maximum(n, 1), 10 * diff / np.maximum(plain, 1), rate, np.minimum(rate + 1.5, 0)], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
@@ -71,16 +74,11 @@ def pieces(texts: list[bytes], most: int, size: int = 2000) -> list[bytes]:
     return [every[int(i * step)] for i in range(int(len(every) / step))]
 
 
-def fit(texts: list[str], labels: list[int], dictionary: int = 96_000, trained: int = 8_000_000) -> Model | None:
-    """None if there is too little text for dictionaries."""
-    raw, y = [t.encode("utf-8", "surrogatepass") for t in texts], np.array(labels)
-    nth = np.zeros(len(y), int)
-    for k in (0, 1):
-        nth[y == k] = np.arange((y == k).sum())
-    build = nth % 2 == 0
+def dictionaries(texts: list[bytes], y: np.ndarray, dictionary: int, trained: int) -> Model | None:
+    """Of the good and of the bad texts; None if there is too little text."""
     made = []
     for k in (1, 0):
-        some = pieces([t for t, ok in zip(raw, build & (y == k)) if ok and t], trained)
+        some = pieces([t for t, v in zip(texts, y) if v == k and t], trained)
         size = min(dictionary, sum(map(len, some)) // 8)
         while size >= 512:
             try:
@@ -90,8 +88,24 @@ def fit(texts: list[str], labels: list[int], dictionary: int = 96_000, trained:
                 size //= 2
         else:
             return None
-    model = Model(*made)
-    model.weights = logistic(model.features([t for t, b in zip(raw, build) if not b]), y[~build])
+    return Model(*made)
+
+
+def fit(texts: list[str], labels: list[int], dictionary: int = 96_000, trained: int = 8_000_000) -> Model | None:
+    """Dictionaries of all texts; weights from two halves, each measured by the dictionaries of the other."""
+    raw, y = [t.encode("utf-8", "surrogatepass") for t in texts], np.array(labels)
+    half = np.zeros(len(y), int)
+    for k in (0, 1):
+        half[y == k] = np.arange((y == k).sum()) % 2
+    x = np.zeros((len(y), 5))
+    for h in (0, 1):
+        part = dictionaries([t for t, v in zip(raw, half) if v != h], y[half != h], dictionary, trained)
+        if part is None:
+            return None
+        x[half == h] = part.features([t for t, v in zip(raw, half) if v == h])
+    model = dictionaries(raw, y, dictionary, trained)
+    if model is not None:
+        model.weights = logistic(x, y)
     return model
 
 
