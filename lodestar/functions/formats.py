@@ -41,3 +41,14 @@ def progress(completed: Column, total: Column) -> Column:
 
 def is_progress(completed: Column, total: Column) -> Column:
     return F.coalesce((total > 0) & (completed >= 0) & (completed <= total), F.lit(False))
+
+
+def duration_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two timestamps, with their fraction."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000
+
+
+def phase(state: Column, pending: Column) -> Column:
+    """What a view shows for a build's state: a ready index with pending assets counts as partial."""
+    return (F.when(state.isin("building", "preparing"), "running").when(state == "failed", "failed")
+            .when(state == "ready", F.when(pending > 0, "partial").otherwise("done")).otherwise("empty"))

@@ -127,3 +127,14 @@ def is_backed(library_id: Column) -> Column:
 
 def title(file_name: Column, created: Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(file_name, F.lit("")), F.date_format(created, "yyyy-MM-dd HH:mm"), F.lit(fallback))
+
+
+def token_texts(ids: Column, vocab: dict[str, int]) -> Column:
+    """The tokens of ids; unknown for ids that the vocabulary lacks."""
+    names = F.create_map(*(F.lit(x) for t, i in vocab.items() for x in (i, t)))
+    return F.transform(ids, lambda i: F.coalesce(F.element_at(names, i.cast("int")), F.lit(UNKNOWN)))
+
+
+def resource_fingerprint(name: Column, size: Column, modified: Column) -> Column:
+    """name:size:mtime of each resource of an aggregation, in the order of names, joined by a bar."""
+    return F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", name, size.cast("string"), modified.cast("string")))), "|")

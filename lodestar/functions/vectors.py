@@ -109,3 +109,18 @@ def is_valid(v: Column | str) -> Column:
     """Not null or empty, and all components finite."""
     v = _d(v)
     return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def cosine_or_minus_one(a: Column | str, b: Column | str) -> Column:
+    """The cosine of a validation: -1 for what has none; norms must exceed the smallest step from 1."""
+    a, b = _d(a), _d(b)
+    fine = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (F.least(l2_norm(a), l2_norm(b)) > 2.220446049250313e-16)
+    return F.when(fine, cosine(a, b)).otherwise(F.lit(-1.0))
+
+
+def image_tensor(pixels: Column, mean: list[float], std: list[float]) -> Column:
+    """Interleaved bytes (an array of whole numbers, one channel after another for each pixel) to planes of normalised
+    numbers: byte / 255, less the channel's mean, over its deviation."""
+    n = len(mean)
+    plane = lambda c: F.transform(F.filter(pixels, lambda _, i: i % n == c), lambda x: (x / 255 - mean[c]) / std[c])
+    return F.concat(*(plane(c) for c in range(n)))

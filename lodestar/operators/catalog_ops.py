@@ -109,3 +109,14 @@ def failure_kind(message: Column) -> Column:
             met = met | F.contains(m, F.lit(w))
         out = out.when(met, kind)
     return out.otherwise("other")
+
+
+def budget(parts: DataFrame, kind: str, amount: str) -> DataFrame:
+    """One row per kind (memory, disk ...) with its total, and the total of all in every row."""
+    per = parts.groupBy(kind).agg(F.sum(amount).alias("total"))
+    return per.crossJoin(F.broadcast(parts.agg(F.sum(amount).alias("all"))))  # one row
+
+
+def can_cluster(state: Column, indexed: Column) -> Column:
+    """Ready, or built in part with at least one entry."""
+    return F.coalesce((state == "ready") | (state.isin("building", "preparing", "failed") & (indexed > 0)), F.lit(False))

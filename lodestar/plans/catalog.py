@@ -469,3 +469,38 @@ def binary_codec(spark, d):
     back = spark.read.parquet(where).select(F.col("file").alias("content"))
     return codec.decoded(back).select("asset_id", "fingerprint", F.size("embedding").alias("dim"), _r(F.aggregate(F.col("embedding").cast(
         "array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("""select event_id, round(epoch_us(ts)::double / 1000 - lag(epoch_us(ts)) over (order by event_id)::double / 1000, 3) as ms from events qualify lag(ts) over (order by event_id) is not null and user_id % 50 = 0""")
+def durations(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", "user_id")
+    before = e.select((F.col("event_id") + 1).alias("event_id"), F.col("ts").alias("before"))
+    return e.where("user_id % 50 = 0").join(before, "event_id").select("event_id", _r(M.duration_ms(F.col("before"), F.col("ts")), 3).alias("ms"))
+
+
+@query("""select o_orderkey, case o_orderstatus when 'O' then 'running' when 'F' then case when o_orderkey % 4 > 0 then 'partial' else 'done' end else 'failed' end as phase,
+case o_orderstatus when 'F' then true else o_orderkey % 4 > 0 end as can_cluster from orders""")
+def build_phases(spark, d):
+    state = F.when(F.col("o_orderstatus") == "O", "building").when(F.col("o_orderstatus") == "F", "ready").otherwise("failed")
+    n = F.col("o_orderkey") % 4
+    return table(spark, d, "orders").select("o_orderkey", M.phase(state, n).alias("phase"), O.can_cluster(state, n).alias("can_cluster"))
+
+
+@query("""select p_brand, sum(p_size) as total, (select sum(p_size) from part) as "all" from part group by p_brand""")
+def budget_totals(spark, d):
+    return O.budget(table(spark, d, "part"), "p_brand", "p_size")
+
+
+@query("""with p as (select vec_id, list_transform(embedding[1:30]::double[], lambda x: floor((x + 1) * 127)) as v from embeddings)
+select vec_id, list_transform([v[1], v[4], v[2], v[3]], lambda x, i: round((x / 255 - [0.5, 0.5, 0.25, 0.0][i]) / [0.5, 0.5, 1.0, 2.0][i], 5)) as first from p""")
+def image_tensors(spark, d):
+    """The first bytes of three channels, as planes."""
+    pixels = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 30), lambda x: F.floor((x + 1) * 127))
+    t = table(spark, d, "embeddings").select("vec_id", V.image_tensor(pixels, [0.5, 0.25, 0.0], [0.5, 1.0, 2.0]).alias("t"))
+    return t.select("vec_id", F.transform(F.array(*(F.get("t", F.lit(i)) for i in (0, 1, 10, 20))), lambda x: F.round(x, 5)).alias("first"))
+
+
+@query("""select lang, string_agg(source || ':' || n || ':' || m, '|' order by source || ':' || n || ':' || m) as fingerprint from (select lang, source, count(*) as n, max(n_chars) as m from documents group by all) group by lang""")
+def resource_fingerprints(spark, d):
+    per = table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("m"))
+    return per.groupBy("lang").agg(T.resource_fingerprint(F.col("source"), F.col("n"), F.col("m")).alias("fingerprint"))

@@ -43,3 +43,8 @@ def test_formats(spark):
     assert values(spark, M.eta_text(F.col("x")), [59.4, 60.0, 3599.0, 3600.0, 3660.0], "double") == ["59 s", "1 min", "59 min", "1 h", "1 h 1 min"]
     assert values(spark, M.speed_text(F.col("x")), [2.0, 0.5, 0.0], "double") == ["2.0 items/s", "2.0 s/item", ""]
     assert values(spark, M.progress(F.col("x"), F.lit(4)), [1, 4]) == [0.25, 1.0] and values(spark, M.progress(F.lit(1), F.col("x")), [0], "int") == [0.0]
+
+
+def test_token_texts(spark):
+    vocab = T.load_vocabulary(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a"])
+    assert spark.createDataFrame([([2, 4, 9, 3],)], "i array<long>").select(T.token_texts(F.col("i"), vocab)).first()[0] == ["[CLS]", "a", "[UNK]", "[SEP]"]

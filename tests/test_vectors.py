@@ -52,3 +52,7 @@ def test_properties(spark, pairs):
     for (a, b), r in zip(pairs, df.select(V.cosine("a", "b"), V.cosine("b", "a"), V.l2_norm("a"), V.l2_norm(V.normalize("a"))).collect()):
         assert r[0] == pytest.approx(r[1]) and -1 - 1e-9 <= r[0] <= 1 + 1e-9 and r[2] == pytest.approx(float(np.linalg.norm(a)))
         assert r[3] == pytest.approx(1, abs=1e-3) or r[2] == 0
+
+
+def test_validation_cosine(spark):
+    assert one(spark, V.cosine_or_minus_one("a", "b"), ([1.0], [2.0]), ([0.0], [1.0]), ([], []), ([1.0], [1.0, 2.0])) == [1.0, -1.0, -1.0, -1.0]
