@@ -43,7 +43,7 @@ BOILERPLATE_WORDS = frozenset("""ad ads advert advertisement advertisements adve
 consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay
 pager pagination popup popups promo promotion promotions promoted recommended related replies reply respond search share sharing sidebar
 signin signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets warning alert register
-rail teaser teasers trending popular""".split())
+rail teaser teasers trending popular side foot topnav subnav crumb crumbs adbox adslot advertorial disclaimer discussion feedback""".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CONTENT_WORDS = frozenset("article articlebody content entry main post story body text page".split())
 #: An open element of the first kind is ended by the start of one of the second.
@@ -55,6 +55,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 _ATTR = re.compile(r"""([a-zA-Z:-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LAYOUT = re.compile(r"\b(?:with|has|no|without)[-_][a-z]+", re.I)  # says what a container has beside it, not what it is
 
 
 @lru_cache(maxsize=20000)
@@ -65,7 +66,9 @@ def _mark(tag: str, attrs: str) -> tuple[str, bool]:
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "itemprop"):
-            words = {w.lower() for w in _WORD.findall(value)}
+            words = {w.lower() for w in _WORD.findall(_LAYOUT.sub("", value))}
+            if tag in ("div", "section") and "header" in words:
+                tag = "header"
             bad |= bool(words & BOILERPLATE_WORDS)
             good |= bool(words & CONTENT_WORDS)
         elif name == "role":
@@ -206,7 +209,8 @@ def _is_boilerplate(token: str) -> bool:
         return True
     if "header" in (p.rstrip(".") for p in parts):
         tags = [p.rstrip(".") for p in parts]
-        inside = any(p in ("article", "article.", "main", "main.") for p in parts[:tags.index("header")])
+        at = tags.index("header")
+        inside = parts[at] == "header." or any(p in ("article", "article.", "main", "main.") for p in parts[:at])
         return not (inside and re.fullmatch("h[1-6]", tags[-1]))
     return False
 

@@ -61,3 +61,13 @@ def test_broken_pages():
     for p in ("<p", "<", "<<p>>x", "<div><div><p>a</div>b", "<script>", "<!-- open", "<li>" * 500, "</p></p>x", "<p title='a>b'>c"):
         W.page_blocks(p)
     assert [b[1] for b in W.page_blocks("<ul><li>a<ul><li>b</ul><li>c</ul><p hidden>no</p><dl><dt>d<dd>e</dl>")] == ["a", "b", "c", "d", "e"]
+
+
+def test_kinds_of_elements():
+    page = """<body><div class="wrap with-sidebar"><div id="site-header"><h1>Site</h1></div><div class="breadcrumbs">A / B</div>
+    <div class="post-content"><div class="article-header"><h1>Title</h1><span>by X</span></div><p>One</p><blockquote>Two</blockquote><ul><li>Three</ul>
+    <table><tr><td>Four<td>Five</table></div><div class="reader-comments"><p>No</p></div><div class="sidebar"><p>No</p></div><div role="alert">No</div>
+    <div class="cookie-notice">No</div><form><p>No</p></form></div>"""
+    blocks = W.page_blocks(page)
+    w = W.page_wrapper(blocks)
+    assert W.Extractor(w).text(blocks) == "Title\n\nOne\n\nTwo\n\nThree\n\nFour\n\nFive"
