@@ -90,13 +90,18 @@ def ranked(df: DataFrame, keys: list[str], order: str, salts: int = 64) -> DataF
         "rank", F.col("_r") + F.coalesce("_before", F.lit(0))).drop("_r", "_before", "_salt")
 
 
+def labelled(labels: DataFrame, label: str, held_out: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, y): the labelled ids that aren't held out; of repeated ids the larger label."""
+    return labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").where(
+        ~F.expr(held_out.format(id="id"))).groupBy("id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: str, per_class: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y): at most per_class labelled ids of each label that aren't held out, the smallest by a hash of the id.
 
     The ids are chosen first, so that the texts are found by a join with a table of a bounded size, which is broadcast."""
-    own = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)").where(
-        ~F.expr(held_out.format(id="id"))).groupBy("id").agg(F.max("y").alias("y"))
+    own = labelled(labels, label, held_out, id_col)
     few = None
     for k in (0, 1):
         part = own.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)

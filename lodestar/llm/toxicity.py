@@ -8,6 +8,8 @@ of texts are scored and the loss is taken at each text's highest window.
 
 The network is fitted on a bounded sample of labelled rows (`per_class` of each label, the smallest by a hash of their
 id) and has a bounded size (`vocabulary` words), so it is broadcast. Every row of the input is scored where it is read.
+Training weighs both labels the same; afterwards the logit is moved by `prior` (half) times the log odds of label 1 among
+all labelled rows that training may see: a middle course between the rare label's recall and the common one's peace.
 
 Defined results: a null or blank text scores the network's output for a window without words; a table without labels of
 both kinds scores 0 everywhere; repeated rows are scored each; an empty table gives no rows."""
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fitted, labelled_sample
+from .shared import fitted, labelled, labelled_sample
 
 HIDDEN, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 6, 4096
 WINDOW, STRIDE = 64, 48
@@ -262,9 +264,13 @@ HELD_OUT = "crc32(cast({id} as string)) % 5 = 0"
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000,
-        held_out: str = HELD_OUT, seed: int = 0) -> Network | None:
+        held_out: str = HELD_OUT, seed: int = 0, prior: float = 0.5) -> Network | None:
     sample = labelled_sample(docs, labels, "toxic", held_out, per_class, id_col, text_col)
-    return fitted(sample, lambda texts, y: train(texts, y, seed=seed))
+    net = fitted(sample, lambda texts, y: train(texts, y, seed=seed))
+    if net is not None:
+        n = {r["y"]: r["count"] for r in labelled(labels, "toxic", held_out, id_col).groupBy("y").count().collect()}
+        net.p["c"] += np.float32(prior * np.log(n[1] / n[0]))
+    return net
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000,
