@@ -17,6 +17,7 @@ no rows."""
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shared_dir, written
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -124,6 +125,7 @@ def fitted_books(vectors: DataFrame, sampled: int, books: int, words: int) -> np
     return pickle.loads(got[0]["books"]) if got else None
 
 
+FOUND = "query_id long, vec_id long, score double"
 INDEX = "ids binary, at binary, codes binary, norms binary, vectors binary, n long, dim int"
 
 
@@ -191,40 +193,48 @@ def search_block(b: dict, books: np.ndarray, qid: np.ndarray, q: np.ndarray, k:
         yield from zip([int(qid[i])] * len(top), cand[top].tolist(), value[top].tolist())
 
 
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the first k of each query's candidates."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sampled: int = 10000,
-            books: int = 16, words: int = 256, rerank: int = 256, batch_mb: int = 32) -> DataFrame:
+            books: int = 16, words: int = 256, rerank: int = 256, batch_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row for which `is_query`, a condition on `id`, holds.
 
-    Queries are broadcast in batches of at most batch_mb, each of which scans the index."""
+    Queries are broadcast in batches of about batch_bytes, each of which scans the index once. Of several batches, each
+    one's answers are written and its queries dropped before the next, so the driver holds one batch at a time; the
+    queries are written in the order of their batches, so a batch reads little but its own."""
+    spark = vectors.sparkSession
     v = usable(vectors, id_col, vec_col)
     code = fitted_books(v, sampled, books, words)
-    spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
     if code is None:
-        found = spark.createDataFrame([], schema)
-    else:
-        table = written(index(v, code, k + 1), "codes")
-        queries = v.where(is_query)
-        batches = -(-queries.count() * code.shape[2] * 8 // (batch_mb << 20)) or 1
-        shared = spark.sparkContext.broadcast(code)
-        found = None
-        for i in range(batches):
-            got = queries.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).collect()
-            if not got:
-                continue
-            asked = spark.sparkContext.broadcast((np.array([r["id"] for r in got]), np.array([r["v"] for r in got])))
-
-            def run(rows: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
-                for b in rows:
-                    for block in b.to_pylist():
-                        out = list(search_block(block, shared.value, *asked.value, k, rerank))
-                        cols = list(zip(*out)) or [(), (), ()]
-                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
-                                                         ["query_id", "vec_id", "score"])
-
-            part = table.mapInArrow(run, schema)
-            found = part if found is None else found.union(part)
-        if found is None:
-            found = spark.createDataFrame([], schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return best_of(spark.createDataFrame([], FOUND), k)
+    table = written(index(v, code, k + 1), "codes")
+    queries = v.where(is_query)
+    batches = -(-queries.count() * code.shape[2] * 8 // batch_bytes) or 1
+    shared = spark.sparkContext.broadcast(code)
+
+    def answers(batch: DataFrame):
+        got = batch.collect()
+        asked = spark.sparkContext.broadcast((np.array([r["id"] for r in got], np.int64), np.array([r["v"] for r in got]).reshape(len(got), code.shape[2])))
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                for block in b.to_pylist():
+                    cols = list(zip(*search_block(block, shared.value, *asked.value, k, rerank))) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
+                                                     ["query_id", "vec_id", "score"])
+
+        return best_of(table.mapInArrow(run, FOUND), k), asked
+
+    if batches == 1:
+        return answers(queries)[0]
+    queries = written(queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))).repartitionByRange("batch").sortWithinPartitions("batch"), "queries")
+    path = f"{shared_dir(spark)}/neighbours-{uuid.uuid4().hex}"
+    for i in range(batches):
+        best, asked = answers(queries.where(F.col("batch") == i).select("id", "v"))
+        best.write.mode("append").parquet(path)
+        asked.destroy()
+    return spark.read.schema(best.schema).parquet(path)

@@ -24,14 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder; lost executors lose nothing, later reads start there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), but as a Parquet table: columns can be pruned on reading, and texts or blobs are compressed."""
+    """Computes df once into a Parquet table in the shared checkpoint folder: lost executors lose nothing, later reads
+    start there, with only the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,11 +43,11 @@ def partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id for each node of `edges` (src, dst: long), by alternating large-star and small-star steps.
 
-    Each round is two aggregations and two joins over the remaining edges, cut by a checkpoint. A node's neighbour list
+    Each round is two aggregations and two joins over the remaining edges, whose result is written to the shared folder. A node's neighbour list
     is never gathered: only its minimum is, so a hub with millions of edges is combined before the shuffle. Rounds grow
     with the logarithm of the number of nodes. Returns (node, component), nodes of `edges` only; no edges: no rows."""
-    e = cut(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
-            .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    e = written(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
+                .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -65,7 +60,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself are linked to the smallest of them
         small = (large.join(low2, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low2.select("u", F.col("m").alias("v"))).distinct())
-        nxt = cut(small)
+        nxt = written(small, "stars")
         # ended: a set of stars, where no centre is itself a leaf
         done = nxt.groupBy("u").count().where("count > 1").isEmpty() and nxt.join(
             nxt.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
@@ -76,11 +71,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         "node", F.coalesce("c", "node").alias("component"))
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, salts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: str, salts: int | None = None) -> DataFrame:
     """Adds `rank`, a gapless 0-based number within each group of `keys`, without one task per group.
 
-    A group is dealt into `salts` buckets by a hash of `order` (a unique column); ranks are numbered in each bucket and
-    moved by the sizes of the buckets before it. So the order of ranks is (bucket, order), stable for the same rows."""
+    A group is dealt into `salts` buckets (as many as shuffle partitions, 64 at least, so that one that holds most rows
+    is spread over all tasks) by a hash of `order`, a unique column; ranks are numbered in each bucket and moved by the
+    sizes of the buckets before it. So the order of ranks is (bucket, order), stable for the same rows."""
+    salts = salts or max(64, partitions(df.sparkSession))
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
     sizes = dealt.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(
@@ -111,7 +108,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: st
 
 
 def fitted(sample: DataFrame, fit) -> object:
-    """What fit(texts, labels) returns for a sample of a bounded size, run in one task; None if a label is missing."""
+    """What fit(texts, labels) returns for a sample of a bounded size, run in one task; None if a label is missing.
+
+    Only the sample is sent to that task: the tables it comes from are read by as many tasks as they have parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
@@ -119,5 +118,5 @@ def fitted(sample: DataFrame, fit) -> object:
         model = fit([r[1] for r in rows], y) if len(set(y)) == 2 else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None

@@ -30,7 +30,7 @@ def test_recall_and_scores(spark):
     x = (centre[rnd.integers(0, 20, 3000)] + 0.7 * rnd.normal(size=(3000, 32))).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     want = exact(rows, 5, lambda i: i % 50 == 0)
-    got = run(spark, rows, sampled=1500, rerank=64, batch_mb=1)
+    got = run(spark, rows, sampled=1500, rerank=64, batch_bytes=4000)
     assert set(got) == set(want)
     hit = sum(len({a for a, _ in want[q]} & {a for a, _, _ in got[q]}) for q in want)
     assert hit >= 0.9 * 5 * len(want)
