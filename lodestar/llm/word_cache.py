@@ -31,7 +31,7 @@ class WordCache:
 
     def _learn(self, parts: list[str]) -> None:
         plain = [p for p in parts if p and not p[-1].isspace()]
-        groups = [plain[at:at + 64] for at in range(0, len(plain), 64)]
+        groups = [plain[at:at + 512] for at in range(0, len(plain), 512)]
         for some, ids in zip(groups, self.whole([self.lead + " ".join(g) for g in groups])):
             ends = np.cumsum([self.space + (len(p) if p.isascii() else len(p.encode())) for p in some])
             places = np.cumsum(self.width[ids])
