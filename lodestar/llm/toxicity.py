@@ -38,7 +38,6 @@ def normal(word: str) -> str:
     return word.lower() if word.isalnum() else _EDGES.sub("", word).lower()
 
 
-@lru_cache(maxsize=200_000)
 def grams(word: str) -> list[int]:
     b = f"^{word}$".encode("utf-8", "surrogatepass")
     return [(b[i] * 961 + b[i + 1] * 31 + b[i + 2]) % GRAMS for i in range(len(b) - 2)]
@@ -56,6 +55,7 @@ class Network:
         rnd = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         self.vocab = vocab
+        self.grams = grams  # while training, with a cache
         self.p = {
             "E": np.zeros((len(vocab) + 1, WORD_DIM)), "C": rnd.normal(0, 0.1, (GRAMS, CHAR_DIM)),
             "W": rnd.normal(0, d**-0.5, (2, d, 3 * h)), "U": rnd.normal(0, h**-0.5, (2, h, 3 * h)), "b": np.zeros((2, 1, 3 * h)),
@@ -65,7 +65,7 @@ class Network:
 
     def inputs(self, words: list[str]) -> np.ndarray:
         """(len(words), WORD_DIM + CHAR_DIM): the input vectors of normalised words."""
-        g = [grams(w) for w in words]
+        g = [self.grams(w) for w in words]
         n = np.fromiter(map(len, g), np.int64, len(g))
         mean = np.zeros((len(words), CHAR_DIM), np.float32)
         some = np.flatnonzero(n)
@@ -189,6 +189,7 @@ def train(texts: list[str], labels: list[int], vocabulary: int = 20000, steps: i
     words = sorted((w for w in odds if abs(odds[w]) >= sure * error(w)), key=lambda w: (-abs(odds[w]), w))[:vocabulary]
     steps = min(steps, max(least, 8 * 2 * min(size) // batch))
     net = Network({w: i + 1 for i, w in enumerate(words)}, seed)
+    net.grams = lru_cache(maxsize=200_000)(grams)
     net.p["E"][1:, 0] = np.clip([odds[w] for w in words], -2, 4)
     rnd = np.random.default_rng(seed)
     m, s2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
@@ -216,7 +217,7 @@ def train(texts: list[str], labels: list[int], vocabulary: int = 20000, steps: i
         grad["E"] = np.zeros_like(net.p["E"])
         np.add.at(grad["E"], [net.vocab.get(w, 0) for w in own], dx[:, :WORD_DIM])
         grad["E"][0] = 0
-        g = [grams(w) for w in own]
+        g = [net.grams(w) for w in own]
         count = np.fromiter(map(len, g), np.int64, len(g))
         grad["C"] = np.zeros_like(net.p["C"])
         np.add.at(grad["C"], np.fromiter((i for v in g for i in v), np.int64, count.sum()),
@@ -227,16 +228,17 @@ def train(texts: list[str], labels: list[int], vocabulary: int = 20000, steps: i
             net.p[k] -= (rate * (1 - step / (steps + 1)) ** 0.5 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             if k in ("E", "C"):
                 net.p[k] *= 1 - 1e-4
+    net.grams = grams
     return net
 
 
 class Scorer:
-    """Scores texts in a task; keeps the projected inputs of `most` distinct words at most."""
+    """Scores texts in a task; keeps the projected inputs of `most` distinct words, or of one call's words if they are more."""
 
-    def __init__(self, net: Network, most: int = 300_000):
+    def __init__(self, net: Network, most: int = 200_000):
         self.net, self.most = net, most
         self.rows: dict[str, int] = {}
-        self.px = np.zeros((2, 1024, 3 * HIDDEN), np.float32)
+        self.px = np.zeros((2, most, 3 * HIDDEN), np.float32)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         split = [t.split() for t in texts]
@@ -248,8 +250,8 @@ class Scorer:
         fresh = [w for w in fresh if w not in self.rows]
         if fresh:
             first = len(self.rows)
-            if first + len(fresh) > self.px.shape[1]:
-                self.px = np.concatenate([self.px[:, :first], np.zeros((2, first + 2 * len(fresh), 3 * HIDDEN), np.float32)], axis=1)
+            if first + len(fresh) > self.px.shape[1]:  # rows is empty then
+                self.px = np.zeros((2, len(fresh), 3 * HIDDEN), np.float32)
             for i in range(0, len(fresh), 20000):
                 some = fresh[i:i + 20000]
                 self.px[:, first + i:first + i + len(some)] = self.net.project(self.net.inputs([normal(w) for w in some]))
