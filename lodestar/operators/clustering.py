@@ -26,7 +26,7 @@ def dbscan(points: DataFrame, edges: DataFrame, min_neighbors: int, id_col: str
     """(id, cluster): clusters are numbered from 1 by the smallest id of their core points, -1 is noise.
 
     edges: (src, dst) in both directions. A core point has min_neighbors or more. Cores are joined by label propagation
-    with pointer jumping, a checkpoint each round; a border point goes to the lowest-numbered cluster beside it."""
+    with pointer jumping, a written table each round; a border point goes to the lowest-numbered cluster beside it."""
     cores = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_neighbors).select(F.col("src").alias("id"))
     cores = cut(cores)
     links = cut(edges.join(cores.select(F.col("id").alias("src")), "src", "left_semi").join(cores.select(F.col("id").alias("dst")), "dst", "left_semi"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.session import cut, fresh_path
 
 #: Results of an engine search and of the views, and the adaptive cutoff's tiers.
 ENGINE_TOP_K, VIEW_TOP_K = 12, 30
@@ -45,15 +47,31 @@ def top_k(index: DataFrame, query: list[float], k: int = ENGINE_TOP_K, id_col: s
     return index.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(best, "id").limit(k)
 
 
-def _blocks(rows: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows as (ids, matrix), BATCH_BYTES at most at a time."""
-    v = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+def _by_block(asked: DataFrame, id_col: str, vec_col: str, answer: Callable[[Broadcast], DataFrame], schema: str) -> DataFrame:
+    """The rows of answer(block) for all blocks of `asked`, a block being a broadcast (ids, matrix) of about BATCH_BYTES.
+
+    One block: a lazy plan. Several: each one's answer is written and its broadcast dropped before the next, so that the
+    driver and the executors hold one block at a time; rows are written in the order of their blocks first, so that a
+    block is read without the others."""
+    spark = asked.sparkSession
+    v = asked.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     size = v.agg(F.sum(F.size("v")) * 8).first()[0] or 0
     n = int(-(-size // BATCH_BYTES)) or 1
+
+    def block(rows: DataFrame) -> Broadcast | None:
+        got = rows.collect()
+        return spark.sparkContext.broadcast((np.array([r["id"] for r in got]), np.array([r["v"] for r in got]))) if got else None
+
+    if n == 1:
+        shared = block(v)
+        return answer(shared) if shared else spark.createDataFrame([], schema)
+    dealt = cut(v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).repartitionByRange("block").sortWithinPartitions("block"), "blocks")
+    path = fresh_path(spark, "answers")
     for i in range(n):
-        got = v.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).collect()
-        if got:
-            yield np.array([r["id"] for r in got]), np.array([r["v"] for r in got])
+        if shared := block(dealt.where(F.col("block") == i).select("id", "v")):
+            answer(shared).write.mode("append").parquet(path)
+            shared.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -65,17 +83,13 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
                 exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k best by cosine for each query, ties to smaller ids.
 
-    Queries are broadcast in batches of a bounded size. A task scores its rows by matrix products and keeps k a query, so
+    Queries are broadcast in blocks of a bounded size. A task scores its rows by matrix products and keeps k a query, so
     k rows a query and task are shuffled, never the index."""
-    found = None
-    spark = index.sparkSession
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kind = index.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, score double"
-    for block in _blocks(queries, id_col, vec_col):
-        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def answer(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
             q = _unit(q)
             for b in batches:
@@ -98,12 +112,11 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c)) if len(c) else pa.array([], t) for c, t in zip(
                     out, (b.schema.field("id").type,) * 2 + (pa.float64(),))], ["query_id", "id", "score"])
 
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return rows.mapInArrow(run, f"query_id {kind}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
+            F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+    return _by_block(queries, id_col, vec_col, answer, f"query_id {kind}, rank int, id {kind}, score double")
 
 
 def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", most: int | None = None) -> DataFrame:
@@ -111,14 +124,11 @@ def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id",
 
     With `most`, the best that many of each row, as a clustering that asks for a bounded number of neighbours. Rows are
     met block by block: blocks of a bounded size are broadcast in turn."""
-    spark = index.sparkSession
     kind = index.schema[id_col].dataType.simpleString()
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    found = None
-    for block in _blocks(index, id_col, vec_col):
-        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def answer(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other, y = shared.value
             y = _unit(y)
             for b in batches:
@@ -131,10 +141,10 @@ def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id",
                     ok = (np.round(score, 12) >= threshold) & (ids[at + i] != other[j])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at + i[ok]]), pa.array(other[j[ok]]), pa.array(score[ok])], ["src", "dst", "score"])
 
-        part = rows.mapInArrow(run, f"src {kind}, dst {kind}, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], f"src {kind}, dst {kind}, score double")
+        return rows.mapInArrow(run, schema)
+
+    schema = f"src {kind}, dst {kind}, score double"
+    found = _by_block(index, id_col, vec_col, answer, schema)
     if most is not None:
         w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
         found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the checkpoint folder; later reads start there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Computes df once into a Parquet table of the shared folder; later reads start there, with the columns they need.
+    (A checkpoint would compute the last stage twice.)"""
+    df.write.parquet(path := fresh_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
