@@ -22,6 +22,16 @@ LENIENT, BALANCED, STRICT = Preset(0.75, 2), Preset(0.80, 3), Preset(0.85, 4)
 NEIGHBORS = 100
 
 
+def numbered(roots: DataFrame) -> DataFrame:
+    """(root, cluster): the distinct roots numbered from 1 in their order. Roots are sorted by ranges and numbered within
+    each part; only one row for each part meets the others."""
+    dealt = cut(roots.repartitionByRange("root").withColumn("part", F.spark_partition_id()))
+    before = dealt.groupBy("part").agg(F.min("root").alias("low"), F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(
+        Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("root"))
+    return dealt.join(before, "part").select("root", (F.col("before") + nth).cast("int").alias("cluster"))
+
+
 def dbscan(points: DataFrame, edges: DataFrame, min_neighbors: int, id_col: str = "vec_id") -> DataFrame:
     """(id, cluster): clusters are numbered from 1 by the smallest id of their core points, -1 is noise.
 
@@ -39,14 +49,25 @@ def dbscan(points: DataFrame, edges: DataFrame, min_neighbors: int, id_col: str
         label = nxt.select("id", "root")
         if not nxt.where("moved").limit(1).count():
             break
-    roots = label.select("root").distinct()
-    numbered = roots.withColumn("cluster", F.row_number().over(Window.orderBy("root")))  # one row for each cluster
-    core = label.join(numbered, "root").select("id", "cluster")
+    core = label.join(numbered(label.select("root").distinct()), "root").select("id", "cluster")
     border = (edges.join(core.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy("src").agg(F.min("cluster").alias("beside")))
     return (points.select(F.col(id_col).alias("id")).join(core, "id", "left").join(border, F.col("id") == F.col("src"), "left")
             .select("id", F.coalesce("cluster", "beside", F.lit(-1)).cast("int").alias("cluster")))
 
 
+class NothingToCluster(ValueError):
+    """There is no index, or it is empty."""
+
+
+def cluster_index(entries: DataFrame | None, preset: Preset = BALANCED, id_col: str = "asset_id", vec_col: str = "embedding") -> DataFrame:
+    """clusters() of an index's entries at a preset's strength; NothingToCluster without an index or without entries."""
+    if entries is None:
+        raise NothingToCluster("no index has been built")
+    if entries.isEmpty():
+        raise NothingToCluster("the index is empty")
+    return clusters(cluster_vectors(entries, preset.threshold, preset.min_neighbors, id_col, vec_col), preset.threshold)
+
+
 def cluster_vectors(index: DataFrame, threshold: float, min_neighbors: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """dbscan() over the edges of a similarity self-join; a row has at most NEIGHBORS - 1 neighbours besides itself."""
     edges = cut(similarity_join(index, threshold, id_col, vec_col, most=NEIGHBORS - 1).select("src", "dst"))

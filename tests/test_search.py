@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import clustering as C
 from lodestar.operators import search as S
@@ -104,3 +105,19 @@ def test_clusters_equal_sequential_scan(spark, t, least):
     assert [got[i] for i in range(120)] == want
     stats = C.statistics(spark.createDataFrame(list(got.items()), "id long, cluster int")).first()
     assert stats.cluster_count == max(0, *want) and (stats.average_size is None) == (max(want) < 1)
+
+
+def test_cluster_index(spark):
+    with pytest.raises(C.NothingToCluster):
+        C.cluster_index(None)
+    rows = [(f"a{i}", [1.0, 0.01 * i]) for i in range(5)] + [(f"b{i}", [0.01 * i, 1.0]) for i in range(5)] + [("c", [-1.0, -1.0])]
+    entries = spark.createDataFrame(rows, "asset_id string, embedding array<float>")
+    with pytest.raises(C.NothingToCluster):
+        C.cluster_index(entries.limit(0))
+    got = {r.cluster: (r.size, r.center_id, r.members) for r in C.cluster_index(entries, C.STRICT).collect()}
+    assert got == {1: (5, "a0", ["a0", "a1", "a2", "a3", "a4"]), 2: (5, "b0", ["b0", "b1", "b2", "b3", "b4"])}
+
+
+def test_numbered_over_many_parts(spark):
+    roots = spark.range(0, 3000, 3).select(F.col("id").alias("root"))
+    assert sorted((r.root, r.cluster) for r in C.numbered(roots).collect()) == [(3 * i, i + 1) for i in range(1000)]

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import struct
 import zlib
 
@@ -7,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import encoders as E
+from lodestar.functions import vectors as V
 from lodestar.operators import catalog_ops as O
-from lodestar.sources import codec
+from lodestar.sources import codec, golden
 from lodestar.sources.store import Checkpoint, IndexStore, Manifest
 from lodestar.streaming import index_build as B
 
@@ -162,3 +164,16 @@ def test_cached_embedding(spark):
     assert out.count() == 6 and new.count() == 2
     out, new = E.cached_embed(rows, "payload", new, E.NoEncoder())
     assert new.count() == 0 and out.count() == 6 and all(abs(np.linalg.norm(r.embedding) - 1) < 1e-3 for r in out.collect())
+
+
+def test_golden_file(spark, tmp_path):
+    doc = {"baseline_version": "1", "model": {"id": "m"}, "tolerances": {"similarity_abs_diff_max": 0.002},
+           "text_cases": [{"id": "t", "text": "Café", "token_ids": [1, 2], "text_embedding": [0.6, 0.8]}],
+           "image_cases": [{"id": "i", "image": "i.jpg", "image_embedding": [1.0, 0.0]}],
+           "similarity_cases": [{"id": "a", "image_case_id": "i", "text_case_id": "t", "similarity": 0.6}, {"id": "b", "image_case_id": "i", "text_case_id": "none", "similarity": 0.1}]}
+    (tmp_path / "golden.json").write_text(json.dumps(doc, indent=2))
+    g = golden.read(spark, f"file://{tmp_path}/golden.json")
+    assert g.first().tolerances.similarity_abs_diff_max == np.float32(0.002) and g.first().model.id == "m" and g.first().generated_at is None
+    assert [(r.text, r.token_ids) for r in golden.cases(g, "text").collect()] == [("Café", [1, 2])]
+    got = golden.similarity_pairs(g).select("id", "similarity", V.cosine("image_embedding", "text_embedding").alias("own")).collect()
+    assert [r.id for r in got] == ["a"] and abs(got[0].own - got[0].similarity) < 0.002
