@@ -137,15 +137,14 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     Only documents with live spans take part in the join by id; rows with equal ids and different texts must not occur."""
     live = secret_scan(docs, id_col, text_col, repo_col, owner_col).select(F.col("doc_id").alias("_id"), F.filter(
         "found", lambda x: x["live"]).alias("_live")).where(F.size("_live") > 0).groupBy("_id").agg(F.first("_live").alias("_live"))
-    text = F.col(text_col)
+    text, spans = docs[text_col], live["_live"]
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate("_live", state, lambda a, x: F.struct(
+    done = F.aggregate(spans, state, lambda a, x: F.struct(
         F.when(x["end"] <= a["at"], a["out"]).when(x["start"] < a["at"], a["out"]).otherwise(
             F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
         F.greatest(a["at"], x["end"]).alias("at")), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    names = docs.columns
-    return docs.join(live, F.col(id_col) == F.col("_id"), "left").select(
-        *(F.when(F.col("_live").isNotNull(), done).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names))
+    return docs.join(live, docs[id_col] == live["_id"], "left").select(
+        *(F.when(spans.isNotNull(), done).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def brute_digest(text: str) -> tuple[int, int, int, str]:

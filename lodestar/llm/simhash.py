@@ -195,4 +195,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs whose id is its component's smallest, with all their columns; of repeated ids, every row."""
     keep = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select(
         F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col(id_col) == F.col("_kept"), "left_semi")
+    return docs.join(keep, docs[id_col] == keep["_kept"], "left_semi")

@@ -47,3 +47,14 @@ def test_random_texts_match_brute_force():
         for _, k, _, _ in S.base_spans(t):
             n[k] += 1
         assert tuple(n) == S.brute_digest(t)[:3]
+
+
+def test_clashing_names(spark):
+    from lodestar.llm import secret_scan as S
+    from lodestar.llm import simhash
+
+    rows = [(1, "a token = Zx81Qw77Lm20Pk39Rt55 b", "s", 7, 8, 9), (2, "plain text", "s", 1, 2, 3), (3, "plain text", "s", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _live int, _id int, _kept int")
+    got = {r.doc_id: r for r in S.redacted(docs).collect()}
+    assert docs.columns == S.redacted(docs).columns and "Zx81" not in got[1].text and (got[1]._live, got[1]._id, got[3]._kept) == (7, 8, 6)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
