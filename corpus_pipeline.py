@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import packing, secret_scan, simhash, suffix_dedup, toxicity
+from lodestar.llm import near_duplicates, packing, secret_scan, suffix_dedup, toxicity
 from lodestar.llm.queries import vocabulary
 from lodestar.llm.shared import table, written
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_duplicates.keep_one(docs, size=5, least=0.8)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

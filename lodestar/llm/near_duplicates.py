@@ -1,0 +1,154 @@
+"""Near-duplicate components by shingle similarity: two texts link if the sets of their five-word shingles have a Jaccard
+similarity of 0.8 or more.
+
+Texts of equal sets are one class. The minima of a class's set under 200 orders are cut into 40 bands of 5; classes that
+share a band are candidates. A pair of similarity s shares none with probability (1 - s^5)^40: 1.3e-7 at 0.8, less above.
+Each band links its classes to its smallest one, so candidate components come from as many rows as there are bands. Inside
+a candidate component every pair is compared by its exact sets, unless links found before connect it already. A large
+component is dealt into blocks of about `block` classes, and each pair of blocks is compared in a task of its own.
+
+Defined results: null and blank texts are one class; a row with a null id is kept; of repeated ids, every row stays or goes."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import connected_components, written
+
+BANDS, ROWS = 40, 5
+_RND = np.random.default_rng(20)
+FLIP = _RND.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None]
+ODD = _RND.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+SEEDS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `size` words; a shorter text is one shingle, a blank one has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths).tolist()
+    size = min(size, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1:].tolist())], np.uint64))
+
+
+def set_digest(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64)) if len(h) else 0
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set that isn't empty."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        low = np.minimum(low, ((h[None, at:at + 1024] ^ FLIP) * ODD).min(1))
+    key = SEEDS.copy()
+    for part in low.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(doc_id, digest of the set, keys), a row per input row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, size) for t in b.column(1).to_pylist()]
+            keys = pa.array([bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_digest, sets), pa.int64()), keys], ["doc_id", "digest", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, digest long, keys array<long>")
+
+
+def similar_links(rows: list[tuple[int, int, frozenset]], least: float, own: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of (digest, block, set) with similarity `least` or more: all pairs within one block
+    (own), or all between two."""
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    rows = sorted(rows, key=lambda r: (len(r[2]), r[0]))
+    out = []
+    start = 0
+    for i, (digest, block, s) in enumerate(rows):
+        while len(rows[start][2]) < least * len(s) - 1e-9:
+            start += 1
+        for j in range(start, i):
+            other, beside, t = rows[j]
+            if (own or block != beside) and find(i) != find(j):
+                both = len(s & t)
+                if both >= least * (len(s) + len(t) - both) - 1e-9:
+                    root[find(i)] = find(j)
+                    out.append((digest, other))
+    return out
+
+
+def links(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(src, dst: digests) from (digest, text, component, p, i, j): the members of block pair (i, j) of a component."""
+
+    def done(members: dict[int, tuple[int, str]], own: bool) -> pa.RecordBatch:
+        sets = [(d, p, h) for d, (p, t) in members.items() if set_digest(h := shingles(t, size)) == d]
+        got = similar_links([(d, p, frozenset(h.tolist())) for d, p, h in sets], least, own)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, {}
+        for b in batches:
+            for digest, text, c, p, i, j in zip(*(col.to_pylist() for col in b.columns)):
+                if at != (c, i, j):
+                    if len(members) > 1:
+                        yield done(members, at[1] == at[2])
+                    at, members = (c, i, j), {}
+                # of repeated ids with other texts, the one of this digest
+                if digest not in members or set_digest(shingles(text, size)) == digest:
+                    members[digest] = (p, text)
+        if len(members) > 1:
+            yield done(members, at[1] == at[2])
+
+    return texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "src long, dst long")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8,
+               block: int = 400) -> DataFrame:
+    """(doc_id, component_id: the smallest doc_id reachable by links), a row per input row."""
+    if not 0.8 <= least <= 1:
+        raise ValueError("the bands find similarities of 0.8 and more")
+    rows = written(classes(docs, id_col, text_col, size), "classes")
+    # an exact copy adds no row here
+    keyed = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")).select("digest", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("last")).where("hub < last").select("key", "hub")
+    near = connected_components(keyed.join(hubs, "key").where("digest <> hub").select(F.col("digest").alias("src"), F.col("hub").alias("dst")).distinct())
+    near = written(near.withColumnRenamed("node", "digest"), "candidates")
+    parts = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
+    one = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    dealt = near.join(parts, "component").join(one, "digest").select("doc_id", "digest", "component", "g", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int").alias("p"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = own.join(dealt, "doc_id").select("digest", "text", "component", "p", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("q")).select(
+        "digest", "text", "component", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    found = connected_components(links(texts, size, least))
+    joined = rows.select("doc_id", "digest").join(found.withColumnRenamed("node", "digest"), "digest", "left").select(
+        "doc_id", F.coalesce("component", "digest").alias("component"))
+    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(smallest, "component").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs whose id is its component's smallest, and those without an id, with all their columns."""
+    gone = components(docs, id_col, text_col, **how).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where(
+        "not stays").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

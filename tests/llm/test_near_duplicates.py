@@ -1,0 +1,71 @@
+import random
+
+import corpus_pipeline
+from lodestar.llm import near_duplicates, simhash
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(texts):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if s == t or 5 * len(s & t) >= 4 * len(s | t):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def corpus():
+    """Near copies planted at similarities 0.8 to 0.95 and below, a hot group of copies of copies, short and blank texts."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    texts, planted = [], []
+    for _ in range(60):
+        w = rnd.choices(words, k=rnd.choice([60, 200, 600]))
+        texts.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for at in rnd.sample(range(len(v)), rnd.randint(1, max(1, len(v) // 35))):
+                v[at] = rnd.choice(words)
+            a, b = shingle_set(texts[-1]), shingle_set(" ".join(v))
+            planted.append(len(a & b) / len(a | b))
+            texts.append(" ".join(v))
+    base = rnd.choices(words, k=120)
+    for _ in range(120):
+        v = list(base)
+        for at in rnd.sample(range(120), rnd.randint(0, 8)):
+            v[at] = rnd.choice(words)
+        texts.append(" ".join(v))
+    return texts + [None, "", "  ", "a b c", "A  B c", "a b d"], planted
+
+
+def test_against_brute_force(spark):
+    texts, planted = corpus()
+    want = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sum(0.8 <= s <= 0.95 for s in planted) > 50
+    for block in (400, 25):
+        got = {r.doc_id: r.component_id for r in near_duplicates.components(docs, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(want)
+    # three differing bits of three-word fingerprints leave most of the planted copies
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} - set(want)
+
+
+def test_ids(spark):
+    long = " ".join(f"x{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, "clean and distinct text of its own"), (1, long), (2, long + " y"), (2, "other words"), (3, long)],
+                                 "doc_id long, text string")
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in near_duplicates.keep_one(docs).collect()) == [(0, "cle"), (1, "x0 "), (2, "oth"), (2, "x0 ")]
+    assert near_duplicates.keep_one(docs.where("false")).count() == 0
