@@ -5,7 +5,8 @@ block-level tags, a path being the token that streams are aligned on and the tex
 four tokens fold into groups. The streams of a host are aligned one after another: matching tokens meet in one node, what
 one side lacks becomes optional, what one side repeats becomes a repeated group, and slots whose texts differ become text
 slots, the others stay fixed text. The result, a sequence of (groups)+ and (groups)?, is the host's wrapper; it also sums
-up the lengths of texts and of link texts in each node. From it the nodes of the article are chosen: boilerplate elements
+up the lengths of texts and of link texts in each node. Pages with an article element, with a main element, with
+content of another name and without any are a host's templates with a wrapper each, so that none is read by another's rules. From the wrapper the nodes of the article are chosen: boilerplate elements
 and classes are out; then what stands in an article, main or content element, else the container with the most text that
 is neither fixed nor links.
 
@@ -58,10 +59,15 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LAYOUT = re.compile(r"\b(?:with|has|no|without)[-_][a-z]+", re.I)  # says what a container has beside it, not what it is
 
 
+#: Ids of these are anchors, which say what the text is about.
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 hgroup p li dt dd blockquote pre figure figcaption caption td th tr".split())
+
+
 @lru_cache(maxsize=20000)
-def _mark(tag: str, attrs: str) -> tuple[str, bool]:
+def _mark(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
     """An element's part of a path, and whether it is hidden: the tag, with ! if it is boilerplate by class, id or role,
-    or with . if it is content. Other names are dropped, for they differ from page to page."""
+    or with . if it is content. Other names are dropped, for they differ from page to page. The id of a heading or a
+    paragraph makes no boilerplate, nor that of a section inside an article."""
     bad, good, hidden = tag in BOILERPLATE_TAGS, False, False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
@@ -69,7 +75,8 @@ def _mark(tag: str, attrs: str) -> tuple[str, bool]:
             words = {w.lower() for w in _WORD.findall(_LAYOUT.sub("", value))}
             if tag in ("div", "section") and "header" in words:
                 tag = "header"
-            bad |= bool(words & BOILERPLATE_WORDS)
+            if name != "id" or not (tag in ANCHORED or (tag == "section" and inside)):
+                bad |= bool(words & BOILERPLATE_WORDS)
             good |= bool(words & CONTENT_WORDS)
         elif name == "role":
             bad |= value.lower() in BOILERPLATE_ROLES
@@ -140,7 +147,7 @@ def page_blocks(page: str | None) -> list[tuple[str, str, int]]:
                 del stack[k:]
                 break
         if tag not in VOID:
-            part, gone = _mark(tag, m[4] or "")
+            part, gone = _mark(tag, m[4] or "", tag == "section" and any(x[1] in ("article.", "main.") for x in stack))
             stack.append((tag, part, gone))
             hidden += gone
         path = "/".join(x[1] for x in stack)
@@ -215,6 +222,12 @@ def _is_boilerplate(token: str) -> bool:
     return False
 
 
+def template(blocks: list[tuple[str, str, int]]) -> str:
+    """What holds text of this page: article or main elements, else content of another name, else nothing marked."""
+    held = {p for path, _, _ in blocks if not _is_boilerplate(path) for p in path.split("/")}
+    return "article" if "article." in held else "main" if "main." in held else "content" if any(p.endswith(".") for p in held) else ""
+
+
 def roles(wrapper: dict) -> list[bool]:
     """Which nodes are the article's."""
     nodes = wrapper["nodes"]
@@ -241,7 +254,7 @@ def roles(wrapper: dict) -> list[bool]:
 
 
 class Extractor:
-    """Applies one host's wrapper; keeps the choice for each shape of page."""
+    """Applies the wrapper of a host's template; keeps the choice for each shape of page."""
 
     def __init__(self, wrapper: dict):
         self.nodes = [tuple(x[0]) for x in wrapper["nodes"]]
@@ -268,15 +281,20 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def _add(held: dict[str, dict], host: str, wrappers: dict[str, dict]) -> None:
+    own = held.setdefault(host, {})
+    for t, w in wrappers.items():
+        own[t] = aligned(own[t], w) if t in own else w
+
+
 def _merge(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One wrapper for each host and task, from partial ones dealt by `keys`."""
+    """The wrappers of each host and task, from partial ones dealt by `keys`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict] = {}
         for b in batches:
             for host, w in zip(b.column("host").to_pylist(), b.column("wrapper").to_pylist()):
-                w = json.loads(w)
-                held[host] = aligned(held[host], w) if host in held else w
+                _add(held, host, json.loads(w))
         yield _wrapper_rows(held)
 
     return rows.repartition(*keys).select("host", "wrapper").mapInArrow(run, "host string, wrapper string")
@@ -288,14 +306,14 @@ def _wrapper_rows(held: dict[str, dict]) -> pa.RecordBatch:
 
 
 def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, wrapper: json), one row per host, from all pages."""
+    """(host, wrapper: json of a wrapper by template), one row per host, from all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict] = {}
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = page_wrapper(page_blocks(page))
-                held[host] = aligned(held[host], w) if host in held else w
+                blocks = page_blocks(page)
+                _add(held, host, {template(blocks): page_wrapper(blocks)})
         yield _wrapper_rows(held)
 
     parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(
@@ -312,7 +330,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     known = pages.sparkSession.sparkContext.broadcast({r["host"]: json.loads(r["wrapper"]) for r in wrappers.collect()} if small else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[str, Extractor] = {}
+        made: dict[str, dict[str, Extractor]] = {}
         for b in batches:
             texts = []
             given = b.column("wrapper").to_pylist() if known.value is None else [None] * b.num_rows
@@ -320,8 +338,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if host not in made:
                     if len(made) > 2000:
                         made.clear()
-                    made[host] = Extractor(known.value[host] if known.value is not None else json.loads(w))
-                texts.append(made[host].text(page_blocks(page)))
+                    made[host] = {t: Extractor(x) for t, x in (known.value[host] if known.value is not None else json.loads(w)).items()}
+                blocks = page_blocks(page)
+                texts.append(made[host][template(blocks)].text(blocks))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
