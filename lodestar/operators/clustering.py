@@ -17,9 +17,8 @@ class Preset:
     min_neighbors: int
 
 
-#: The three strengths of clustering, and the neighbours asked for (with the row itself).
+#: The three strengths of clustering.
 LENIENT, BALANCED, STRICT = Preset(0.75, 2), Preset(0.80, 3), Preset(0.85, 4)
-NEIGHBORS = 100
 
 
 def numbered(roots: DataFrame) -> DataFrame:
@@ -32,12 +31,16 @@ def numbered(roots: DataFrame) -> DataFrame:
     return dealt.join(before, "part").select("root", (F.col("before") + nth).cast("int").alias("cluster"))
 
 
-def dbscan(points: DataFrame, edges: DataFrame, min_neighbors: int, id_col: str = "vec_id") -> DataFrame:
+def dbscan(points: DataFrame, edges: DataFrame, min_neighbors: int, id_col: str = "vec_id",
+           degrees: DataFrame | None = None) -> DataFrame:
     """(id, cluster): clusters are numbered from 1 by the smallest id of their core points, -1 is noise.
 
-    edges: (src, dst) in both directions. A core point has min_neighbors or more. Cores are joined by label propagation
+    edges: (src, dst) in both directions. A core point has min_neighbors or more, by its edges or by
+    degrees (src, n) where points stand for several rows. Cores are joined by label propagation
     with pointer jumping, a written table each round; a border point goes to the lowest-numbered cluster beside it."""
-    cores = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_neighbors).select(F.col("src").alias("id"))
+    if degrees is None:
+        degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    cores = degrees.where(F.col("n") >= min_neighbors).select(F.col("src").alias("id"))
     cores = cut(cores)
     links = cut(edges.join(cores.select(F.col("id").alias("src")), "src", "left_semi").join(cores.select(F.col("id").alias("dst")), "dst", "left_semi"))
     label = cores.withColumn("root", F.col("id"))
@@ -69,9 +72,19 @@ def cluster_index(entries: DataFrame | None, preset: Preset = BALANCED, id_col:
 
 
 def cluster_vectors(index: DataFrame, threshold: float, min_neighbors: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """dbscan() over the edges of a similarity self-join; a row has at most NEIGHBORS - 1 neighbours besides itself."""
-    edges = cut(similarity_join(index, threshold, id_col, vec_col, most=NEIGHBORS - 1).select("src", "dst"))
-    return dbscan(index, edges, min_neighbors, id_col)
+    """(id, cluster) of dbscan() over all edges of a similarity self-join.
+
+    Rows of equal vectors have the same neighbours: the one with the smallest id stands for them all, with their number."""
+    v = F.col(vec_col)
+    reps = cut(index.groupBy(v).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n")))
+    edges = cut(similarity_join(reps, threshold, id_col, vec_col).select("src", "dst"))
+    near = edges.join(reps.select(F.col(id_col).alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("near"))
+    itself = F.when(F.exists(v, lambda x: x != 0), 1.0).otherwise(0.0)
+    degrees = reps.select(F.col(id_col).alias("src"), F.when(itself >= threshold, F.col("n") - 1).otherwise(0).alias("equal")).join(near, "src", "left").select(
+        "src", (F.col("equal") + F.coalesce("near", F.lit(0))).alias("n"))
+    labels = dbscan(reps, edges, min_neighbors, id_col, degrees)
+    classes = reps.select(F.col(id_col).alias("_rep"), v.alias("_v")).join(labels.withColumnRenamed("id", "_rep"), "_rep")
+    return index.select(F.col(id_col).alias("id"), v.alias("_v")).join(classes, "_v").select("id", "cluster")
 
 
 def clusters(labels: DataFrame, threshold: float) -> DataFrame:
