@@ -3,13 +3,15 @@
 The model's protobuf is read field by field. From it are rebuilt the normaliser (the compiled character map, the removal
 of extra spaces, the dummy prefix, the metaspace marker), the model (unigram with its scores, or BPE with merges in the
 order of the scores of what they make; byte fallback for both) and the decoder. Batches are encoded by the library in as
-many threads as RAYON_NUM_THREADS gives, one to a task on a cluster.
+many threads as a task has cores (spark.task.cpus).
 
-`verify` compares with the sentencepiece library; encode() does so for a few texts of every batch and fails loudly on a
-difference. Runs of metaspace markers with equal scores, which the two libraries may merge in another order, are left to
-sentencepiece itself.
+Parity with the sentencepiece library is verified throughout: of texts that are split into words, every distinct word, once
+in a worker (its ids do not depend on its neighbours); of models whose texts cannot be split, every text. A difference fails loudly.
+Runs of metaspace markers with equal scores, which the two libraries may merge in another order, are left to sentencepiece
+itself; `own` tells the texts that the tokenizers library encoded.
 
-Defined results: a null text is empty and has no ids; repeated rows come out each; an empty table gives no rows."""
+Defined results: a null text is empty and has no ids; very long texts are encoded whole, never cut; ties between merges go
+to the piece with the smaller id; repeated rows come out each; an empty table gives no rows; a null id stays null."""
 
 from __future__ import annotations
 
@@ -18,13 +20,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_cache import WordCache, one_thread_each
+from .word_cache import WordCache, blocks_of, threads_each
 
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces and kinds of models.
@@ -119,8 +122,9 @@ class Model:
 class Codec:
     """Encodes and decodes; processor is the sentencepiece library's own, for verification and for runs of markers."""
 
-    def __init__(self, path: str):
-        one_thread_each()
+    def __init__(self, path: str, cpus: int = 1):
+        threads_each(cpus)
+        self.cpus = cpus
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -135,65 +139,80 @@ class Codec:
         users = any(kind == USER for _, _, kind in pieces)
         runs = re.compile(f"(?:^|[ {MARK}])[ {MARK}]|^[ {MARK}]|[ {MARK}]$|{MARK}")
         self.runs = runs if self.model.kind == BPE else re.compile(r"(?!)")
-        self.cached = WordCache(self.tokenizer, width, len(MARK.encode()), runs.search, False) if plain and not users and len(pieces) <= 65536 else None
+        splits = plain and not users and len(pieces) <= 65536
+        self.cached = WordCache(self.tokenizer, width, len(MARK.encode()), runs.search, False, learnt=self._same) if splits else None
+
+    def own(self, text: str) -> bool:
+        """The tokenizers library encodes this text."""
+        return not self.runs.search(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if self.runs.search(t)]
-        out = {i: np.array(x, np.int64) for i, x in zip(odd, self.processor.encode([texts[i] for i in odd], num_threads=1))}
+        odd = [i for i, t in enumerate(texts) if not self.own(t)]
+        out = {i: np.array(x, np.int64) for i, x in zip(odd, self.processor.encode([texts[i] for i in odd], num_threads=self.cpus))}
         rest = [i for i in range(len(texts)) if i not in out]
         some = [texts[i] for i in rest]
         if self.cached is not None:
             done = self.cached(some)
         else:
             done = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._same(some, [x.astype(np.uint16).tobytes() for x in done] if len(self.bytes) <= 65536 else None, done)
         out.update(zip(rest, done))
         return [out[i] for i in range(len(texts))]
 
+    def _same(self, texts: list[str], found: list[bytes] | None, ids: list[np.ndarray] | None = None) -> None:
+        """Raises ValueError where ids (as 16-bit bytes, or arrays) differ from the sentencepiece library's."""
+        theirs = self.processor.encode(texts, num_threads=self.cpus)
+        if found is None:
+            wrong = next((t for t, a, b in zip(texts, ids, theirs) if a.tolist() != b), None)
+        else:
+            lens = list(map(len, theirs))
+            flat = np.fromiter(chain.from_iterable(theirs), np.uint16, sum(lens)).tobytes()
+            if flat == b"".join(found) and [2 * n for n in lens] == list(map(len, found)):
+                return
+            wrong = next((t for t, a, b in zip(texts, found, theirs) if np.frombuffer(a, np.uint16).tolist() != b), None)
+        if wrong is not None:
+            raise ValueError(f"ids differ from sentencepiece's for {wrong[:80]!r}")
+
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         if self.model.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
-    def verify(self, texts: list[str]) -> None:
-        """Raises ValueError where ids differ from the sentencepiece library's."""
-        for t, own, theirs in zip(texts, self.encode(texts), self.processor.encode(texts, num_threads=1)):
-            if own.tolist() != theirs:
-                raise ValueError(f"ids differ from sentencepiece's for {t[:80]!r}")
-
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, cpus: int = 1) -> Codec:
+    return Codec(path, cpus)
 
 
-def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verified: int = 8) -> DataFrame:
-    """(doc_id, ids: array<int>), a row per input row; of every batch, `verified` texts are encoded by both libraries."""
-    return _run(docs, model, id_col, text_col, verified, "doc_id long, ids array<int>", lambda c, texts, ids: [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))])
+def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids: array<int>), a row per input row."""
+    return _run(docs, model, id_col, text_col, "doc_id long, ids array<int>", lambda c, texts, ids: [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))])
 
 
-def measured(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verified: int = 8) -> DataFrame:
+def measured(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_fallback: byte pieces, ids_crc32: of the ids as little-endian unsigned 32-bit, round_trip: the
-    decoded ids are the text), a row per input row."""
+    decoded ids are the text, own: see above), a row per input row."""
 
     def cols(c: Codec, texts: list[str], ids: list[np.ndarray]) -> list[pa.Array]:
         is_byte = np.array([kind == BYTE for _, _, kind in c.model.pieces])
         return [pa.array(list(map(len, ids)), pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([c.decode(x) == t for x, t in zip(ids, texts)])]
+                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([c.decode(x) == t for x, t in zip(ids, texts)]),
+                pa.array(list(map(c.own, texts)))]
 
-    return _run(docs, model, id_col, text_col, verified, "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, round_trip boolean", cols)
+    return _run(docs, model, id_col, text_col, "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, round_trip boolean, own boolean", cols)
 
 
-def _run(docs: DataFrame, model: str, id_col: str, text_col: str, verified: int, schema: str, cols, block: int = 500) -> DataFrame:
+def _run(docs: DataFrame, model: str, id_col: str, text_col: str, schema: str, cols) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
+    cpus = int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model)
+        c = codec(model, cpus)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            c.verify(texts[:verified])
-            for i in range(0, len(texts), block):
-                some = texts[i:i + block]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(some)), *cols(c, some, c.encode(some))], names)
+            at = 0
+            for some in blocks_of([t or "" for t in b.column(1).to_pylist()]):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), *cols(c, some, c.encode(some))], names)
+                at += len(some)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -67,18 +67,30 @@ def test_unigram(unigram):
     assert c.decode(c.encode(["the cat"])[0]) == "the cat"
 
 
-def test_verify_fails_loudly(monkeypatch):
-    c = S.codec(PATH)
-    monkeypatch.setattr(c, "encode", lambda texts: [np.array([5])] * len(texts))
+def test_difference_fails_loudly():
+    c = S.Codec(PATH)
+    right = c.cached.tokenizer
+    c.encode(["Hello"])
+
+    class Wrong:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return right.encode_batch_fast([t.replace("e", "a") for t in texts], add_special_tokens=add_special_tokens)
+
+    c.cached.tokenizer = Wrong()
     with pytest.raises(ValueError):
-        c.verify(["Hello"])
+        c.encode(["later words come here"])
+
+
+def test_two_threads():
+    assert [x.tolist() for x in S.Codec(PATH, 2).encode(TEXTS)] == S.codec(PATH).processor.encode(TEXTS)
 
 
 def test_tables(spark):
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([None, *TEXTS])], "doc_id long, text string, ids string, n_tokens int")
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate([None, *TEXTS])] * 2, "doc_id long, text string, ids string, n_tokens int")
     c = S.codec(PATH)
     want = dict(enumerate([[], *c.processor.encode(TEXTS)]))
     assert {r.doc_id: r.ids for r in S.encoded(docs, PATH).collect()} == want
     for r in S.measured(docs, PATH).collect():
+        assert r.own == S.codec(PATH).own([None, *TEXTS][r.doc_id] or "")
         assert r.n_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes())
     assert S.measured(docs.limit(0), PATH).count() == 0
