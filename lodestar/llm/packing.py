@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ranked, written
-from .word_cache import encoder
+from .word_cache import blocks_of, encoder
 
 #: Sequence ids of packed rests start here; those of full windows are below.
 PACKED = 1 << 62
@@ -41,8 +41,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int, id_col: str = "doc_i
         row = sequence
         for b in batches:
             n, first, crcs, rest_len, rest_crc, rest = [], [], [], [], [], []
-            texts = b.column(1).to_pylist()
-            for ids in (x for i in range(0, len(texts), 500) for x in encode([t or "" for t in texts[i:i + 500]])):
+            for ids in (x for some in blocks_of([t or "" for t in b.column(1).to_pylist()]) for x in encode(some)):
                 ids = np.append(ids, np.uint16(end_id)).astype("<u2")
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 full = len(ids) // window

@@ -2,93 +2,184 @@
 
 Where no token covers a non-blank character and the space after it, and nothing before such a place looks past it, a text
 may be split before each space: its ids are the ids of its parts. Parts not seen before are joined, encoded in one call
-and told apart by the widths of their tokens; texts in which white space runs make the split unsafe are encoded whole."""
+and told apart by the widths of their tokens. For byte-level tokenizers a part is split further, before a line end and
+before the marks that end a word, so that fewer distinct parts are left to encode. Texts in which white space runs make
+the split unsafe, or which hold special tokens, are encoded whole."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_UNSAFE = re.compile(r"\s ")
-_HEAD = " "  # in place of a text's first part; no part holds a space
+#: White space but the space and the line end.
+_BLANK = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS, _BEFORE_SPACE = re.compile(_BLANK + "[ \n]"), re.compile(r"\s ")
+#: Marks that a byte-level tokenizer keeps apart from the letters or digits before them.
+_TAIL = ".,;:!?$#&*%)"
 
 
 class WordCache:
     """Texts to arrays of unsigned 16-bit ids. tokenizer: of the tokenizers library; width: bytes of text for each id;
-    space: bytes of a space; unsafe(text): it must be encoded whole; head: a text's first part has no space before it.
-    At most `most` parts are kept."""
+    space: bytes of a space; unsafe(text): it must be encoded whole (for byte_level, runs of white space
+    are seen to); byte_level: a text's first part has no space before
+    it, and parts may be split at line ends and before final marks. About `most` parts are kept, those used last; learnt(words,
+    ids) is told each part that is encoded."""
 
-    def __init__(self, tokenizer, width: np.ndarray, space: int, unsafe, head: bool, most: int = 1_000_000):
-        self.tokenizer, self.width, self.space, self.unsafe, self.head, self.most = tokenizer, width, space, unsafe, head, most
+    def __init__(self, tokenizer, width: np.ndarray, space: int, unsafe, byte_level: bool, most: int = 1_000_000, learnt=None):
+        self.tokenizer, self.width, self.space, self.unsafe, self.byte_level, self.most, self.learnt = tokenizer, width, space, unsafe, byte_level, most, learnt
         self.cache: dict[str, bytes] = {}
-        self.lead = " " if head else ""
+        self.old: dict[str, bytes] = {}  # the generation before
+        self.marks: dict[str, bytes] = {}
+        self.lead = " " if byte_level else ""
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p and not p[-1].isspace()]
-        groups = [plain[at:at + 512] for at in range(0, len(plain), 512)]
-        for some, ids in zip(groups, self.whole([self.lead + " ".join(g) for g in groups])):
-            ends = np.cumsum([self.space + (len(p) if p.isascii() else len(p.encode())) for p in some])
+        """Puts the ids of parts into the cache."""
+        if not self.byte_level:
+            self._encode([p for p in parts if p and not p[-1].isspace()], " ")
+            self._alone([p for p in parts if not p or p[-1].isspace()])
+            return
+        words, lines, alone, marked = [], [], [], []
+        for p in parts:
+            last = p[-1:]
+            if last.isalnum() or not (last in _TAIL or last.isspace()):
+                (lines if p[0] == "\n" else words).append(p)
+            elif last and last in _TAIL and (stem := p.rstrip(_TAIL))[-1:].isalnum():
+                marked.append((p, stem, p[len(stem):]))
+            elif last and not last.isspace():
+                (lines if p[0] == "\n" else words).append(p)
+            else:
+                alone.append(p)
+        known = {*words, *lines}
+        for stem in {m[1] for m in marked if m[1] not in self.cache}.difference(known):
+            (lines if stem[0] == "\n" else words).append(stem)
+        self._encode(words, " ")
+        self._encode(lines, "\n")
+        self._alone(alone)
+        new = list({m[2] for m in marked}.difference(self.marks))
+        self.marks.update(zip(new, (x.tobytes() for x in self.whole(new))))
+        self.cache.update([(p, self.cache[stem] + self.marks[tail]) for p, stem, tail in marked])
+
+    def _encode(self, parts: list[str], begin: str) -> None:
+        """Parts that each have `begin` before or at their start, and nowhere else, encoded many at once."""
+        groups = [parts[at:at + 2048] for at in range(0, len(parts), 2048)]
+        joined = [" " + " ".join(g) if begin == " " else "".join(g) for g in groups]
+        given = joined if self.byte_level else [t[1:] for t in joined]
+        for some, text, ids in zip(groups, joined, self.whole(given)):
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            ends = np.append(np.flatnonzero(raw == ord(begin))[1:], len(raw))
+            if begin == " ":
+                ends += np.arange(1, len(ends) + 1) * (self.space - 1)
             places = np.cumsum(self.width[ids])
             cuts = np.searchsorted(places, ends)
-            if len(places) and places[-1] == ends[-1] and (places[cuts] == ends).all():
-                raw, last = ids.tobytes(), 0
-                for p, c in zip(some, (2 * cuts + 2).tolist()):
-                    self.cache[p] = raw[last:c]
-                    last = c
+            if len(places) and len(ends) == len(some) and places[-1] == ends[-1] and (places[cuts] == ends).all():
+                held, stops = ids.tobytes(), (2 * cuts + 2).tolist()
+                found = [held[a:b] for a, b in zip([0, *stops], stops)]
+                self.cache.update(zip(some, found))
+                if self.learnt:
+                    self.learnt(some, found)
             else:
                 self._alone(some)
-        self._alone([p for p in parts if not p or p[-1].isspace()])
 
     def _alone(self, parts: list[str]) -> None:
-        self.cache.update(zip(parts, (x.tobytes() for x in self.whole([self.lead + p for p in parts]))))
+        found = [x.tobytes() for x in self.whole([p if p[:1] == "\n" else self.lead + p for p in parts])]
+        self.cache.update(zip(parts, found))
+        if self.learnt:
+            self.learnt(parts, found)
+
+    def _split(self, text: str) -> str | None:
+        """The text with a space before each part; None: it must be encoded whole."""
+        if not text or self.unsafe(text):
+            return None
+        if not self.byte_level:
+            return text
+        if "  " in text or "\n " in text or " \n" in text:
+            return None
+        if _BLANKS.search(text):  # other white space before a space or a line end
+            return None if _BEFORE_SPACE.search(text) else text
+        return text if "\n\n" in text else text.replace("\n", " \n")
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """Of distinct parts, learnt where they are new."""
+        if 2 * len(self.cache) > self.most:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = [p for p in parts if p not in cache]
+        if old and new:
+            cache.update([(p, old[p]) for p in new if p in old])
+            new = [p for p in new if p not in cache]
+        self._learn(new)
+        return list(map(cache.__getitem__, parts))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > self.most:
-            self.cache.clear()
         out: list[np.ndarray | None] = [None] * len(texts)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if t and not self.unsafe(t)}
-        rest = [i for i in range(len(texts)) if i not in split]
-        new: set[str] = set()
-        for parts in split.values():
-            new.update(parts)
-        self._learn(list(new.difference(self.cache)))
-        if self.head:
-            for parts, ids in zip(split.values(), self.whole([parts[0] for parts in split.values()])):
-                parts[0] = ids.tobytes()
-        get = self.cache.__getitem__
-        for i, parts in split.items():
-            if self.head:
-                self.cache[_HEAD], parts[0] = parts[0], _HEAD
-            out[i] = np.frombuffer(b"".join(map(get, parts)), np.uint16)
+        ready = {i: s for i, t in enumerate(texts) if (s := self._split(t)) is not None}
+        rest = [i for i in range(len(texts)) if i not in ready]
+        if ready:
+            lists = pc.split_pattern(pa.array(ready.values(), pa.large_string()), " ")
+            begin = lists.offsets.to_numpy()
+            coded = lists.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+            distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+            parts = pc.binary_join(distinct, " ")[0].as_py().split(" ")  # no part holds a space
+            word, begin = coded.indices.to_numpy(), begin - begin[0]
+            ids = self._ids_of(parts)
+            if self.byte_level:  # a text's first part has no space before it
+                word = word.copy()
+                heads = [parts[k] for k in word[begin[:-1]].tolist()]
+                word[begin[:-1]] = np.arange(len(parts), len(parts) + len(heads))
+                ids += [x.tobytes() for x in self.whole(heads)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+            flat, at = np.frombuffer(b"".join(ids), np.uint16), np.cumsum(size) - size
+            n = size[word]
+            ends = np.cumsum(n)
+            stop = np.r_[0, ends][begin[1:]]
+            every = flat[np.repeat(at[word] - (ends - n), n) + np.arange(n.sum())]
+            for i, x in zip(ready, np.split(every, stop[:-1])):
+                out[i] = x
         for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
             out[i] = ids
         return out
 
 
-def one_thread_each() -> None:
-    """A task has one core; the tokenizers library would take all of the machine's."""
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def blocks_of(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+    """The texts in blocks of about so many characters, in which distinct words are counted once."""
+    block, held = [], 0
+    for t in texts:
+        if block and held + len(t) > chars:
+            yield block
+            block, held = [], 0
+        block.append(t)
+        held += len(t)
+    if block:
+        yield block
+
+
+def threads_each(cpus: int = 1) -> None:
+    """As many threads as a task has cores (spark.task.cpus); the tokenizers library would take all of the machine's."""
+    os.environ["RAYON_NUM_THREADS"] = str(cpus)
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if cpus > 1 else "false"
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> WordCache:
-    """For a byte-level BPE file of the tokenizers library, without special tokens."""
-    one_thread_each()
+    """For a byte-level BPE file of the tokenizers library. Special tokens in a text are taken for what they are."""
+    threads_each()
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     vocab = tk.get_vocab(with_added_tokens=True)
     if max(vocab.values()) > 65535:
         raise ValueError("ids of 16 bits only")
     width = np.zeros(max(vocab.values()) + 1, np.int64)
     for token, i in vocab.items():
         width[i] = len(token)  # a byte of text is one character of a byte-level token
-    return WordCache(tk, width, 1, _UNSAFE.search, True)
+    special = [t.content for t in tk.get_added_tokens_decoder().values()]
+    return WordCache(tk, width, 1, lambda text: any(t in text for t in special), True)

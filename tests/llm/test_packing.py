@@ -13,15 +13,26 @@ PATH = queries.vocabulary("byte_bpe_50k.json")
 
 def plain(texts):
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
     return [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_parity():
-    texts = ["", " ", "  ", "a  b", "a\n b", " a b ", "x \ny", "tab\t z", "<|endoftext|> hi <|endoftext|>", "é  ü  k", "a b c",
+    texts = ["", " ", "  ", "a  b", "a\n b", " a b ", "x \ny", "tab\t z", "<|endoftext|> hi <|endoftext|>", "é  ü  k", "a b c", "x<|endoftext|>y", "a.\nIs\n\nb. c\nd",
+             "\nq\nr.", "x.\r\ny z", "a'.\nb", "it's. don't, 's.\n's", "q)\n),x\n", "x²., ½, Ⅷ.", "a\n.", "\n", "\n\n", "a$$$ b$ $",
              "don't we'll 'S", "1 23 4.5", "\x1c a", "a \x1cb", "🙂 🙂🙂", "word " * 3000, "a　b c", "end\n", "end \n", "q\r\n w"]
     assert [x.tolist() for x in encoder(PATH)(texts)] == plain(texts)
     assert [x.tolist() for x in encoder(PATH)(texts)] == plain(texts)
+    assert plain(["<|endoftext|> hi"])[0][0] == 50256
+
+
+def test_cache_forgets_and_relearns():
+    few = encoder.__wrapped__(PATH)
+    few.most = 100
+    texts = [" ".join(f"word{i % 37}x{k}, and" for i in range(60)) for k in range(12)]
+    for _ in range(2):
+        for t in texts:
+            assert few([t])[0].tolist() == plain([t])[0]
+    assert len(few.cache) + len(few.old) < 500
 
 
 def check(rows, texts, window):
@@ -54,7 +65,7 @@ def check(rows, texts, window):
 
 @pytest.mark.parametrize("window", [16, 2048])
 def test_pieces(spark, window):
-    texts = ["word " * n for n in range(0, 300, 7)] + ["alpha beta. Gamma\n" * 40] * 30 + [None, "", "x"] + ["long text, " * 4000]
+    texts = ["word " * n for n in range(0, 300, 7)] + ["alpha beta. Gamma\n" * 40] * 30 + [None, "", "x", "<|endoftext|> hi"] + ["long text, " * 4000]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, length int, rank int").repartition(3)
     assert check(packing.pack(docs, PATH, window).collect(), texts, window) == 0
 
