@@ -32,6 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Computes df once into a Parquet table in the shared folder, bucketed by `key`: a join or a grouping by it with as
+    many shuffle partitions moves the other side alone. The catalog's entry goes at once, the files stay."""
+    spark, called = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option(
+        "path", f"{shared_dir(spark)}/{called}").saveAsTable(called)
+    got = spark.table(called).select("*")
+    spark.sql(f"DROP TABLE {called}")
+    return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

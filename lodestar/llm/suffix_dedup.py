@@ -3,11 +3,14 @@
 A byte goes if it lies in a string of `size` (50) bytes that also starts in a document with a smaller id. Equal strings
 must meet in one task, but sending every suffix with its 50 bytes would move the corpus fifty times over. So:
 
-1. Texts are gathered into blocks of about 4 MB, written once.
+1. Texts are gathered into blocks of about 4 MB, written once into a table bucketed by block, so that what shards answer
+   moves to the blocks and the texts stay where they are.
 2. The anchor of a string is the smallest hash of its 16-byte pieces: equal strings have equal anchors, and neighbouring
    strings of a text mostly share theirs, so a text falls into stretches of strings with one anchor (18 on average).
    Each block sends its distinct anchors to shards, which return those that another block or another document has.
 3. Blocks send the stretches with shared anchors, equal ones once, with the smallest and largest id of their documents.
+   An anchor with more than `hot` stretches in all (a common line in ever other surroundings) would not fit into a task:
+   its strings go one by one, each dealt by a hash of all its bytes.
 4. A shard sorts the suffixes of its stretches: it directly sorts only suffixes smaller than their successors, induces the
    others by a scan of the buckets of first bytes, and compares neighbours. Suffixes with 50 bytes in common form runs in
    that order, and the smallest id of each run goes back to the blocks that asked.
@@ -16,7 +19,8 @@ must meet in one task, but sending every suffix with its 50 bytes would move the
 Every copy of a hot passage costs its own block some work and each block one request, however many documents hold it.
 
 Defined results: a null text is empty; a null id counts as larger than all others; rows with equal ids don't remove from
-each other; an empty table gives no rows. A cut may split a character; `kept_text` drops such remains."""
+each other; very long texts are read whole, alone in their block; an empty table gives no rows; other columns, whatever
+their names, are not read. A cut may split a character; `kept_text` drops such remains."""
 
 from __future__ import annotations
 
@@ -30,9 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import bucketed, partitions, written
 
 PIECE = 16
+ANCHOR_BITS = 48  # anchors that meet by chance cost a request, not a wrong result
 LAST = np.iinfo(np.int64).max
 BLOCK = "block long, ids array<long>, lens array<int>, text binary, extra array<string>"
 
@@ -73,6 +78,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, extra: str | None, most:
 
 # ---- anchors
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Integers, best in rising order: the bytes of their differences, those of equal weight together, compressed."""
+    steps = np.diff(numbers.astype(np.int64), prepend=np.int64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
 def _words(buf: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as a little-endian number (a view; len(buf) - 7 places)."""
     return np.ndarray((max(0, len(buf) - 7),), "<u8", buf.data, strides=(1,)) if len(buf) > 7 else np.zeros(0, np.uint64)
@@ -92,7 +108,7 @@ def stretches(text: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
+    h >>= np.uint64(64 - ANCHOR_BITS)
     low, span = h, 1
     while 2 * span <= w:
         low = np.minimum(low[:-span], low[span:])
@@ -127,8 +143,9 @@ def _block_arrays(b: pa.RecordBatch, i: int):
     return text, np.array(b.column("lens")[i].values, np.int64), np.array(b.column("ids")[i].values, np.int64)
 
 
-def shared_anchors(table: DataFrame, size: int, shards: int) -> DataFrame:
-    """(block, anchors: binary): for each block those of its anchors that two documents have, in pieces."""
+def shared_anchors(table: DataFrame, size: int, shards: int, hot: int) -> DataFrame:
+    """(block, anchors: binary, hot: binary): for each block those of its anchors that two documents have, in pieces, and
+    those of them with more than `hot` stretches."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,39 +158,42 @@ def shared_anchors(table: DataFrame, size: int, shards: int) -> DataFrame:
                     continue
                 head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
                 several = np.minimum.reduceat(who, head) != np.maximum.reduceat(who, head)
+                times = np.diff(np.r_[head, len(anchor)])
                 anchor = anchor[head]
                 to = (anchor % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                to, anchor, several = to[order], anchor[order], several[order]
+                to, anchor, several, times = to[order], anchor[order], several[order], times[order]
                 cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(to)]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to[cuts], pa.int32()), pa.array(np.full(len(cuts), b.column("block")[i].as_py())),
-                     pa.array([anchor[x:y].tobytes() for x, y in parts], pa.binary()), pa.array([np.packbits(several[x:y]).tobytes() for x, y in parts], pa.binary())],
-                    ["shard", "block", "anchors", "several"])
+                     pa.array([_packed(anchor[x:y]) for x, y in parts], pa.binary()), pa.array([np.packbits(several[x:y]).tobytes() for x, y in parts], pa.binary()),
+                     pa.array([_packed(times[x:y]) for x, y in parts], pa.binary())],
+                    ["shard", "block", "anchors", "several", "times"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_shard(batches):
-            a = [np.frombuffer(x, np.uint64) for x in rows["anchors"]]
+            a = list(map(_unpacked, rows["anchors"]))
             many = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(x)) for s, x in zip(rows["several"], a)])
+            times = np.concatenate(list(map(_unpacked, rows["times"])))
             size_of = np.fromiter(map(len, a), np.int64, len(a))
             flat, row = np.concatenate(a), np.repeat(np.arange(len(a)), size_of)
             order = np.argsort(flat, kind="stable")
             v = flat[order]
-            head = np.r_[True, v[1:] != v[:-1]]
-            group = np.cumsum(head) - 1
-            yes = (np.bincount(group) > 1) | (np.bincount(group, many[order]) > 0)
-            hit = np.zeros(len(flat), bool)
-            hit[order] = yes[group]
-            flat, row = flat[hit], row[hit]
+            group = np.cumsum(np.r_[True, v[1:] != v[:-1]]) - 1
+            hit, much = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+            hit[order] = ((np.bincount(group) > 1) | (np.bincount(group, many[order]) > 0))[group]
+            much[order] = (np.bincount(group, times[order]) > hot)[group]
+            flat, row, much = flat[hit], row[hit], much[hit]
             cuts = np.searchsorted(row, np.arange(len(a) + 1)).tolist()
             keep = [i for i in range(len(a)) if cuts[i + 1] > cuts[i]]
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([rows["block"][i] for i in keep], pa.int64()), pa.array(
-                    [flat[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary())], ["block", "anchors"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([rows["block"][i] for i in keep], pa.int64()), pa.array([flat[cuts[i]:cuts[i + 1]].tobytes() for i in keep], pa.binary()),
+                     pa.array([flat[cuts[i]:cuts[i + 1]][much[cuts[i]:cuts[i + 1]]].tobytes() for i in keep], pa.binary())], ["block", "anchors", "hot"])
 
-    asked = table.select("block", "ids", "lens", "text").mapInArrow(ask, "shard int, block long, anchors binary, several binary")
-    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, "block long, anchors binary")
+    asked = table.select("block", "ids", "lens", "text").mapInArrow(ask, "shard int, block long, anchors binary, several binary, times binary")
+    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, "block long, anchors binary, hot binary")
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -212,30 +232,49 @@ def _distinct(text: bytes, start: np.ndarray, count: np.ndarray, who: np.ndarray
     return found
 
 
+def _singles(text: np.ndarray, start: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each string of the given stretches: its stretch, its place and a hash of its bytes."""
+    nth = np.repeat(np.arange(len(start)), count)
+    place = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(len(nth))
+    word = _words(text)
+    h = np.zeros(len(place), np.uint64)
+    for at in [*range(0, size - 8, 8), size - 8]:
+        h = (h ^ word[place + at]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return nth, place, h
+
+
 def requests(joined: DataFrame, size: int, shards: int) -> DataFrame:
     """From blocks with their shared anchors: a row for each block and shard, with the distinct stretches end to end,
-    compressed, and their numbers of strings, places (32 bits), smallest and largest ids (64 bits)."""
+    compressed, and their numbers of strings, places, smallest ids and how far the largest are from those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for i in range(b.num_rows):
                 text, lens, ids = _block_arrays(b, i)
-                shared = np.sort(np.frombuffer(b"".join(b.column("anchors")[i].as_py()), np.uint64))
+                shared, hot = (np.sort(np.frombuffer(b"".join(b.column(k)[i].as_py()), np.int64)).view(np.uint64) for k in ("anchors", "hot"))
                 anchor, start, count, doc = stretches(text, lens, size)
                 hit = shared[np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)] == anchor
                 anchor, start, count, doc = anchor[hit], start[hit], count[hit], doc[hit]
+                much = np.isin(anchor, hot)
+                to = anchor.copy()
+                if much.any():  # strings of hot anchors go one by one
+                    nth, place, h = _singles(text, start[much], count[much], size)
+                    doc = np.r_[doc[~much], doc[much][nth]]
+                    start, count, to = np.r_[start[~much], place], np.r_[count[~much], np.ones(len(place), np.int64)], np.r_[to[~much], h]
+                    order = np.argsort(start, kind="stable")
+                    start, count, to, doc = start[order], count[order], to[order], doc[order]
                 found = _distinct(text.tobytes(), start, count, ids[doc], size)
                 strings = list(found)
                 place, low, high, nth = (np.array([f[k] for f in found.values()], np.int64) for k in range(4))
-                to = (anchor[nth] % np.uint64(shards)).astype(np.int64)
+                to = (to[nth] % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
                 parts = [order[x:y] for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to[order][cuts], pa.int32()), pa.array(np.full(len(cuts), b.column("block")[i].as_py())),
-                     pa.array([packer.compress(b"".join([strings[k] for k in p.tolist()])) for p in parts], pa.binary()),
-                     *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (count[nth].astype(np.int32), place.astype(np.int32), low, high))],
+                     pa.array([zstandard.compress(b"".join([strings[k] for k in p.tolist()]), 3) for p in parts], pa.binary()),
+                     *(pa.array([_packed(x[p]) for p in parts], pa.binary()) for x in (count[nth], place, low, high - low))],
                     ["shard", "block", "strings", "count", "place", "low", "high"])
 
     return joined.mapInArrow(run, "shard int, block long, strings binary, count binary, place binary, low binary, high binary")
@@ -347,14 +386,13 @@ def marks(asked: DataFrame, size: int) -> DataFrame:
     strings from..to also start in document `low`, which is smaller than one of the block's documents with the stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
         for rows in _by_shard(batches):
             index: dict[bytes, int] = {}
             own, count, low, high, place, sizes = [], [], [], [], [], []
             for k in range(len(rows["block"])):
-                c, p = (np.frombuffer(rows[x][k], np.int32).astype(np.int64) for x in ("count", "place"))
-                a, z = (np.frombuffer(rows[x][k], np.int64) for x in ("low", "high"))
-                at, raw = 0, unpacker.decompress(rows["strings"][k])
+                c, p, a, z = (_unpacked(rows[x][k]) for x in ("count", "place", "low", "high"))
+                z = a + z
+                at, raw = 0, zstandard.decompress(rows["strings"][k])
                 for n in (c + size - 1).tolist():
                     own.append(index.setdefault(raw[at:at + n], len(index)))
                     at += n
@@ -399,10 +437,18 @@ def _covered(text: np.ndarray, lens: np.ndarray, ids: np.ndarray, marked: list[n
     place, count, begin, end, low = marked
     raw = text.tobytes()
     anchor, start, n, doc = stretches(text, lens, size)
-    at = np.searchsorted(start, place)
+    at = np.searchsorted(start, place, "right") - 1
     wanted: dict[bytes, list[int]] = {}
     for k, (p, c) in enumerate(zip(place.tolist(), count.tolist())):
         wanted.setdefault(raw[p:p + c + size - 1], []).append(k)
+    hot = np.isin(anchor, anchor[at[n[at] != count]])  # their strings were asked for one by one
+    if hot.any():
+        nth, single, _ = _singles(text, start[hot], n[hot], size)
+        anchor, doc = np.r_[anchor[~hot], anchor[hot][nth]], np.r_[doc[~hot], doc[hot][nth]]
+        start, n = np.r_[start[~hot], single], np.r_[n[~hot], np.ones(len(single), np.int64)]
+        order = np.argsort(start, kind="stable")
+        anchor, doc, start, n = anchor[order], doc[order], start[order], n[order]
+        at = np.searchsorted(start, place, "right") - 1
     hit = np.flatnonzero(np.isin(anchor, anchor[at]))
     diff = np.zeros(len(text) + 1, np.int64)
     who = ids[doc]
@@ -418,15 +464,15 @@ def _covered(text: np.ndarray, lens: np.ndarray, ids: np.ndarray, marked: list[n
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, extra: str | None = None,
-                 kept_text: bool = False) -> DataFrame:
+                 kept_text: bool = False, hot: int = 50_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row per input row; with kept_text also `text`, what is left,
     and with extra, a string column of docs, also `extra`."""
     if size < 24:
         raise ValueError("size must be 24 at least")
-    shards = 4 * partitions(docs.sparkSession)
-    table = written(blocks(docs, id_col, text_col, extra), "blocks")
-    answers = shared_anchors(table, size, shards).groupBy("block").agg(F.collect_list("anchors").alias("anchors"))
-    asked = requests(table.select("block", "ids", "lens", "text").join(answers.hint("shuffle_hash"), "block"), size, shards)
+    n = partitions(docs.sparkSession)
+    table = bucketed(blocks(docs, id_col, text_col, extra), "blocks", "block", n)
+    answers = shared_anchors(table, size, n, hot).groupBy("block").agg(*(F.collect_list(k).alias(k) for k in ("anchors", "hot")))
+    asked = requests(table.select("block", "ids", "lens", "text").join(answers.hint("shuffle_hash"), "block"), size, 4 * n)
     names = ("place", "count", "begin", "end", "low")
     found = written(marks(asked, size), "marks").groupBy("block").agg(*(F.collect_list(k).alias(k) for k in names))
 

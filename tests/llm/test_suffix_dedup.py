@@ -46,13 +46,13 @@ def corpus(seed, n=60):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("size,most", [(50, 4_000_000), (50, 700), (26, 2000)])
-def test_against_brute_force(spark, monkeypatch, size, most):
+@pytest.mark.parametrize("size,most,hot", [(50, 4_000_000, 50_000), (50, 700, 50_000), (26, 2000, 50_000), (50, 700, 2), (50, 4_000_000, 0)])
+def test_against_brute_force(spark, monkeypatch, size, most, hot):
     rows = corpus(size + most)
     real = S.blocks
     monkeypatch.setattr(S, "blocks", lambda *a: real(*a, most=most))
     docs = spark.createDataFrame([(i, t, "clash", 3) for i, t in rows], "doc_id long, text string, block string, lens int").repartition(3)
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.suffix_dedup(docs, size=size).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.suffix_dedup(docs, size=size, hot=hot).collect())
     want = brute([(i, (t or "").encode()) for i, t in rows], size)
     assert got == want and any(x[2] for x in want)
 
@@ -90,3 +90,10 @@ def test_suffix_order(strings, size):
     assert sorted(sa.tolist()) == sorted(asked.tolist())
     keys = [bytes(t[k:k + size]) for k in sa.tolist()]
     assert keys == sorted(keys)
+
+
+def test_texts_stay_in_their_blocks(spark):
+    docs = spark.createDataFrame(corpus(5), "doc_id long, text string")
+    plan = S.suffix_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 1, plan  # what the shards found, not the blocks
