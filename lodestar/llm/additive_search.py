@@ -99,7 +99,7 @@ def train(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 2, seed
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v: array<double>) of the vectors that take part."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(
+    v = vectors.select(F.col(id_col).try_cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(
         "id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
         " and exists(v, x -> x <> 0)")
     common = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()

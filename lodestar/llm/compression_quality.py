@@ -122,7 +122,7 @@ def compression_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
             score = m.scores(texts) if m is not None else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(
+    scored = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, score double")
     return scored.select("doc_id", F.expr(held_out.format(id="doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -8,8 +8,9 @@ within their length, and a number decides the combination and the place. Rests l
 first, each cut where its sequence is full; the last, unfilled sequence is dealt out to sequences with lengths that are
 powers of two, which need no padding.
 
-Defined results: a null text is empty, and an empty one has the closing id alone; repeated rows are packed each; an empty
-table gives no rows; other columns are not read. Sequence ids are unique, not dense."""
+Defined results: a null text is empty, and an empty one has the closing id alone; a null id stays null, and one that is no
+number becomes null; repeated rows are packed each; very long texts are tokenized whole; rests of equal length are placed in the
+order of a hash of their row; an empty table gives no rows; other columns are not read. Sequence ids are unique, not dense."""
 
 from __future__ import annotations
 
@@ -59,7 +60,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int, id_col: str = "doc_i
                  pa.array(rest_len, pa.int64()), pa.array(rest_crc, pa.int64()), pa.array(rest, pa.binary())],
                 ["row", "doc_id", "doc_tokens", "first_sequence", "crcs", "rest_len", "rest_crc", "rest"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "row long, doc_id long, doc_tokens long, first_sequence long, crcs array<long>, rest_len long, rest_crc long, rest binary")
 
 
@@ -142,7 +143,7 @@ def placed(numbered: DataFrame, to: dict[str, np.ndarray], window: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, edges = to["slots"], to["edges"]
         for b in batches:
-            row, doc, n, length, crc, rank = (b.column(k).to_numpy() for k in ("row", "doc_id", "doc_tokens", "rest_len", "rest_crc", "rank"))
+            row, n, length, crc, rank = (b.column(k).to_numpy() for k in ("row", "doc_tokens", "rest_len", "rest_crc", "rank"))
             whole = rank < to["rest_from"][length]
             s = slots[np.searchsorted(slots[:, 0], length[whole] << 40 | rank[whole], "right") - 1] if len(slots) else slots
             t = rank[whole] - (s[:, 0] & ((1 << 40) - 1))
@@ -170,7 +171,7 @@ def placed(numbered: DataFrame, to: dict[str, np.ndarray], window: int) -> DataF
             i = order[i]
             cut = size < length[i]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[i]), pa.array(n[i] - length[i] + inner), pa.array(size), pa.array(crc[i], mask=cut), pa.array(n[i]),
+                [b.column("doc_id").take(pa.array(i)), pa.array(n[i] - length[i] + inner), pa.array(size), pa.array(crc[i], mask=cut), pa.array(n[i]),
                  pa.array(seq), pa.array(off), pa.array(r), pa.array(inner)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row", "inner"])
 

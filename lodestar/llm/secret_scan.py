@@ -8,8 +8,10 @@ many owners is a copied example, one of few owners that looks random is taken fo
 Values, not texts, go through the shuffle, as 64-bit hashes; counts are combined before it, so that a value copied a
 billion times costs a row for each task.
 
-Defined results: a null text is empty; null repositories and owners count as one each; repeated rows are scanned each;
-an empty table gives no rows."""
+Defined results: a null text is empty; null repositories and owners count as one each; repeated rows are scanned each, and
+count as one repository if they share its name; ids that are no numbers come out null; very long texts are scanned whole;
+an empty table gives no rows. `redacted` keeps every row, null texts and ids included, and all other columns as they are:
+spans go with the row that they were found in, not with its id."""
 
 from __future__ import annotations
 
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import written
+from .shared import with_rows, written
 
 #: The patterns, the least lengths of what must match, and the order of kinds.
 ASSIGN = re.compile(r'(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', re.I | re.A)
@@ -69,28 +71,27 @@ def bits(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str | None) -> DataFrame:
-    """A row per document: row (unique), doc_id, repo, owner, spans (kind, start, end, hash of the value, its entropy)."""
+_SPANS = "array<struct<kind int, start long, end long, hash long, bits double>>"
+_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64()), ("bits", pa.float64())]))
+
+
+def _with(rows: DataFrame, kept: Column, text_col: str, repo_col: str | None, owner_col: str | None) -> DataFrame:
+    """(row, repo, owner, kept, spans: kind, start, end, hash of the value, its entropy) of with_rows()'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
             spans = []
-            for t in b.column(3).to_pylist():
+            for t in b.column("text").to_pylist():
                 base = base_spans(t or "")
                 found = sorted(base + bare_spans(t or "", base))
-                spans.append([{"kind": k, "start": s, "end": e, "hash": xxhash.xxh64_intdigest(v.encode()) - (1 << 63), "bits": bits(v)}
+                spans.append([{"kind": k, "start": s, "end": e, "hash": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63), "bits": bits(v)}
                               for s, k, e, v in found])
-            rows = pa.array(range(row, row + len(spans)), pa.int64())
-            row += len(spans)
-            kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64()), ("bits", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), b.column(2), pa.array(spans, kind)],
-                                             ["row", "doc_id", "repo", "owner", "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(spans, _ARROW)], [*keys, "spans"])
 
-    pick = lambda c: F.coalesce((F.col(c) if c else F.lit(None)).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), pick(repo_col).alias("repo"), pick(owner_col).alias("owner"),
-                       F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "row long, doc_id long, repo string, owner string, spans array<struct<kind int, start long, end long, hash long, bits double>>")
+    pick = lambda c: F.coalesce((F.col("doc")[c] if c else F.lit(None)).cast("string"), F.lit(""))
+    keys = ("row", "repo", "owner", "kept")
+    given = rows.select("row", pick(repo_col).alias("repo"), pick(owner_col).alias("owner"), kept.alias("kept"), F.col("doc")[text_col].cast("string").alias("text"))
+    return given.mapInArrow(run, T.StructType([*(given.schema[k] for k in keys), T.StructField("spans", T._parse_datatype_string(_SPANS))]))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -102,17 +103,23 @@ def ownership(candidates: DataFrame) -> DataFrame:
         ((F.col("owners") < MANY_OWNERS) & (F.col("repositories") < MANY_REPOSITORIES) & (F.col("bits") >= LEAST_BITS)).alias("live"))
 
 
+def _judged(d: DataFrame, wanted: str) -> DataFrame:
+    """(row, found): the spans of scanned()'s rows for which `wanted` holds, with what the corpus knows of their values."""
+    flat = d.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
+    known = ownership(flat)
+    return flat.join(known.drop("bits"), "hash").where("kind < 3 or (keyed and live)").where(wanted).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias("found"))
+
+
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "doc_id",
                 owner_col: str | None = "source") -> DataFrame:
     """A row per input row: doc_id, found: array of (kind, start, end, owners, repositories, live), by start and kind.
 
     found holds every base span, and those bare ones whose value is keyed and live."""
-    d = written(scanned(docs, id_col, text_col, repo_col, owner_col), "secrets")
-    flat = d.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
-    known = ownership(flat)
-    judged = flat.join(known.drop("bits"), "hash").where("kind < 3 or (keyed and live)").groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories", "live"))).alias("found"))
-    return d.select("row", "doc_id").join(judged, "row", "left").select("doc_id", F.coalesce("found", F.array().cast(
+    rows = with_rows(docs)
+    ids = F.col("doc")[id_col].try_cast("long").alias("doc_id")
+    d = written(_with(rows, ids, text_col, repo_col, owner_col), "secrets")
+    return d.select("row", "kept").join(_judged(d, "true"), "row", "left").select(F.col("kept").alias("doc_id"), F.coalesce("found", F.array().cast(
         "array<struct<start long, kind int, end long, owners long, repositories long, live boolean>>")).alias("found"))
 
 
@@ -134,17 +141,17 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
              owner_col: str | None = "source", mark: str = "[SECRET]") -> DataFrame:
     """docs with the live spans of each text replaced by `mark`; copied examples stay. Of overlapping spans the union goes.
 
-    Only documents with live spans take part in the join by id; rows with equal ids and different texts must not occur."""
-    live = secret_scan(docs, id_col, text_col, repo_col, owner_col).select(F.col("doc_id").alias("_id"), F.filter(
-        "found", lambda x: x["live"]).alias("_live")).where(F.size("_live") > 0).groupBy("_id").agg(F.first("_live").alias("_live"))
-    text, spans = docs[text_col], live["_live"]
+    Only rows with spans take part in joins, by their row number."""
+    d = written(_with(with_rows(docs), F.col("doc"), text_col, repo_col, owner_col), "secrets")
+    text, spans = F.col("kept")[text_col], F.col("found")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     done = F.aggregate(spans, state, lambda a, x: F.struct(
         F.when(x["end"] <= a["at"], a["out"]).when(x["start"] < a["at"], a["out"]).otherwise(
             F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
         F.greatest(a["at"], x["end"]).alias("at")), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return docs.join(live, docs[id_col] == live["_id"], "left").select(
-        *(F.when(spans.isNotNull(), done).otherwise(text).alias(c) if c == text_col else docs[c] for c in docs.columns))
+    masked = [F.when(spans.isNotNull(), done).otherwise(text).alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns]
+    some = d.where(F.size("spans") > 0).join(_judged(d, "live"), "row", "left").select(*masked)
+    return d.where(F.size("spans") == 0).select(*(F.col("kept")[c].alias(c) for c in docs.columns)).union(some)
 
 
 def brute_digest(text: str) -> tuple[int, int, int, str]:

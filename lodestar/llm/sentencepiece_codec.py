@@ -215,4 +215,4 @@ def _run(docs: DataFrame, model: str, id_col: str, text_col: str, schema: str, c
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), *cols(c, some, c.encode(some))], names)
                 at += len(some)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

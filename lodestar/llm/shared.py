@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a session on one machine
+    (tests) gets a temporary folder; on a cluster it is an error, for executors see no folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
@@ -43,6 +46,11 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return got
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(row: a unique number, doc: all columns of docs): written once, so that numbers hold however often it is read."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -105,8 +113,9 @@ def labelled(labels: DataFrame, label: str, held_out: str, id_col: str = "doc_id
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: str, per_class: int,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, y): at most per_class labelled ids of each label that aren't held out, the smallest by a hash of the id.
+                    id_col: str = "doc_id", text_col: str = "text", most_chars: int = 50_000) -> DataFrame:
+    """(id, text, y): at most per_class labelled ids of each label that aren't held out, the smallest by a hash of the id;
+    of a repeated id the smallest text, and no text of over most_chars. So the sample has a bounded size in bytes.
 
     The ids are chosen first, so that the texts are found by a join with a table of a bounded size, which is broadcast."""
     own = labelled(labels, label, held_out, id_col)
@@ -115,7 +124,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: st
         part = own.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
         few = part if few is None else few.union(part)
     got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return got.join(F.broadcast(few), "id").select("id", "text", F.col("y").cast("int").alias("y"))
+    return got.where(F.length("text") <= most_chars).join(F.broadcast(few), "id").groupBy("id").agg(
+        F.min("text").alias("text"), F.max(F.col("y").cast("int")).alias("y"))
 
 
 def fitted(sample: DataFrame, fit) -> object:

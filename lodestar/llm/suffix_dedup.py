@@ -31,22 +31,23 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import bucketed, partitions, written
 
 PIECE = 16
 ANCHOR_BITS = 48  # anchors that meet by chance cost a request, not a wrong result
 LAST = np.iinfo(np.int64).max
-BLOCK = "block long, ids array<long>, lens array<int>, text binary, extra array<string>"
+BLOCK = "block long, ids array<long>, lens array<int>, text binary"
 
 
 # ---- blocks
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, extra: str | None, most: int = 4_000_000, most_docs: int = 20_000) -> DataFrame:
-    """One row for about `most` bytes of texts: block (unique), the ids, the lengths in bytes, and the
-    texts end to end, compressed, for the blocks go through two shuffles."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, extra: Column | None, most: int = 4_000_000, most_docs: int = 20_000) -> DataFrame:
+    """One row for about `most` bytes of texts: block (unique), the ids, the lengths in bytes, the texts end to end,
+    compressed, and what `extra` says of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -54,26 +55,31 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, extra: str | None, most:
         ids, texts, more, held = [], [], [], 0
 
         def row():
+            values = pa.concat_arrays(more)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int32())),
-                 pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.array([more], pa.list_(pa.string()))],
+                 pa.array([packer.compress(b"".join(texts))], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)],
                 ["block", "ids", "lens", "text", "extra"])
 
         for b in batches:
-            for i, t, e in zip(*(c.to_pylist() for c in b.columns)):
+            begin = 0
+            for k, (i, t) in enumerate(zip(b.column("id").to_pylist(), b.column("text").to_pylist())):
                 t = t or b""
                 if texts and (held + len(t) > most or len(texts) >= most_docs):
+                    more.append(b.column("extra").slice(begin, k - begin))
                     yield row()
-                    number, ids, texts, more, held = number + 1, [], [], [], 0
+                    number, ids, texts, more, held, begin = number + 1, [], [], [], 0, k
                 ids.append(i)
                 texts.append(t)
-                more.append(e)
                 held += len(t)
+            more.append(b.column("extra").slice(begin))
         if texts:
             yield row()
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"),
-                       (F.col(extra) if extra else F.lit(None)).cast("string").alias("extra")).mapInArrow(run, BLOCK)
+    given = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(int(LAST))).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"),
+                        (F.lit(False) if extra is None else extra).alias("extra"))
+    kind = T._parse_datatype_string(BLOCK).add("extra", T.ArrayType(given.schema["extra"].dataType))
+    return given.mapInArrow(run, kind)
 
 
 # ---- anchors
@@ -463,13 +469,13 @@ def _covered(text: np.ndarray, lens: np.ndarray, ids: np.ndarray, marked: list[n
     return np.cumsum(diff)[:-1] > 0
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, extra: str | None = None,
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, extra: Column | None = None,
                  kept_text: bool = False, hot: int = 50_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row per input row; with kept_text also `text`, what is left,
-    and with extra, a string column of docs, also `extra`."""
+    and with extra, an expression over docs' columns, also its value, `extra`."""
     if size < 24:
         raise ValueError("size must be 24 at least")
-    n = partitions(docs.sparkSession)
+    n, more = partitions(docs.sparkSession), extra is not None
     table = bucketed(blocks(docs, id_col, text_col, extra), "blocks", "block", n)
     answers = shared_anchors(table, size, n, hot).groupBy("block").agg(*(F.collect_list(k).alias(k) for k in ("anchors", "hot")))
     asked = requests(table.select("block", "ids", "lens", "text").join(answers.hint("shuffle_hash"), "block"), size, 4 * n)
@@ -499,11 +505,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cols = [pa.array(ids, mask=ids == LAST), pa.array(lens), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas)]
                 if kept_text:
                     cols.append(pa.array(kept, pa.string()))
-                if extra:
-                    cols.append(pa.array(b.column("extra")[i].as_py(), pa.string()))
+                if more:
+                    cols.append(b.column("extra")[i].values)
                 yield pa.RecordBatch.from_arrays(cols, out)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * kept_text + ", extra string" * bool(extra)
-    out = [x.split()[0] for x in schema.split(", ")]
-    read = table if extra else table.drop("extra")
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * kept_text)
+    if more:
+        schema = schema.add("extra", table.schema["extra"].dataType.elementType)
+    out = schema.names
+    read = table if more else table.drop("extra")
     return read.join(found.hint("shuffle_hash"), "block", "left").mapInArrow(run, schema)

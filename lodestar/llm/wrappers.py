@@ -344,7 +344,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
-    read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
+    read = pages.select(F.col(id_col).try_cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"),
                         host_of(F.col(url_col)).alias("host"))
     if not small:
         read = read.join(wrappers, "host")

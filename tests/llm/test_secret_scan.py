@@ -58,3 +58,15 @@ def test_clashing_names(spark):
     got = {r.doc_id: r for r in S.redacted(docs).collect()}
     assert docs.columns == S.redacted(docs).columns and "Zx81" not in got[1].text and (got[1]._live, got[1]._id, got[3]._kept) == (7, 8, 6)
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2]
+
+
+def test_spans_belong_to_rows(spark):
+    """Null, repeated and text ids: each row loses its own secret and nothing else."""
+    rows = [(None, "a token = Zx81Qw77Lm20Pk39Rt55 b", None), ("1", "token = Zx81Qw77Lm20Pk39Rt5x", "s"), ("1", "some longer lead: token = Qx81Qw77Lm20Pk39Rt5y end", "s"),
+            ("1", "plain text without any", "s"), ("x y", None, None), ("1", "token = Zx81Qw77Lm20Pk39Rt5x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(3)
+    out = sorted((r.doc_id or "", r.text or "") for r in S.redacted(docs).collect())
+    assert out == [("", "a [SECRET] b"), ("1", "[SECRET]"), ("1", "[SECRET]"), ("1", "plain text without any"), ("1", "some longer lead: [SECRET] end"), ("x y", "")]
+    assert S.redacted(docs).dtypes == docs.dtypes
+    got = S.digest(S.secret_scan(docs)).collect()
+    assert len(got) == 6 and sum(r.n_assign for r in got) == 4

@@ -60,7 +60,7 @@ def test_against_brute_force(spark, monkeypatch, size, most, hot):
 def test_repeated_ids_nulls_and_empty(spark):
     t = "the quick brown fox jumps over the lazy dog again and again " * 2
     docs = spark.createDataFrame([(5, t, "a"), (5, t, "b"), (None, t, "c"), (7, None, "d")], "doc_id long, text string, lang string")
-    got = {(r.doc_id, r.extra): r for r in S.suffix_dedup(docs, extra="lang", kept_text=True).collect()}
+    got = {(r.doc_id, r.extra): r for r in S.suffix_dedup(docs, extra=F.col("lang"), kept_text=True).collect()}
     assert got[5, "a"].n_removed == got[5, "b"].n_removed == 0 and got[5, "a"].text == t
     assert got[None, "c"].n_removed == len(t) and got[None, "c"].text == "" and got[7, "d"].n_bytes == 0
     assert S.suffix_dedup(docs.limit(0)).count() == 0
