@@ -1,14 +1,16 @@
 """Text quality by compression: zstandard dictionaries of good and of bad labelled texts.
 
-A text is compressed with either dictionary and with none. The difference of the two sizes, by the text's length and by
-its plain compressed size, goes with the plain rate through a logistic function to a score from 0 to 1. The dictionaries are built from a
-bounded sample of labelled rows (`per_class` ids of each label, the smallest by a hash of the id; `trained` bytes of
-pieces of their texts, evenly spaced). The logistic function is fitted to sizes that dictionaries don't flatter: either
-half of the sample is measured by dictionaries of the other. The model has a fixed size and is broadcast; every row is
-scored where it is read.
+A text is compressed with either dictionary, in pieces of 1024 bytes, so that a piece leans on the dictionary and not on
+the text before it. The difference of the two sizes, by the text's length and by the smaller compressed size, goes through
+a logistic function to a score from 0 to 1. The dictionaries are built from a bounded sample of labelled rows (`per_class`
+ids of each label, the smallest by a hash of the id; `trained` bytes of pieces of their texts, evenly spaced). The logistic
+function is fitted to sizes that dictionaries don't flatter: either half of the sample is measured by dictionaries of the
+other. The model has a fixed size and is broadcast; every row is scored where it is read.
 
 Defined results: a null or empty text has no difference and scores the fitted intercept; without labels of both kinds
-(or too few for a dictionary) every score is 0.5; repeated rows are scored each; an empty table gives no rows."""
+(or too few for a dictionary) every score is 0.5; repeated rows are scored each; very long texts are compressed whole, piece
+by piece; sizes that tie have no difference; an id that is no number is null; an empty table gives no rows; other columns
+are not read."""
 
 from __future__ import annotations
 
@@ -26,29 +28,27 @@ from .shared import fitted, labelled_sample
 HELD_OUT = "crc32(cast({id} as string)) % 3 = 1"
 
 
+PIECE = 1024
+
+
 class Model:
     """Two dictionaries (bytes) and the weights of the logistic function."""
 
     def __init__(self, good: bytes, bad: bytes, level: int = 3):
         self.good, self.bad, self.level = good, bad, level
-        self.weights = np.zeros(5)
+        self.weights = np.zeros(3)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, 5): 1, the difference of sizes by length and by plain compressed size (scaled), and how far plain
-        compression goes: the logarithm of its rate, and what of that is below 1.5, which repetition alone reaches."""
-        made = []
-        for d in (self.good, self.bad, None):
-            more = {}
-            if d is not None:
-                more["dict_data"] = zstandard.ZstdCompressionDict(d)
-                more["dict_data"].precompute_compress(level=self.level)
-                more["write_dict_id"] = False
-            made.append(zstandard.ZstdCompressor(level=self.level, write_content_size=False, **more))
-        good, bad, plain = (np.array([len(c.compress(t)) for t in texts], float) for c in made)
+        """(texts, 3): 1, the difference of compressed sizes by length and by the smaller compressed size (scaled)."""
+        sizes = []
+        for d in (self.good, self.bad):
+            held = zstandard.ZstdCompressionDict(d)
+            held.precompute_compress(level=self.level)
+            c = zstandard.ZstdCompressor(level=self.level, write_content_size=False, dict_data=held, write_dict_id=False)
+            sizes.append(np.array([sum(len(c.compress(t[i:i + PIECE])) for i in range(0, len(t), PIECE)) for t in texts], float))
+        good, bad = sizes
         n = np.fromiter(map(len, texts), float, len(texts))
-        diff = np.where(n > 0, bad - good, 0)
-        rate = np.where(n > 0, np.log(plain / np.maximum(n, 1)), 0)
-        return np.stack([np.ones(len(texts)), 100 * diff / np.maximum(n, 1), 10 * diff / np.maximum(plain, 1), rate, np.minimum(rate + 1.5, 0)], axis=1)
+        return np.stack([np.ones(len(texts)), 100 * (bad - good) / np.maximum(n, 1), 10 * (bad - good) / np.maximum(np.minimum(good, bad), 1)], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights, -30, 30)))
@@ -91,13 +91,13 @@ def dictionaries(texts: list[bytes], y: np.ndarray, dictionary: int, trained: in
     return Model(*made)
 
 
-def fit(texts: list[str], labels: list[int], dictionary: int = 96_000, trained: int = 8_000_000) -> Model | None:
+def fit(texts: list[str], labels: list[int], dictionary: int = 300_000, trained: int = 8_000_000) -> Model | None:
     """Dictionaries of all texts; weights from two halves, each measured by the dictionaries of the other."""
     raw, y = [t.encode("utf-8", "surrogatepass") for t in texts], np.array(labels)
     half = np.zeros(len(y), int)
     for k in (0, 1):
         half[y == k] = np.arange((y == k).sum()) % 2
-    x = np.zeros((len(y), 5))
+    x = np.zeros((len(y), 3))
     for h in (0, 1):
         part = dictionaries([t for t, v in zip(raw, half) if v != h], y[half != h], dictionary, trained)
         if part is None:

@@ -72,3 +72,18 @@ def test_nothing_to_learn(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.toxicity(docs, labels).collect()] == [0.0]
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_misspelt_words_are_caught_by_their_characters():
+    """Words that training has never seen are read by their characters alone."""
+    rnd = random.Random(8)
+    plain = ["".join(rnd.choices(["ba", "lo", "mi", "tu", "ren", "sal", "vo"], k=rnd.randint(2, 4))) for _ in range(400)]
+    bad = ["idiotic", "worthless", "disgusting", "pathetic", "scumbag", "stupidity"]
+    text = lambda extra: " ".join(rnd.sample(rnd.choices(plain, k=40) + extra, 40 + len(extra)))
+    texts = [text([]) for _ in range(300)] + [text(rnd.choices(bad, k=3)) for _ in range(150)]
+    net = toxicity.train(texts, [0] * 300 + [1] * 150)
+    odd = [w[:3] + w[3] + w[3:] for w in bad] + [w[:-1] + "kk" for w in bad]  # a letter doubled, another ending
+    assert not set(odd) & set(net.vocab)
+    clean, misspelt = toxicity.Scorer(net)([text([]) for _ in range(100)]), toxicity.Scorer(net)([text(rnd.choices(odd, k=3)) for _ in range(100)])
+    assert (misspelt[:, None] > clean[None]).mean() > 0.9, (misspelt[:, None] > clean[None]).mean()
+    assert (misspelt >= 0.5).mean() > 0.8 and (clean < 0.5).mean() > 0.8, (misspelt, clean)
