@@ -1,33 +1,40 @@
-"""Main text of web pages by wrappers, one for each host, inferred without unions.
-
-A page is read as a stream of blocks: stretches of text between block-level tags, each with the path of its enclosing
-block-level tags, a path being the token that streams are aligned on and the text being its slot. Repeated runs of up to
-four tokens fold into groups. The streams of a host are aligned one after another: matching tokens meet in one node, what
-one side lacks becomes optional, what one side repeats becomes a repeated group, and slots whose texts differ become text
-slots, the others stay fixed text. The result, a sequence of (groups)+ and (groups)?, is the host's wrapper; it also sums
-up the lengths of texts and of link texts in each node. Pages with an article element, with a main element, with
-content of another name and without any are a host's templates with a wrapper each, so that none is read by another's rules. From the wrapper the nodes of the article are chosen: boilerplate elements
-and classes are out; then what stands in an article, main or content element, else the container with the most text that
-is neither fixed nor links.
+"""Main text of web pages by wrappers, one for each template of a host, inferred without unions.
+
+A page is read as the stream of its block-level tags and texts, and its wrapper is a regular expression over such streams
+without unions, kept as a tree: an element's content is a sequence of groups, (..)+ where a page repeats it, (..)? where a page
+lacks it, with '..' for a text that all pages share and # for a slot of differing texts. Runs of up to three siblings of like
+form fold into a repeated group. The pages of a host are aligned one after another: groups of equal form meet; a mismatch
+meets the most similar group of the same tag in the gap, whose content is then aligned in turn; what is left is optional; texts
+that differ become a slot. A single run of what another page repeats is one round of the repeated group.
+
+The wrapper tells the article from its surroundings. A node's mass is its text outside links, where fixed text (equal on all
+pages, of three or more) counts a fifth and boilerplate elements nothing. An article or main element is taken if it has a third
+of the mass; else the node is sought that holds the mass: from the root on the way leads into the one child that has more
+than half of it, and ends where the mass is spread or repeated. Headings beside the way belong to it. Where the way ends
+at a single text, siblings that are fixed or links stay behind. Elements whose kind or role says that they are menus, forms,
+asides and the like, or whose class does (reader comments look like any other text), are left out inside the article, too.
 
 All pages take part. Each task aligns its own pages, and partial wrappers are aligned in two rounds, so a host with a third
 of all pages is spread like the others. Wrappers are broadcast if they measure at most `broadcast_mb`, and joined by host
-otherwise, where the adaptive planner splits a hot host.
+otherwise, where the adaptive planner splits a hot host. Texts stand in a wrapper as hashes, so its size follows the host's
+kinds of blocks, not its pages.
 
-Defined results: a null page has an empty text; a null url belongs to the host ''; repeated rows come out each; an empty
-table gives no rows."""
+Defined results: a null or blank page has an empty text; a null or bad url belongs to the host ''; repeated rows come out each;
+very long pages are read whole, in time linear in their length; unclosed comments, scripts and styles end with the page, other
+unclosed elements with their parent; of nodes of equal mass the first counts; an id that is no number is null; an empty
+table gives no rows; other columns are not read."""
 
 from __future__ import annotations
 
 import html as _html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,15 +53,11 @@ pager pagination popup popups promo promotion promotions promoted recommended re
 signin signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets warning alert register
 rail teaser teasers trending popular side foot topnav subnav crumb crumbs adbox adslot advertorial disclaimer discussion feedback""".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-CONTENT_WORDS = frozenset("article articlebody content entry main post story body text page".split())
 #: An open element of the first kind is ended by the start of one of the second.
 ENDS = {"p": BLOCKS - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
         "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option", "optgroup"}, "head": {"body"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
-                    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
-_ATTR = re.compile(r"""([a-zA-Z:-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LAYOUT = re.compile(r"\b(?:with|has|no|without)[-_][a-z]+", re.I)  # says what a container has beside it, not what it is
 
@@ -64,217 +67,423 @@ ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 hgroup p li dt dd blockquote pre figure
 
 
 @lru_cache(maxsize=20000)
-def _mark(tag: str, attrs: str, inside: bool = False) -> tuple[str, bool]:
-    """An element's part of a path, and whether it is hidden: the tag, with ! if it is boilerplate by class, id or role,
-    or with . if it is content. Other names are dropped, for they differ from page to page. The id of a heading or a
-    paragraph makes no boilerplate, nor that of a section inside an article."""
-    bad, good, hidden = tag in BOILERPLATE_TAGS, False, False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
+def _mark(tag: str, attrs: tuple, inside: bool = False) -> tuple[str, bool]:
+    """An element's token, and whether it is hidden: the tag, with ! if it is boilerplate by kind, class, id or role, or with
+    . if it is an article or main element. Other names are dropped, for they differ from page to page. The id of a heading
+    or a paragraph makes no boilerplate, nor that of a section inside an article."""
+    bad, hidden = tag in BOILERPLATE_TAGS, False
+    good = tag in ("article", "main")
+    for name, value in attrs:
         if name in ("class", "id", "itemprop"):
             words = {w.lower() for w in _WORD.findall(_LAYOUT.sub("", value))}
             if tag in ("div", "section") and "header" in words:
                 tag = "header"
             if name != "id" or not (tag in ANCHORED or (tag == "section" and inside)):
                 bad |= bool(words & BOILERPLATE_WORDS)
-            good |= bool(words & CONTENT_WORDS)
         elif name == "role":
             bad |= value.lower() in BOILERPLATE_ROLES
-            good |= value.lower() in ("main", "article")
+            if value.lower() in ("main", "article"):
+                tag, good = value.lower(), True
         elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (
                 name == "aria-hidden" and value == "true"):
             hidden = True
-    if tag in ("article", "main"):
-        bad, good = bad and not good, True
     return tag + ("!" if bad and tag not in ("body", "html") else "." if good else ""), hidden
 
 
-def page_blocks(page: str | None) -> list[tuple[str, str, int]]:
-    """(path, text, characters of it in links) of the blocks with text, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_PART = re.compile(r"[\s/]*([^\s=/>]+)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+#: A page's elements may nest as deep as this; what is deeper stands beside.
+DEEP = 40
+
+
+class Node:
+    """An element of a page (tag, children), or a text: tag '#'."""
+
+    __slots__ = ("tag", "kids", "text", "links")
+
+    def __init__(self, tag: str, text: str = "", links: int = 0):
+        self.tag, self.text, self.links, self.kids = tag, text, links, []
+
+
+def _tag_end(s: str, i: int, lost: set[str]) -> tuple[int, list[tuple[str, str]]]:
+    """Where the tag ends whose attributes begin at i, and the attributes. lost: quotes that don't occur any more."""
+    attrs = []
+    while True:
+        m = _PART.match(s, i)
+        if m is None:
+            k = s.find(">", i)
+            return (len(s) if k < 0 else k + 1), attrs
+        i = m.end()
+        value = ""
+        if m[2]:
+            quote = s[i:i + 1]
+            k = s.find(quote, i + 1) if quote in ("'", '"') and quote not in lost else -1
+            if k >= 0:
+                value, i = s[i + 1:k], k + 1
+            else:
+                if quote in ("'", '"'):
+                    lost.add(quote)
+                value = _BARE.match(s, i)[0]
+                i += len(value)
+        attrs.append((m[1].lower(), value))
+
+
+def _tokens(s: str) -> Iterator[tuple[str, str, list]]:
+    """("#", text, []), ("<", tag, attributes), (">", tag of an end, []), in one pass."""
+    i, n, lost, unclosed = 0, len(s), set(), set()
+    while i < n:
+        k = s.find("<", i)
+        if k < 0:
+            k = n
+        if k > i:
+            yield "#", s[i:k], []
+        if k == n:
+            return
+        m = _NAME.match(s, k + 1)
+        if m:
+            tag = m[0].lower()
+            i, attrs = _tag_end(s, m.end(), lost)
+            if tag[0] == "/":
+                yield ">", tag[1:], []
+                continue
+            yield "<", tag, attrs
+            if tag in RAW and tag not in unclosed:
+                end = _ends(tag).search(s, i)
+                if end:
+                    i = end.end()
+                elif tag in ("script", "style"):
+                    return
+                else:
+                    unclosed.add(tag)
+        elif s.startswith("<!--", k):
+            i = s.find("-->", k + 4)
+            if i < 0:
+                return
+            i += 3
+        elif s[k + 1:k + 2] in ("!", "?"):
+            i = s.find(">", k)
+            if i < 0:
+                return
+            i += 1
+        else:
+            yield "#", "<", []
+            i = k + 1
+
+
+@lru_cache(maxsize=None)
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}[^>]*>", re.I)
+
+
+def parse(page: str | None) -> Node:
+    """The page's tree of block-level elements and texts; hidden elements are left out."""
+    root = Node("")
+    stack: list[tuple[str, Node, bool]] = [("", root, False)]
     text: list[str] = []
-    links, anchor, path = 0, 0, ""
-    hidden = 0
+    links, anchor, hidden = 0, 0, 0
 
     def flush() -> None:
         nonlocal links
         if text:
             clean = " ".join("".join(text).split())
             if clean and not hidden:
-                out.append((path, clean, links))
+                stack[-1][1].kids.append(Node("#", clean, min(links, len(clean))))
             text.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        s = m[0]
-        tag = m[3]
-        if tag is None:
-            if s[0] != "<" or s == "<":
-                t = _html.unescape(s) if "&" in s else s
-                text.append(t)
-                if anchor:
-                    links += len(t)
-            elif m[1]:
-                text.append(" ") if m[1].lower() not in ("script", "style") else None
-            continue
-        tag = tag.lower()
-        if m[2]:
-            if tag == "a":
+    def drop(at: int) -> None:
+        nonlocal hidden
+        hidden -= sum(x[2] for x in stack[at:])
+        del stack[at:]
+
+    for kind, what, attrs in _tokens(page or ""):
+        if kind == "#":
+            t = _html.unescape(what) if "&" in what else what
+            text.append(t)
+            if anchor:
+                links += len(t)
+        elif kind == ">":
+            if what == "a":
                 anchor = 0
-            elif tag in BLOCKS:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            elif what in BLOCKS:
                 flush()
+                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == what), None)
                 if at is not None:
-                    hidden -= sum(x[2] for x in stack[at:])
-                    del stack[at:]
-                    path = "/".join(x[1] for x in stack)
-            continue
-        if tag == "a":
+                    drop(at)
+        elif what == "a":
             anchor = 1
-        elif tag in ("br", "img", "input"):
+        elif what in ("br", "img", "input"):
             text.append(" ")
-        if tag not in BLOCKS:
-            continue
-        flush()
-        anchor = 0
-        for k in range(len(stack) - 1, -1, -1):
-            kind = stack[k][0]
-            if kind in SCOPES.get(tag, ()) or (kind in ("article", "section", "div", "td", "body", "main", "blockquote") and tag != "body"):
-                break
-            if tag in ENDS.get(kind, ()):
-                hidden -= sum(x[2] for x in stack[k:])
-                del stack[k:]
-                break
-        if tag not in VOID:
-            part, gone = _mark(tag, m[4] or "", tag == "section" and any(x[1] in ("article.", "main.") for x in stack))
-            stack.append((tag, part, gone))
+        elif what in RAW:
+            if what not in ("script", "style"):
+                text.append(" ")
+        elif what in BLOCKS:
+            flush()
+            anchor = 0
+            for k in range(len(stack) - 1, 0, -1):
+                above = stack[k][0]
+                if above in SCOPES.get(what, ()) or (above in ("article", "section", "div", "td", "body", "main", "blockquote") and what != "body"):
+                    break
+                if what in ENDS.get(above, ()):
+                    drop(k)
+                    break
+            mark, gone = _mark(what, tuple(attrs), what == "section" and any(x[1].tag in ("article.", "main.") for x in stack))
+            if len(stack) > DEEP:
+                drop(len(stack) - 1)
+            node = Node(mark)
+            if not (hidden or gone):
+                stack[-1][1].kids.append(node)
+            stack.append((what, node, gone))
             hidden += gone
-        path = "/".join(x[1] for x in stack)
     flush()
+    return root
+
+
+def texts_of(node: Node) -> list[str]:
+    """The texts below a node, without boilerplate elements; of the header of an article, its headings."""
+    out, stack = [], [(node, False, True)]
+    while stack:
+        n, inside, read = stack.pop()
+        if n.tag == "#":
+            if read:
+                out.append(n.text)
+        elif n is node or not n.tag.endswith("!"):
+            inside = inside or n.tag in ("article.", "main.")
+            if n.tag == "header":
+                if not inside:
+                    continue
+                read = False
+            elif re.match("h[1-6]$|hgroup$", n.tag):
+                read = True
+            stack += [(k, inside, read) for k in reversed(n.kids)]
     return out
 
 
-# ---- wrappers: {"pages": n, "nodes": [[tokens, repeated, pages, blocks, characters, characters in links, fixed text or None]]}
+# ---- wrappers: a node is [tag, pages, times, characters, of them in links, hash of its text or None, groups], a group is
+# [repeated, nodes]
 
-def folded(paths: list[str], most: int = 4) -> list[tuple[tuple[str, ...], int, int]]:
-    """(tokens of a group, first block, number of blocks): runs of up to `most` tokens that repeat are one group."""
-    out, i, n = [], 0, len(paths)
+TAG, PAGES, TIMES, CHARS, LINKS, SAME, GROUPS = range(7)
+
+
+def _key(node: list) -> tuple:
+    return node[TAG], tuple(sorted({x[TAG] for _, nodes in node[GROUPS] for x in nodes}))
+
+
+def folded(keys: list, most: int = 3) -> list[tuple[int, int, int]]:
+    """(first, number, period): runs of up to `most` keys that repeat are one group."""
+    out, i, n = [], 0, len(keys)
     while i < n:
         for k in range(1, most + 1):
             j = i + k
-            while j + k <= n and paths[j:j + k] == paths[i:i + k]:
+            while j + k <= n and keys[j:j + k] == keys[i:i + k]:
                 j += k
             if j > i + k:
-                out.append((tuple(paths[i:i + k]), i, j - i))
+                out.append((i, j - i, k))
                 i = j
                 break
         else:
-            out.append(((paths[i],), i, 1))
+            out.append((i, 1, 1))
             i += 1
     return out
 
 
-def page_wrapper(blocks: list[tuple[str, str, int]]) -> dict:
-    nodes = []
-    for tokens, at, n in folded([b[0] for b in blocks]):
-        own = blocks[at:at + n]
-        nodes.append([list(tokens), n > len(tokens), 1, n, sum(len(b[1]) for b in own), sum(b[2] for b in own), own[0][1] if n == 1 else None])
-    return {"pages": 1, "nodes": nodes}
+def page_wrapper(node: Node, seen: dict[int, list] | None = None) -> list:
+    """The wrapper of one page; seen gets those of all its nodes, by their identity."""
+    if node.tag == "#":
+        return ["#", 1, 1, len(node.text), node.links, xxhash.xxh64_hexdigest(node.text.encode("utf-8", "surrogatepass")), []]
+    made = [page_wrapper(k, seen) for k in node.kids]
+    if seen is not None:
+        seen.update((id(k), x) for k, x in zip(node.kids, made))
+    groups = []
+    for at, n, k in folded([_key(x) for x in made]):
+        nodes = made[at:at + k]
+        for j in range(at + k, at + n):
+            nodes[(j - at) % k] = aligned(nodes[(j - at) % k], made[j], 0)
+        groups.append([n > k, nodes])
+    if len(groups) > 200:  # no pattern: each form once, repeated
+        forms: dict = {}
+        for rep, nodes in groups:
+            key = tuple(map(_key, nodes))
+            forms[key] = [True, [aligned(a, b, 0) for a, b in zip(forms[key][1], nodes)]] if key in forms else [rep, nodes]
+        groups = list(forms.values())
+    same = xxhash.xxh64_hexdigest("|".join(str(x[SAME]) for x in made).encode())
+    return [node.tag, 1, 1, sum(x[CHARS] for x in made), sum(x[LINKS] for x in made), same, groups]
+
+
+def _rounds(groups: list, other: list) -> list:
+    """Single nodes that are one round of a group that the other side repeats become such a group."""
+    wanted = {tuple(map(_key, nodes)) for rep, nodes in other if rep and len(nodes) > 1}
+    if not wanted:
+        return groups
+    out, i = [], 0
+    while i < len(groups):
+        for k in (3, 2):
+            run = groups[i:i + k]
+            if len(run) == k and all(len(x[1]) == 1 for x in run) and tuple(_key(x[1][0]) for x in run) in wanted:
+                out.append([False, [x[1][0] for x in run]])
+                i += k
+                break
+        else:
+            out.append(groups[i])
+            i += 1
+    return out
 
 
-def aligned(a: dict, b: dict) -> dict:
-    """The wrapper of both: nodes of one side only are optional (seen on fewer pages than there are)."""
-    left, right = ([tuple(x[0]) for x in w["nodes"]] for w in (a, b))
-    if left == right:
-        pairs = [("equal", 0, len(left), 0, len(right))]
-    else:
-        pairs = SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
-    nodes = []
-    for what, i, j, k, m in pairs:
+def matched(left: list, right: list) -> list[tuple[int, int]]:
+    """Pairs of groups that meet, in order: those of equal form, then in each gap the most similar of the same tags."""
+    a, b = ([tuple(map(_key, nodes)) for _, nodes in side] for side in (left, right))
+    if a == b:
+        return list(zip(range(len(a)), range(len(b))))
+    pairs = []
+    for what, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if what == "equal":
-            for x, y in zip(a["nodes"][i:j], b["nodes"][k:m]):
-                nodes.append([x[0], x[1] or y[1], *(x[c] + y[c] for c in range(2, 6)), x[6] if x[6] == y[6] else None])
-        else:
-            nodes += a["nodes"][i:j] + b["nodes"][k:m]
-    return {"pages": a["pages"] + b["pages"], "nodes": nodes}
+            pairs += zip(range(i, j), range(k, m))
+            continue
+        while i < j and k < m:  # the best pair of the gap, then what is left before it is optional
+            best, at = 0.0, None
+            for x in range(i, min(j, i + 30)):
+                for y in range(k, min(m, k + 30)):
+                    if [t for t, _ in a[x]] == [t for t, _ in b[y]]:
+                        p, q = ({c for _, cs in side for c in cs} for side in (a[x], b[y]))
+                        alike = (len(p & q) + 0.01) / (len(p | q) + 0.01)
+                        if (p & q or not (p or q)) and alike > best:
+                            best, at = alike, (x, y)
+            if at is None:
+                break
+            pairs.append(at)
+            i, k = at[0] + 1, at[1] + 1
+    return pairs
 
 
-def regex(wrapper: dict) -> str:
-    """The wrapper as an expression: (tokens)+ repeated, (tokens)? optional, '...' fixed text, # a text slot."""
+def aligned(a: list, b: list, more: int = 1) -> list:
+    """The wrapper of both sides; more: 0 if they are of one page."""
+    if a[SAME] == b[SAME] and a[TAG] == "#" or not (a[GROUPS] or b[GROUPS]):
+        groups = a[GROUPS]
+    else:
+        left, right = _rounds(a[GROUPS], b[GROUPS]), _rounds(b[GROUPS], a[GROUPS])
+        groups, i, j = [], 0, 0
+        for x, y in [*matched(left, right), (len(left), len(right))]:
+            groups += left[i:x] + right[j:y]  # options
+            if x < len(left):
+                groups.append([left[x][0] or right[y][0], [aligned(p, q, more) for p, q in zip(left[x][1], right[y][1])]])
+            i, j = x + 1, y + 1
+    if more:
+        same = a[SAME] if a[SAME] == b[SAME] else None
+    else:  # of one page, the text of all rounds
+        same = xxhash.xxh64_hexdigest(f"{a[SAME]}+{b[SAME]}".encode())
+    return [a[TAG], max(a[PAGES], b[PAGES]) if not more else a[PAGES] + b[PAGES], a[TIMES] + b[TIMES], a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], same, groups]
+
+
+def regex(node: list, pages: int | None = None) -> str:
+    """The wrapper as an expression: (..)+ repeated, (..)? optional, '..' a fixed text (its hash), # a text slot."""
+    pages = pages or node[PAGES]
+    if node[TAG] == "#":
+        return "'" + node[SAME][:4] + "'" if node[SAME] and node[PAGES] > 1 else "#"
     out = []
-    for tokens, repeated, pages, _, _, _, fixed in wrapper["nodes"]:
-        slot = f"'{fixed}'" if fixed is not None and wrapper["pages"] > 1 else "#"
-        out.append("(" + " ".join(f"<{t}> {slot}" for t in tokens) + ")" + "+" * repeated + "?" * (pages < wrapper["pages"]))
-    return " ".join(out)
-
-
-def _is_boilerplate(token: str) -> bool:
-    """An element marked so stands above the block; a heading in the header of an article is its title."""
-    parts = token.split("/")
-    if any(p.endswith("!") for p in parts):
-        return True
-    if "header" in (p.rstrip(".") for p in parts):
-        tags = [p.rstrip(".") for p in parts]
-        at = tags.index("header")
-        inside = parts[at] == "header." or any(p in ("article", "article.", "main", "main.") for p in parts[:at])
-        return not (inside and re.fullmatch("h[1-6]", tags[-1]))
-    return False
-
-
-def template(blocks: list[tuple[str, str, int]]) -> str:
-    """What holds text of this page: article or main elements, else content of another name, else nothing marked."""
-    held = {p for path, _, _ in blocks if not _is_boilerplate(path) for p in path.split("/")}
-    return "article" if "article." in held else "main" if "main." in held else "content" if any(p.endswith(".") for p in held) else ""
-
-
-def roles(wrapper: dict) -> list[bool]:
-    """Which nodes are the article's."""
-    nodes = wrapper["nodes"]
-    fair = [not any(map(_is_boilerplate, x[0])) for x in nodes]
-    inside = lambda token, names: any(p in names for p in token.split("/"))
-    for names in (("article.",), ("main.",)):
-        if any(ok and inside(x[0][0], names) for ok, x in zip(fair, nodes)):
-            return [ok and inside(x[0][0], names) for ok, x in zip(fair, nodes)]
-    content = [ok and any(p.endswith(".") for p in x[0][0].split("/")) for ok, x in zip(fair, nodes)]
-    words = lambda x: x[4] - x[5]
-    if any(content) and sum(words(x) for c, x in zip(content, nodes) if c) >= 0.3 * sum(words(x) for ok, x in zip(fair, nodes) if ok):
-        return content
-    # no content element: the container with the most text, and the headings and text beside it
-    fixed = [x[6] is not None and x[2] > 2 for x in nodes]
-    text = [ok and x[5] < 0.5 * max(1, x[4]) for ok, x in zip(fair, nodes)]
-    mass: Counter = Counter()
-    for ok, same, x in zip(text, fixed, nodes):
-        if ok and not same:
-            mass[x[0][0].rpartition("/")[0]] += words(x)
-    if not mass:
-        return text
-    top = max(mass, key=lambda k: (mass[k], k))
-    return [ok and not same and (x[0][0] == top or x[0][0].startswith(top + "/")) for ok, same, x in zip(text, fixed, nodes)]
+    for rep, nodes in node[GROUPS]:
+        inner = " ".join(regex(x, x[PAGES]) for x in nodes)
+        option = nodes[0][PAGES] < node[PAGES]
+        out.append(f"({inner})" + "+" * rep + "?" * option if rep or option else inner)
+    return f"<{node[TAG]}>" + " ".join(out) + f"</{node[TAG]}>" if node[TAG] else " ".join(out)
+
+
+# ---- the article
+
+def _fixed(node: list) -> bool:
+    return node[SAME] is not None and node[PAGES] >= 3
 
 
 class Extractor:
-    """Applies the wrapper of a host's template; keeps the choice for each shape of page."""
-
-    def __init__(self, wrapper: dict):
-        self.nodes = [tuple(x[0]) for x in wrapper["nodes"]]
-        self.roles = roles(wrapper)
-        self.by_token: dict[tuple[str, ...], bool] = {}
-        for k, r in zip(self.nodes, self.roles):
-            self.by_token[k] = self.by_token.get(k, False) or r
-        self.seen: dict[tuple, list[bool]] = {}
-
-    def text(self, blocks: list[tuple[str, str, int]]) -> str:
-        groups = folded([b[0] for b in blocks])
-        shape = tuple(g[0] for g in groups)
-        use = self.seen.get(shape)
-        if use is None:
-            use = [self.by_token.get(g, False) for g in shape]
-            for i, j, n in SequenceMatcher(None, self.nodes, list(shape), autojunk=False).get_matching_blocks():
-                use[j:j + n] = self.roles[i:i + n]
-            if len(self.seen) < 5000:
-                self.seen[shape] = use
-        return "\n\n".join(b[1] for (_, at, n), ok in zip(groups, use) if ok for b in blocks[at:at + n])
+    """Applies the wrapper of a host's template."""
+
+    def __init__(self, wrapper: list):
+        self.root, self.mass, self.kept, self.way = wrapper, {}, set(), set()
+        total = self._weigh(wrapper, False)
+        for name in ("article.", "main."):
+            found = [path for path in self._find(wrapper, [], name)]
+            if found and sum(self.mass[id(p[-1])] for p in found) >= total / 3:
+                for path in found:
+                    self._keep(path)
+                return
+        self._seek()
+
+    def _weigh(self, node: list, out: bool) -> float:
+        out = out or node[TAG].endswith("!") or node[TAG] == "header"
+        if node[TAG] == "#":
+            m = 0.0 if out else (node[CHARS] - node[LINKS]) * (0.2 if _fixed(node) else 1)
+        else:
+            m = sum(self._weigh(x, out) for _, nodes in node[GROUPS] for x in nodes)
+        self.mass[id(node)] = m
+        return m
+
+    def _find(self, node: list, path: list, name: str) -> Iterator[list]:
+        path = [*path, node]
+        if node[TAG] == name:
+            yield path
+        elif not node[TAG].endswith("!"):
+            for _, nodes in node[GROUPS]:
+                for x in nodes:
+                    yield from self._find(x, path, name)
+
+    def _keep(self, path: list) -> None:
+        self.kept.add(id(path[-1]))
+        self.way.update(map(id, path[:-1]))
+
+    def _seek(self) -> None:
+        path = [self.root]
+        while True:
+            kids = [(rep, x) for rep, nodes in path[-1][GROUPS] for x in nodes]
+            rep, best = max(kids, key=lambda x: self.mass[id(x[1])], default=(False, None))
+            if best is None or rep or best[TAG] == "#" or self.mass[id(best)] <= self.mass[id(path[-1])] / 2:
+                break
+            if not any(x[TAG] != "#" for _, nodes in best[GROUPS] for x in nodes):
+                # a single text holds the mass: its siblings stay unless they are fixed, or links
+                for _, x in kids:
+                    if not _fixed(x) and x[LINKS] <= x[CHARS] / 2:
+                        self._keep([*path, x])
+                break
+            path.append(best)
+        if not self.kept:
+            self._keep(path)
+        for depth in range(1, len(path)):  # headings beside the way
+            for _, nodes in path[depth - 1][GROUPS]:
+                for x in nodes:
+                    if x is path[depth]:
+                        break
+                    if re.match("h[1-6]$|hgroup", x[TAG]) and not _fixed(x):
+                        self._keep([*path[:depth], x])
+
+    def text(self, page: Node) -> str:
+        out: list[str] = []
+        seen: dict[int, list] = {}
+        if id(self.root) in self.way:
+            page_wrapper(page, seen)
+        self._walk(page, self.root, seen, out)
+        return "\n\n".join(out)
+
+    def _walk(self, node: Node, own: list, seen: dict[int, list], out: list[str]) -> None:
+        if id(own) in self.kept:
+            out += texts_of(node)
+        elif id(own) in self.way:
+            shapes = [seen[id(k)] for k in node.kids]
+            runs = folded([_key(x) for x in shapes])
+            for x, y in matched(own[GROUPS], [[n > k, shapes[at:at + k]] for at, n, k in runs]):  # what is not matched is not read
+                at, n, k = runs[y]
+                for j in range(n):
+                    self._walk(node.kids[at + j], own[GROUPS][x][1][j % k], seen, out)
+
+
+def template(page: Node) -> str:
+    """What holds text of this page: an article or main element, or none. Such pages have wrappers of their own."""
+    found, stack = set(), [page]
+    while stack:
+        n = stack.pop()
+        if not n.tag.endswith("!"):
+            if n.tag in ("article.", "main.") and texts_of(n):
+                found.add(n.tag)
+            stack += n.kids
+    return "article" if "article." in found else "main" if "main." in found else ""
 
 
 def host_of(url: Column) -> Column:
@@ -312,8 +521,8 @@ def infer(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> Dat
         held: dict[str, dict] = {}
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                blocks = page_blocks(page)
-                _add(held, host, {template(blocks): page_wrapper(blocks)})
+                tree = parse(page)
+                _add(held, host, {template(tree): page_wrapper(tree)})
         yield _wrapper_rows(held)
 
     parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(
@@ -339,8 +548,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(made) > 2000:
                         made.clear()
                     made[host] = {t: Extractor(x) for t, x in (known.value[host] if known.value is not None else json.loads(w)).items()}
-                blocks = page_blocks(page)
-                texts.append(made[host][template(blocks)].text(blocks))
+                tree = parse(page)
+                texts.append(made[host][template(tree)].text(tree) or Extractor(page_wrapper(tree)).text(tree))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 

@@ -20,5 +20,5 @@ def test_templates_of_one_host(spark):
 def test_ids_of_headings_and_sections():
     page = ("<article><h1 id='search'>Title</h1><p id='tags'>One</p><section id='related-work'><h2 id='discussion'>Two</h2><p>Three</p></section>"
             "<div class='related'>no</div></article><section id='comments'><p>nor this</p></section><div id='sidebar'>nor that</div>")
-    blocks = W.page_blocks(page)
-    assert W.Extractor(W.page_wrapper(blocks)).text(blocks) == "Title\n\nOne\n\nTwo\n\nThree"
+    tree = W.parse(page)
+    assert W.Extractor(W.page_wrapper(tree)).text(tree) == "Title\n\nOne\n\nTwo\n\nThree"
