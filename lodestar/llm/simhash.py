@@ -14,8 +14,8 @@ components follow from the forests. Nodes of the graph are fingerprints, so rows
 similarity of `least` (0.8) or more. Three differing bits miss most such pairs, so there candidates come from minima of the
 shingle sets: those of 200 orders in 40 bands of 5, and a pair of similarity s shares none with probability (1 - s^5)^40, 1.3e-7
 at 0.8. Texts of equal sets are one class; each band links its classes to its smallest one, so candidate components come
-from as many rows as there are bands. The members of a component, in blocks of about `block` if they are many, and every pair of
-blocks, form BK-trees of the fingerprints of their sets. Edges within 28 bits are followed (a pair of 0.8 or more differs in
+from as many rows as there are bands. The members of a component, in blocks of about `block` classes and 1000 times as many
+shingles if they are many, and every pair of blocks, form BK-trees of the fingerprints of their sets. Edges within 28 bits are followed (a pair of 0.8 or more differs in
 more with probability 1e-6), and what they find is confirmed by the exact sets.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other, and is one class with other blank ones;
@@ -258,15 +258,16 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def classes(rows: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(row, digest of the set, keys) of with_rows()'s rows."""
+    """(row, digest of the set, its size, keys) of with_rows()'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, size) for t in b.column(1).to_pylist()]
             keys = pa.array([bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_digest, sets), pa.int64()), keys], ["row", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), keys],
+                                             ["row", "digest", "size", "keys"])
 
-    return rows.select("row", F.col("doc")[text_col].cast("string").alias("text")).mapInArrow(run, "row long, digest long, keys array<long>")
+    return rows.select("row", F.col("doc")[text_col].cast("string").alias("text")).mapInArrow(run, "row long, digest long, size long, keys array<long>")
 
 
 def similar_links(rows: list[tuple[int, int, np.ndarray]], least: float, own: bool) -> list[tuple[int, int]]:
@@ -277,21 +278,33 @@ def similar_links(rows: list[tuple[int, int, np.ndarray]], least: float, own: bo
     block, size = np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows])
     sets: dict[int, frozenset] = {}
     label, out = np.arange(len(rows)), []
+
+    def alike(x: int, y: int) -> bool:
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = frozenset(rows[k][2].tolist())
+        both = len(sets[x] & sets[y])
+        return both >= least * (len(sets[x]) + len(sets[y]) - both) - 1e-9
+
     for a, b in bk_hits(np.zeros(len(rows), np.int64), fp, WIDE, 2000):
         fit = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9
         if not own:
             fit &= block[a] != block[b]
-        for x, y in zip(a[fit].tolist(), b[fit].tolist()):
-            u, v = int(_find(label, np.array([x]))[0]), int(_find(label, np.array([y]))[0])
-            if u == v:
-                continue
-            for k in (x, y):
-                if k not in sets:
-                    sets[k] = frozenset(rows[k][2].tolist())
-            both = len(sets[x] & sets[y])
-            if both >= least * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
-                label[max(u, v)] = min(u, v)
-                out.append((rows[x][0], rows[y][0]))
+        a, b = a[fit], b[fit]
+        while len(a):  # a round confirms one pair of each group at most, and drops the pairs inside groups
+            la, lb = _find(label, a), _find(label, b)
+            apart = la != lb
+            a, b, hi = a[apart], b[apart], np.maximum(la, lb)[apart]
+            _, pick = np.unique(hi, return_index=True)
+            for k in pick.tolist():
+                if alike(int(a[k]), int(b[k])):
+                    u, v = sorted((int(_find(label, a[k:k + 1])[0]), int(_find(label, b[k:k + 1])[0])))
+                    if u != v:
+                        label[v] = u
+                        out.append((rows[a[k]][0], rows[b[k]][0]))
+            left = np.ones(len(a), bool)
+            left[pick] = False
+            a, b = a[left], b[left]
     return out
 
 
@@ -328,9 +341,10 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, size: int, least:
     hubs = keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("last")).where("hub < last").select("key", "hub")
     near = connected_components(keyed.join(hubs, "key").where("digest <> hub").select(F.col("digest").alias("src"), F.col("hub").alias("dst")).distinct())
     near = written(near.withColumnRenamed("node", "digest"), "candidates")
-    parts = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g"))
-    one = rows.groupBy("digest").agg(F.min("row").alias("row"))
-    dealt = _in_pairs(near.join(parts, "component").join(one, "digest"), "digest", "row", "component")
+    one = rows.groupBy("digest").agg(F.min("row").alias("row"), F.max("size").alias("size"))
+    near = near.join(one, "digest")
+    parts = near.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / (1000 * block))).cast("int").alias("g"))
+    dealt = _in_pairs(near.join(parts, "component"), "digest", "row", "component")
     own = held.select("row", F.col("doc")[text_col].cast("string").alias("text"))
     texts = own.join(dealt, "row").select("digest", "text", "component", "p", "i", "j")
     found = connected_components(similar(texts, size, least)).withColumnRenamed("node", "digest")
@@ -340,14 +354,14 @@ def _similar_rows(docs: DataFrame, id_col: str, text_col: str, size: int, least:
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8,
-                       block: int = 400) -> DataFrame:
+                       block: int = 4000) -> DataFrame:
     """(doc_id, component_id: the smallest doc_id reachable by links), a row per input row."""
     _, of = _similar_rows(docs, id_col, text_col, size, least, block)
     smallest = of.groupBy("component").agg(F.min("id").alias("component_id"))
     return of.join(smallest, "component").select(F.col("id").alias("doc_id"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, block: int = 400) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, block: int = 4000) -> DataFrame:
     """One row of docs of each component, see above, with all its columns."""
     held, of = _similar_rows(docs, id_col, text_col, size, least, block)
     first = of.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus_pipeline
 from lodestar.llm import simhash
@@ -55,7 +56,7 @@ def test_against_brute_force(spark):
     want = brute(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert sum(0.8 <= s <= 0.95 for s in planted) > 50
-    for block in (400, 25):
+    for block in (4000, 25):
         got = {r.doc_id: r.component_id for r in simhash.similar_components(docs, block=block).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(want)
@@ -109,3 +110,17 @@ def test_hot_keys_are_dealt_into_parts(spark):
         return [find(x) for x in fp]
 
     assert groups(found) == groups([(a, b) for a in fp for b in fp if a < b and near(a, b)])
+
+
+def test_a_large_group_of_near_copies_is_linked_by_few_comparisons(monkeypatch):
+    """2000 near copies: nearly every pair is a hit, but a spanning forest needs one comparison each."""
+    rnd = random.Random(2)
+    base = rnd.choices([f"w{i}" for i in range(500)], k=200)
+    rows = []
+    for k in range(2000):
+        v = list(base)
+        v[rnd.randrange(200)] = f"x{k}"
+        h = simhash.shingles(" ".join(v))
+        rows.append((simhash.set_digest(h), 0, h))
+    began = time.process_time()
+    assert len(simhash.similar_links(rows, 0.8, True)) == 1999 and time.process_time() - began < 30
