@@ -276,38 +276,42 @@ def similar_links(rows: list[tuple[int, int, np.ndarray]], least: float, own: bo
     rows = sorted(rows, key=lambda r: r[0])
     fp = np.array([majority(h) for _, _, h in rows], np.uint64)
     block, size = np.array([r[1] for r in rows]), np.array([len(r[2]) for r in rows])
-    sets: dict[int, frozenset] = {}
     label, out = np.arange(len(rows)), []
-
-    def alike(x: int, y: int) -> bool:
-        for k in (x, y):
-            if k not in sets:
-                sets[k] = frozenset(rows[k][2].tolist())
-        both = len(sets[x] & sets[y])
-        return both >= least * (len(sets[x]) + len(sets[y]) - both) - 1e-9
-
+    common = _common([h for _, _, h in rows])
     for a, b in bk_hits(np.zeros(len(rows), np.int64), fp, WIDE, 2000):
         fit = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9
         if not own:
             fit &= block[a] != block[b]
         a, b = a[fit], b[fit]
-        while len(a):  # a round confirms one pair of each group at most, and drops the pairs inside groups
-            la, lb = _find(label, a), _find(label, b)
-            apart = la != lb
-            a, b, hi = a[apart], b[apart], np.maximum(la, lb)[apart]
-            _, pick = np.unique(hi, return_index=True)
-            for k in pick.tolist():
-                if alike(int(a[k]), int(b[k])):
-                    u, v = sorted((int(_find(label, a[k:k + 1])[0]), int(_find(label, b[k:k + 1])[0])))
-                    if u != v:
-                        label[v] = u
-                        out.append((rows[a[k]][0], rows[b[k]][0]))
-            left = np.ones(len(a), bool)
-            left[pick] = False
-            a, b = a[left], b[left]
+        apart = _find(label, a) != _find(label, b)
+        a, b = a[apart], b[apart]
+        if len(a):
+            both = common(a, b)
+            near = both >= least * (size[a] + size[b] - both) - 1e-9
+            x, y = _forest(a[near], b[near], label)
+            out += [(rows[i][0], rows[j][0]) for i, j in zip(x.tolist(), y.tolist())]
     return out
 
 
+def _common(sets: list[np.ndarray], most: int = 64 << 20):
+    """A function of two index arrays: the sizes of the sets' intersections. Elements of two sets or more are bits of rows
+    of words, if these take no more than `most` bytes; else the sets themselves are compared."""
+    flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+    seen, times = np.unique(flat, return_counts=True)
+    seen = seen[times > 1]
+    words = -(-len(seen) // 64) or 1
+    if 8 * words * len(sets) <= most:
+        bits = np.zeros((len(sets), 8 * words), np.uint8)
+        for row, h in zip(bits, sets):
+            at = np.searchsorted(seen, h)
+            at = at[seen[np.minimum(at, len(seen) - 1)] == h] if len(seen) else at[:0]
+            np.bitwise_or.at(row, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        packed = bits.view(np.uint64)
+        step = max(1, (4 << 20) // words)
+        return lambda a, b: np.concatenate([np.bitwise_count(packed[a[i:i + step]] & packed[b[i:i + step]]).sum(1, dtype=np.int64) for i in range(0, len(a), step)])
+    return lambda a, b: np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.int64)
+
+
 def similar(texts: DataFrame, size: int, least: float) -> DataFrame:
     """(src, dst: digests) from (digest, text, component, p, i, j): the members of block pair (i, j) of a component."""
 
