@@ -91,13 +91,20 @@ class IndexStore:
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()))
 
     def _write(self, name: str, value: dict) -> None:
-        """Under a temporary name first, then renamed."""
+        """Under a temporary name first, then renamed over what is there: readers find the old file or the new one."""
         fs, part = self._fs(), self._path(f".{name}-{uuid.uuid4().hex}")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
         out.close()
-        fs.delete(self._path(name), False)
-        fs.rename(part, self._path(name))
+        self._replace(part, self._path(name))
+
+    def _replace(self, part, path) -> None:
+        fs = self._jvm.org.apache.hadoop.fs
+        kind = getattr(fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        fs.FileContext.getFileContext(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getUri(),
+                                      self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, path, how)
 
     def load_manifest(self) -> Manifest | None:
         found = self._read("manifest.json")
@@ -120,7 +127,12 @@ class IndexStore:
             return None
         if not self._fs().exists(self._path(m.entries)):
             raise CorruptIndex("a manifest without entries")
-        return m, self.spark.read.schema(ENTRY).parquet(f"{self.root}/{m.entries}")
+        entries = self.spark.read.schema(ENTRY).parquet(f"{self.root}/{m.entries}")
+        if entries.count() != m.item_count:  # from the files' footers
+            raise CorruptIndex("entries and manifest differ in number")
+        if m.item_count and entries.select(F.size("embedding").alias("n")).first()["n"] != m.embedding_dimension:
+            raise CorruptIndex("entries and manifest differ in dimension")
+        return m, entries
 
     def load_catalog(self) -> DataFrame:
         found = self._read("catalog.json")

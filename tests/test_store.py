@@ -177,3 +177,22 @@ def test_golden_file(spark, tmp_path):
     assert [(r.text, r.token_ids) for r in golden.cases(g, "text").collect()] == [("Café", [1, 2])]
     got = golden.similarity_pairs(g).select("id", "similarity", V.cosine("image_embedding", "text_embedding").alias("own")).collect()
     assert [r.id for r in got] == ["a"] and abs(got[0].own - got[0].similarity) < 0.002
+
+
+def test_a_crash_between_writing_and_renaming_leaves_the_old_file(spark, tmp_path, monkeypatch):
+    from lodestar.sources.store import IndexStore
+
+    store = IndexStore(spark, "file://" + str(tmp_path))
+    store._write("manifest.json", {"a": 1})
+    store._write("manifest.json", {"a": 2})
+    assert store._read("manifest.json") == {"a": 2}
+
+    def fails(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store, "_replace", fails)
+    try:
+        store._write("manifest.json", {"a": 3})
+    except OSError:
+        pass
+    assert store._read("manifest.json") == {"a": 2}
