@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
+from ..plans.session import cut
 
 #: Entries that a history keeps, failures in a row that end a build, and scan limits.
 HISTORY, ABORT_AT = 20, 10
@@ -56,12 +57,40 @@ def payloads(assets: DataFrame, store: DataFrame, library_col: str, granted: Col
 
 def failure_runs(log: DataFrame, by: list[str], order: str, status: str) -> DataFrame:
     """Adds consecutive_failures and abort to a build log: successes reset the count, cancellations neither count nor reset;
-    abort from the tenth failure in a row."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    d = log.withColumn("_run", F.sum(F.when(F.col(status) == "success", 1).otherwise(0)).over(w))
-    inner = Window.partitionBy(*by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum(F.when(F.col(status) == "failure", 1).otherwise(0)).over(inner)
-    return d.withColumn("consecutive_failures", n.cast("long")).withColumn("abort", F.col("consecutive_failures") >= ABORT_AT).drop("_run")
+    abort from the tenth failure in a row.
+
+    Each range of a log is counted by itself, and takes over what the ranges before it left: no task meets a whole log."""
+    dealt = _in_ranges(log, *by, order)
+    so_far = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = dealt.withColumn("_failed", F.sum(F.when(F.col(status) == "failure", 1).otherwise(0)).over(so_far))
+    d = d.withColumn("_reset", F.max(F.when(F.col(status) == "success", F.col("_failed"))).over(so_far))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy(*by, "_part").agg(F.max("_failed").alias("_n"), F.max("_reset").alias("_last"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    parts = parts.withColumn("_carried", F.col("_before") - F.coalesce(F.max(F.col("_before") + F.col("_last")).over(earlier), F.lit(0)))
+    left, right = d.alias("d"), parts.alias("p")
+    met = F.col("d._part") == F.col("p._part")
+    for c in by:
+        met = met & F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}"))
+    n = F.col("_failed") + F.coalesce(-F.col("_reset"), F.col("_carried"))
+    return left.join(right, met).select("d.*", n.cast("long").alias("consecutive_failures"), (n >= ABORT_AT).alias("abort")).drop(
+        "_part", "_failed", "_reset")
+
+
+def _in_ranges(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with _part, the number of their range of `by`; written, so that a row's part stays what it is."""
+    return cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def with_previous(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with the value of the row before, null for the first. Ranges are sorted by themselves; one row of each meets
+    the next range."""
+    dealt = _in_ranges(rows, order)
+    lasts = dealt.groupBy("_part").agg(F.max_by(F.struct(value), F.struct(order))[value].alias("_last"))
+    carried = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))
+    w = Window.partitionBy("_part").orderBy(order)
+    d = dealt.withColumn("_nth", F.row_number().over(w)).withColumn(name, F.lag(value).over(w)).join(F.broadcast(carried), "_part")  # a row a range
+    return d.withColumn(name, F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col(name))).drop("_part", "_nth", "_carried")
 
 
 def restored_state(stage: Column, has_progress: Column, has_manifest: Column) -> Column:
@@ -74,8 +103,8 @@ def restored_state(stage: Column, has_progress: Column, has_manifest: Column) ->
 def history(searches: DataFrame, query: str = "query", at: str = "ts", tie: str = "event_id", keep: int = HISTORY) -> DataFrame:
     """The newest entry of each trimmed, non-empty query; of these the newest `keep`."""
     d = searches.withColumn(query, T.trimmed(F.col(query))).where(F.length(query) > 0)
-    w = Window.partitionBy(query).orderBy(F.desc(at), F.desc(tie))
-    return d.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").orderBy(F.desc(at), F.desc(tie)).limit(keep)
+    newest = d.groupBy(query).agg(F.max_by(F.struct(*d.columns), F.struct(at, tie)).alias("_row")).select("_row.*")
+    return newest.orderBy(F.desc(at), F.desc(tie)).limit(keep)
 
 
 def latest(metrics: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..plans.session import cut
 from .search import similarity_join
 
@@ -74,9 +75,10 @@ def cluster_index(entries: DataFrame | None, preset: Preset = BALANCED, id_col:
 def cluster_vectors(index: DataFrame, threshold: float, min_neighbors: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, cluster) of dbscan() over all edges of a similarity self-join.
 
-    Rows of equal vectors have the same neighbours: the one with the smallest id stands for them all, with their number."""
+    Rows of equal vectors have the same neighbours: the one with the smallest id stands for them all, with their number.
+    Rows whose vector is null, empty or not finite are noise."""
     v = F.col(vec_col)
-    reps = cut(index.groupBy(v).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n")))
+    reps = cut(index.where(V.is_valid(v)).groupBy(v).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n")))
     edges = cut(similarity_join(reps, threshold, id_col, vec_col).select("src", "dst"))
     near = edges.join(reps.select(F.col(id_col).alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("near"))
     itself = F.when(F.exists(v, lambda x: x != 0), 1.0).otherwise(0.0)
@@ -84,7 +86,7 @@ def cluster_vectors(index: DataFrame, threshold: float, min_neighbors: int, id_c
         "src", (F.col("equal") + F.coalesce("near", F.lit(0))).alias("n"))
     labels = dbscan(reps, edges, min_neighbors, id_col, degrees)
     classes = reps.select(F.col(id_col).alias("_rep"), v.alias("_v")).join(labels.withColumnRenamed("id", "_rep"), "_rep")
-    return index.select(F.col(id_col).alias("id"), v.alias("_v")).join(classes, "_v").select("id", "cluster")
+    return index.select(F.col(id_col).alias("id"), v.alias("_v")).join(classes, "_v", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def clusters(labels: DataFrame, threshold: float) -> DataFrame:

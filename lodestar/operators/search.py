@@ -52,11 +52,13 @@ def _by_block(asked: DataFrame, id_col: str, vec_col: str, answer: Callable[[Bro
 
     One block: a lazy plan. Several: each one's answer is written and its broadcast dropped before the next, so that the
     driver and the executors hold one block at a time; rows are written in the order of their blocks first, so that a
-    block is read without the others."""
+    block is read without the others. Vectors that are null, empty or not finite aren't asked; lengths must be equal."""
     spark = asked.sparkSession
-    v = asked.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    size = v.agg(F.sum(F.size("v")) * 8).first()[0] or 0
-    n = int(-(-size // BATCH_BYTES)) or 1
+    v = asked.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(V.is_valid("v"))
+    size, shortest, longest = v.agg(F.sum(F.size("v")) * 8, F.min(F.size("v")), F.max(F.size("v"))).first()
+    if shortest != longest:
+        raise SearchError(f"vectors asked have dimensions from {shortest} to {longest}")
+    n = int(-(-(size or 0) // BATCH_BYTES)) or 1
 
     def block(rows: DataFrame) -> Broadcast | None:
         got = rows.collect()
@@ -74,6 +76,13 @@ def _by_block(asked: DataFrame, id_col: str, vec_col: str, answer: Callable[[Bro
     return spark.read.schema(schema).parquet(path)
 
 
+def _finite(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (of `dim` components each) of a batch, without those that hold null or what isn't finite."""
+    x = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, dim)
+    fine = np.isfinite(x).all(1)
+    return np.array(b.column("id").to_pylist())[fine], x[fine]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -84,7 +93,8 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
     """(query_id, rank, id, score): the k best by cosine for each query, ties to smaller ids.
 
     Queries are broadcast in blocks of a bounded size. A task scores its rows by matrix products and keeps k a query, so
-    k rows a query and task are shuffled, never the index."""
+    k rows a query and task are shuffled, never the index. Rows whose vector is null, not finite or of another length
+    than the queries' take no part."""
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     kind = index.schema[id_col].dataType.simpleString()
 
@@ -93,8 +103,8 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
             qid, q = shared.value
             q = _unit(q)
             for b in batches:
-                ids = np.array(b.column("id").to_pylist())
-                x = _unit(np.asarray(b.column("v").flatten()).reshape(len(ids), -1))
+                ids, x = _finite(b, q.shape[1])
+                x = _unit(x)
                 out: tuple[list, list, list] = ([], [], [])
                 for at in range(0, len(q), 256):
                     s = q[at:at + 256] @ x.T
@@ -113,7 +123,7 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
                     out, (b.schema.field("id").type,) * 2 + (pa.float64(),))], ["query_id", "id", "score"])
 
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return rows.mapInArrow(run, f"query_id {kind}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
+        return rows.where(F.size("v") == shared.value[1].shape[1]).mapInArrow(run, f"query_id {kind}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
             F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
     return _by_block(queries, id_col, vec_col, answer, f"query_id {kind}, rank int, id {kind}, score double")
@@ -123,7 +133,7 @@ def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id",
     """(src, dst, score) in both directions for pairs of rows with cosine >= threshold, a row never with itself.
 
     With `most`, the best that many of each row, as a clustering that asks for a bounded number of neighbours. Rows are
-    met block by block: blocks of a bounded size are broadcast in turn."""
+    met block by block: blocks of a bounded size are broadcast in turn. Vectors that are null or not finite take no part."""
     kind = index.schema[id_col].dataType.simpleString()
     rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
@@ -132,8 +142,8 @@ def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id",
             other, y = shared.value
             y = _unit(y)
             for b in batches:
-                ids = np.array(b.column("id").to_pylist())
-                x = _unit(np.asarray(b.column("v").flatten()).reshape(len(ids), -1))
+                ids, x = _finite(b, y.shape[1])
+                x = _unit(x)
                 for at in range(0, len(x), 512):
                     s = x[at:at + 512] @ y.T
                     i, j = np.nonzero(s >= threshold - 1e-9)
@@ -141,7 +151,7 @@ def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id",
                     ok = (np.round(score, 12) >= threshold) & (ids[at + i] != other[j])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at + i[ok]]), pa.array(other[j[ok]]), pa.array(score[ok])], ["src", "dst", "score"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.where(F.size("v") == shared.value[1].shape[1]).mapInArrow(run, schema)
 
     schema = f"src {kind}, dst {kind}, score double"
     found = _by_block(index, id_col, vec_col, answer, schema)

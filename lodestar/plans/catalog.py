@@ -5,6 +5,7 @@ Embeddings play the part of an index, documents of assets, events of logs, metri
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,7 +141,13 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
 
 
-@query()
+#: CRC-32 of half a byte each, for the SQL.
+HALF = [reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), n) for n in range(16)]
+
+
+@query(f"""with b as (select doc_id, hex(encode(text)) as h from documents),
+s as (select doc_id, list_transform(range(length(h)), lambda i: case when i % 2 = 0 then ('0x' || substr(h, (i + 1)::int, 2))::bigint else 0 end) as s from b)
+select doc_id, xor(list_reduce(s, lambda c, x: xor(xor(c, x) >> 4, ({HALF}::bigint[])[(xor(c, x) & 15) + 1]), 4294967295::bigint), 4294967295::bigint) as crc32 from s""")
 def checksums(spark, d):
     return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
 
@@ -284,11 +291,11 @@ def pair_scores(spark, d):
         _r(V.text_image_score(cos)).alias("text_image"), _r(V.image_image_score(cos)).alias("image_image"))
 
 
-@query(f"""with p as {PAIRS} select vec_id, round(list_cosine_similarity(x, y), 5) as similarity, list_cosine_similarity(x, y) >= 0.0 as passed from p where vec_id % 3 = 0""")
+@query(f"""with p as {PAIRS} select vec_id, round(list_cosine_similarity(x, y), 5) as similarity, list_cosine_similarity(x, y) >= 0.0 as passed from p""")
 def similarity_cases(spark, d):
     """Cases (pairs of ids) joined with both tables of vectors."""
     e = table(spark, d, "embeddings")
-    cases = e.where("vec_id % 3 = 0").select("vec_id", F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    cases = e.select("vec_id", F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
     got = cases.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
     return got.select("vec_id", _r(V.cosine("x", "y")).alias("similarity"), (V.cosine("x", "y") >= 0).alias("passed"))
 
@@ -300,11 +307,11 @@ def score_bands(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.band(F.col("l_discount") * 10).alias("band"), V.percent(F.col("l_discount")).alias("percent"))
 
 
-@query("""with a as (select conv_id, turn, [ascii(x) for x in string_split(left(text, 20), '')] as a, [ascii(x) for x in string_split(left(lag(text) over (partition by conv_id order by turn), 20), '')] as b from conversations)
+@query("""with a as (select conv_id, turn, [ascii(x) for x in string_split(text, '')] as a, [ascii(x) for x in string_split(lag(text) over (partition by conv_id order by turn), '')] as b from conversations)
 select conv_id, turn, case when len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) > 0 then list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])[1] - 1
 when len(a) <> len(b) then least(len(a), len(b)) end::int as mismatch from a where b is not null""")
 def first_mismatch(spark, d):
-    codes = lambda c: F.transform(F.filter(F.split(F.left(c, F.lit(20)), ""), lambda x: x != ""), lambda x: F.ascii(x))
+    codes = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x))
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).where("before is not null")
     return c.select("conv_id", "turn", V.first_mismatch(codes(F.col("text")), codes(F.col("before"))).alias("mismatch"))
@@ -358,9 +365,9 @@ def basic_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", T.basic_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"""select item_id, regexp_replace(text || '漢字x', '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g') as spaced from benchmark""")
+@query(r"""select doc_id, regexp_replace(text || '漢字x', '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g') as spaced from documents""")
 def spaced_ideographs(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.spaced_ideographs(F.concat("text", F.lit("漢字x"))).alias("spaced"))
+    return table(spark, d, "documents").select("doc_id", T.spaced_ideographs(F.concat("text", F.lit("漢字x"))).alias("spaced"))
 
 
 @query()
@@ -471,11 +478,10 @@ def binary_codec(spark, d):
         "array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("""select event_id, round(epoch_us(ts)::double / 1000 - lag(epoch_us(ts)) over (order by event_id)::double / 1000, 3) as ms from events qualify lag(ts) over (order by event_id) is not null and user_id % 50 = 0""")
+@query("""select event_id, round(epoch_us(ts)::double / 1000 - lag(epoch_us(ts)) over (order by event_id)::double / 1000, 3) as ms from events qualify lag(ts) over (order by event_id) is not null""")
 def durations(spark, d):
-    e = table(spark, d, "events").select("event_id", "ts", "user_id")
-    before = e.select((F.col("event_id") + 1).alias("event_id"), F.col("ts").alias("before"))
-    return e.where("user_id % 50 = 0").join(before, "event_id").select("event_id", _r(M.duration_ms(F.col("before"), F.col("ts")), 3).alias("ms"))
+    e = O.with_previous(table(spark, d, "events").select("event_id", "ts"), "event_id", "ts", "before").where("before is not null")
+    return e.select("event_id", _r(M.duration_ms(F.col("before"), F.col("ts")), 3).alias("ms"))
 
 
 @query("""select o_orderkey, case o_orderstatus when 'O' then 'running' when 'F' then case when o_orderkey % 4 > 0 then 'partial' else 'done' end else 'failed' end as phase,
@@ -491,13 +497,14 @@ def budget_totals(spark, d):
     return O.budget(table(spark, d, "part"), "p_brand", "p_size")
 
 
-@query("""with p as (select vec_id, list_transform(embedding[1:30]::double[], lambda x: floor((x + 1) * 127)) as v from embeddings)
-select vec_id, list_transform([v[1], v[4], v[2], v[3]], lambda x, i: round((x / 255 - [0.5, 0.5, 0.25, 0.0][i]) / [0.5, 0.5, 1.0, 2.0][i], 5)) as first from p""")
+@query("""with p as (select vec_id, list_transform(embedding::double[], lambda x: floor((x + 1) * 127)) as v from embeddings)
+select vec_id, list_transform(range(len(v)), lambda i: round((v[i % (len(v) // 4) * 4 + i // (len(v) // 4) + 1] / 255
+- [0.5, 0.25, 0.0, 0.75][i // (len(v) // 4) + 1]) / [0.5, 1.0, 2.0, 0.25][i // (len(v) // 4) + 1], 5)) as tensor from p""")
 def image_tensors(spark, d):
-    """The first bytes of three channels, as planes."""
-    pixels = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 30), lambda x: F.floor((x + 1) * 127))
-    t = table(spark, d, "embeddings").select("vec_id", V.image_tensor(pixels, [0.5, 0.25, 0.0], [0.5, 1.0, 2.0]).alias("t"))
-    return t.select("vec_id", F.transform(F.array(*(F.get("t", F.lit(i)) for i in (0, 1, 10, 20))), lambda x: F.round(x, 5)).alias("first"))
+    """Whole vectors as bytes of four channels, as planes."""
+    pixels = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor((x + 1) * 127))
+    tensor = V.image_tensor(pixels, [0.5, 0.25, 0.0, 0.75], [0.5, 1.0, 2.0, 0.25])
+    return table(spark, d, "embeddings").select("vec_id", F.transform(tensor, lambda x: F.round(x, 5)).alias("tensor"))
 
 
 @query("""select lang, string_agg(source || ':' || n || ':' || m, '|' order by source || ':' || n || ':' || m) as fingerprint from (select lang, source, count(*) as n, max(n_chars) as m from documents group by all) group by lang""")
