@@ -176,11 +176,12 @@ def lookup(index: DataFrame, ids: DataFrame | list, id_col: str = "vec_id") -> D
     return index.where(F.col(id_col).isin(ids)) if isinstance(ids, list) else index.join(ids.select(id_col), id_col, "left_semi")
 
 
-def lsh_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 24,
-              bits: int = 5, seed: int = 1) -> DataFrame:
+def lsh_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 96,
+              bits: int = 7, seed: int = 1) -> DataFrame:
     """Approximate batch_top_k: rows meet queries that lie on the same side of all `bits` random planes of some table.
 
-    Signs are computed in numpy, candidates come from one equi-join of ids, and are measured exactly."""
+    Signs are computed in numpy, candidates come from one equi-join of ids, and are measured exactly. A row of cosine c
+    meets a query in a table with probability (1 - acos(c) / pi) ** bits: more bits, with more tables, compare fewer rows."""
     dim = index.select(F.size(vec_col)).first()
     if dim is None:
         return batch_top_k(index, queries, k, id_col, vec_col)
