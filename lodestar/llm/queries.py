@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import additive_search, compression_quality, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, toxicity, wrappers
+from . import additive_search, best_fit, compression_quality, fill_in_middle, hard_negatives, packing, quality_rules, secret_scan, sentencepiece_codec, simhash, suffix_dedup, toxicity, wrappers
 from .shared import table
 
 
@@ -57,6 +58,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op11_pivot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), "id % 100 = 0")
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_compression_quality": op2_compression_quality,
@@ -68,8 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_pivot_negatives": op11_pivot_negatives,
+    "op12_best_fit": op12_best_fit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op11_pivot_negatives": hard_negatives.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }

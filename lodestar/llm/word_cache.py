@@ -149,6 +149,33 @@ class WordCache:
         return out
 
 
+class SpacedWords(WordCache):
+    """For a tokenizer that drops white space, lower-cases and never joins letters or digits with marks: the ids of a text are
+    those of its words, and a word that ends in marks is its stem and them. New words are encoded together, kept apart by
+    one of the tokenizer's own special tokens; texts that hold it are encoded whole."""
+
+    def __init__(self, tokenizer, between: str, unsafe, most: int = 1_000_000):
+        super().__init__(tokenizer, np.zeros(0), 0, unsafe, False, most)
+        self.between, self.cut = between, tokenizer.token_to_id(between)
+
+    def _split(self, text: str) -> str | None:
+        return None if not text or self.unsafe(text) else text.replace("\n", " ")
+
+    def _learn(self, parts: list[str]) -> None:
+        marked = [(p, stem, p[len(stem):]) for p in parts if p[-1:] in _TAIL and (stem := p.rstrip(_TAIL))[-1:].lower()[-1:].isalnum()]
+        tails, split = {m[2] for m in marked}.difference(self.marks), {m[0] for m in marked}
+        self.marks.update(self._apart(list(tails)))
+        alone = {p for p in parts if p not in split} | {m[1] for m in marked if m[1] not in self.cache}
+        self.cache.update(self._apart(list(alone)))
+        self.cache.update([(p, self.cache[stem] + self.marks[tail]) for p, stem, tail in marked])
+
+    def _apart(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        groups = [parts[at:at + 512] for at in range(0, len(parts), 512)]
+        for some, ids in zip(groups, self.whole([self.between.join(g) for g in groups])):
+            held, ends = ids.tobytes(), [*(2 * np.flatnonzero(ids == self.cut)).tolist(), 2 * len(ids)]
+            yield from zip(some, (held[a:b] for a, b in zip([0, *(x + 2 for x in ends)], ends)), strict=True)
+
+
 def blocks_of(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
     """The texts in blocks of about so many characters, in which distinct words are counted once."""
     block, held = [], 0
@@ -183,3 +210,16 @@ def encoder(path: str) -> WordCache:
         width[i] = len(token)  # a byte of text is one character of a byte-level token
     special = [t.content for t in tk.get_added_tokens_decoder().values()]
     return WordCache(tk, width, 1, lambda text: any(t in text for t in special), True)
+
+
+@lru_cache(maxsize=4)
+def spaced_encoder(path: str) -> SpacedWords:
+    """For a BPE file of the tokenizers library that drops white space. Special tokens in a text are taken for what they are."""
+    threads_each()
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(path)
+    if max(tk.get_vocab(with_added_tokens=True).values()) > 65535:
+        raise ValueError("ids of 16 bits only")
+    special = [t.content for t in tk.get_added_tokens_decoder().values()]
+    return SpacedWords(tk, special[0], lambda text: any(t in text for t in special))
