@@ -265,6 +265,7 @@ s as (select a.id as anchor_id, b.id as id, a.label = b.label as same, list_inne
   from v a join v b on a.id % 100 = 0),
 p as (select anchor_id, id as positive_id, score as positive_score from s where same and id <> anchor_id
   qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
-select anchor_id, positive_id, (row_number() over w)::int as rank, s.id as negative_id, positive_score, s.score as negative_score
-from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
-qualify row_number() over w <= 10 window w as (partition by anchor_id, positive_id order by s.score desc, s.id)"""
+select * from (select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by s.score desc, s.id))::int as rank,
+    s.id as negative_id, positive_score, s.score as negative_score
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+where rank <= 10"""
