@@ -57,6 +57,8 @@ class Checkpoint:
     completed: int = 0
     total: int = 0
     message: str | None = None
+    candidates: str = ""  # the table of ids, where there are too many for a list
+    failed: int = 0
 
     def __post_init__(self):
         if self.stage not in STAGES or not 0 <= self.completed <= max(self.total, 0):
@@ -88,11 +90,17 @@ class IndexStore:
     def _read(self, name: str) -> dict | None:
         if not self._fs().exists(self._path(name)):
             return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect()))
+        stream = self._fs().open(self._path(name))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _write(self, name: str, value: dict) -> None:
         """Under a temporary name first, then renamed over what is there: readers find the old file or the new one."""
-        fs, part = self._fs(), self._path(f".{name}-{uuid.uuid4().hex}")
+        folder, _, last = name.rpartition("/")
+        fs, part = self._fs(), self._path(f"{folder}/.{last}-{uuid.uuid4().hex}".lstrip("/"))
+        fs.mkdirs(self._path(folder))
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(value, indent=1, sort_keys=True).encode()))
         out.close()
@@ -144,12 +152,51 @@ class IndexStore:
         self._write("catalog.json", {"at": where})
         return self.load_catalog()
 
-    def stage(self, entries: DataFrame) -> None:
-        entries.write.mode("append").parquet(f"{self.root}/staged")
+    def stage(self, entries: DataFrame, name: str | None = None) -> dict:
+        """Writes entries (ENTRY; with a column error, those that have one are failures) and commits them: a record that is
+        renamed into place says where they are and how many. What was written without a record is never read, so a write
+        that died leaves nothing, and one that is done over replaces its record."""
+        where = f"staged/{name or 'slice'}-{uuid.uuid4().hex}"
+        rows = entries if "error" in entries.columns else entries.withColumn("error", F.lit(None).cast("string"))
+        rows.write.parquet(f"{self.root}/{where}")
+        good, bad = F.col("error").isNull(), F.col("error").isNotNull()
+        t = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{where}").agg(
+            F.count_if(good).alias("done"), F.count_if(bad).alias("failed"), F.min(F.when(good, F.col("asset_id"))).alias("low"), F.max(F.when(good, F.col("asset_id"))).alias("high")).first()
+        record = {"at": where, "done": t["done"], "failed": t["failed"], "low": t["low"], "high": t["high"]}
+        self._write(f"commits/{name or where.rpartition('-')[2]}.json", record)
+        return record
+
+    def committed(self, name: str) -> bool:
+        return self._fs().exists(self._path(f"commits/{name}.json"))
+
+    def commits(self) -> list[dict]:
+        fs, at = self._fs(), self._path("commits")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+        return [self._read(f"commits/{n}") for n in names if n.endswith(".json") and not n.startswith(".")]
+
+    def _staged(self) -> DataFrame:
+        rows = ENTRY + ", error string"
+        found = [f"{self.root}/{c['at']}" for c in self.commits()]
+        return self.spark.read.schema(rows).parquet(*found) if found else self.spark.createDataFrame([], rows)
 
     def staged(self) -> DataFrame:
-        there = self._fs().exists(self._path("staged"))
-        return self.spark.read.schema(ENTRY).parquet(f"{self.root}/staged") if there else self.spark.createDataFrame([], ENTRY)
+        """Committed entries, sorted out by id: of an id that was staged more than once the newest, ties to the smaller fingerprint."""
+        newest = F.max_by(F.struct("fingerprint", "embedding", "created_at", "updated_at"), F.struct("updated_at", F.hash("fingerprint"))).alias("e")
+        return self._staged().where("error is null").groupBy("asset_id").agg(newest).select("asset_id", "e.*")
+
+    def failures(self) -> DataFrame:
+        """(asset_id, error) of what could not be encoded and has not been since."""
+        rows = self._staged()
+        return rows.where("error is not null").select("asset_id", "error").join(rows.where("error is null").select("asset_id"), "asset_id", "left_anti").dropDuplicates(["asset_id"])
+
+    def save_candidates(self, ids: DataFrame) -> tuple[str, int]:
+        """Where the ids (asset_id) of a build are, and how many."""
+        where = f"staged/candidates-{uuid.uuid4().hex}"
+        ids.select("asset_id").write.parquet(f"{self.root}/{where}")
+        return where, self.spark.read.parquet(f"{self.root}/{where}").count()
+
+    def load_candidates(self, where: str) -> DataFrame:
+        return self.spark.read.schema("asset_id string").parquet(f"{self.root}/{where}")
 
     def save_checkpoint(self, c: Checkpoint) -> None:
         self._write("checkpoint.json", asdict(c))
@@ -159,7 +206,7 @@ class IndexStore:
         return Checkpoint(**found | {"candidate_ids": tuple(found["candidate_ids"])}) if found else None
 
     def clear_staged(self) -> None:
-        for name in ("staged", "checkpoint.json"):
+        for name in ("commits", "staged", "checkpoint.json"):  # records first: none tells of what is gone
             self._fs().delete(self._path(name), True)
 
     def clear_index(self) -> None:

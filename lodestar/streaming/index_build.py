@@ -1,44 +1,207 @@
-"""Index building and metrics as streams of micro-batches."""
+"""Index builds by slices that are each committed, and metrics, as jobs and streams."""
 
 from __future__ import annotations
 
+import hashlib
+import threading
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoders import Encoder, embed
-from ..operators.catalog_ops import missing
-from ..sources.codec import CorruptIndex
+from ..operators.catalog_ops import ABORT_AT, failure_runs, missing
+from ..sources.codec import ENTRY, CorruptIndex
 from ..sources.store import Checkpoint, IndexStore, Manifest
 
 
-def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Manifest, candidates: DataFrame | None = None) -> Manifest:
-    """assets (asset_id, payload binary, created_at, updated_at) to a published snapshot.
+class Cancellation:
+    """Ends a build from another thread or from its progress callback: no further slice starts, and the jobs of the running one are
+    interrupted by their tag."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag, self._set = spark, f"build-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel(self) -> None:
+        self._set.set()
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def __bool__(self) -> bool:
+        return self._set.is_set()
+
+    @contextmanager
+    def tagged(self):
+        self.spark.sparkContext.addJobTag(self.tag)
+        try:
+            yield
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag)
+
+
+class Nothing(ValueError):
+    """There is no asset to index."""
+
+
+@dataclass(frozen=True)
+class Slice:
+    number: int
+    low: str
+    high: str
+    rows: int
+
+
+def slices_of(store: IndexStore, todo: DataFrame, rows_a_slice: int) -> tuple[DataFrame, list[Slice]]:
+    """(todo with `slice`, written; the slices): ranges of ids of about so many rows, so that a table of assets sorted by id is
+    read in pieces, not whole for each slice. The driver gets one row a slice."""
+    n = -(-todo.count() // rows_a_slice)
+    path = f"{store.root}/staged/todo-{uuid.uuid4().hex}"
+    todo.select("asset_id").repartitionByRange(max(1, n), "asset_id").withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    dealt = store.spark.read.schema("asset_id string, slice int").parquet(path)
+    ends = dealt.groupBy("slice").agg(F.min("asset_id").alias("low"), F.max("asset_id").alias("high"), F.count(F.lit(1)).alias("rows")).orderBy("slice").collect()
+    return dealt, [Slice(r["slice"], r["low"], r["high"], r["rows"]) for r in ends]
+
+
+def _failures_in_a_row(store: IndexStore, record: dict, before: int) -> tuple[int, int]:
+    """(the longest run of failures in a staged slice, in the order of ids and with the run that it began in, the run at its end)."""
+    if not record["failed"]:
+        return 0, 0
+    log = store.spark.read.schema(ENTRY + ", error string").parquet(f"{store.root}/{record['at']}")
+    if record["low"] is None:
+        return before + record["failed"], before + record["failed"]
+    bad = log.where("error is not null")
+    ends = bad.agg(F.count_if(F.col("asset_id") < record["low"]).alias("first"), F.count_if(F.col("asset_id") > record["high"]).alias("last")).first()
+    runs = failure_runs(log.select(F.lit(0).alias("log"), "asset_id", F.when(F.col("error").isNull(), "success").otherwise("failure").alias("status")),
+                        ["log"], "asset_id", "status").agg(F.max("consecutive_failures")).first()[0]
+    return max(runs, before + ends["first"]), ends["last"]
+
 
-    What is staged already is not encoded again, so a build that was stopped goes on where it stopped; the snapshot is
-    published only if every asset has an entry."""
+def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Manifest, candidates: DataFrame | None = None, fresh: bool = False,
+          rows_a_slice: int = 100_000, cancellation: Cancellation | None = None, progress: Callable[[Checkpoint], None] | None = None,
+          reuse: bool = True) -> Manifest | Checkpoint:
+    """assets (asset_id, payload binary, created_at, updated_at) to a published snapshot, slice by slice.
+
+    Each slice is one job, whose entries are committed by a record of their own, and after each the checkpoint tells how many
+    are done. What has been committed is not encoded again, so a build whose driver died, that failed or was cancelled goes
+    on after its last slice; `fresh` drops it first. With `reuse`, entries of the published snapshot whose fingerprint
+    is that of the asset, made by the same model, are carried over without encoding: only what was added or changed costs.
+    Assets that can't be encoded are counted and passed over, but ABORT_AT in a row end the build, and a
+    snapshot is published only if every candidate has an entry. Of repeated ids the newest asset counts, ties to the larger payload.
+
+    Cancelled before a slice, in it or after it, the build saves its checkpoint and returns it."""
+    stop = Cancellation(store.spark) if cancellation is None else cancellation
     if candidates is not None and not candidates.isEmpty():
         assets = assets.join(candidates.select("asset_id"), "asset_id", "left_semi")
-    store.save_checkpoint(Checkpoint("building"))
-    todo = assets.join(store.staged().select("asset_id"), "asset_id", "left_anti")
-    encoded = embed(todo, "payload", encoder).select("asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at")
+    if fresh:
+        store.clear_staged()
+    where, total = store.save_candidates(assets.select("asset_id").where("length(asset_id) > 0").distinct().sort("asset_id"))
+    if not total:
+        raise Nothing("there is no asset to index")
+    done = failed = 0
+
+    def tell(stage: str, message: str | None = None) -> Checkpoint:
+        c = Checkpoint(stage, (), min(done, total), total, message, where, failed)
+        store.save_checkpoint(c)
+        if progress:
+            progress(c)
+        return c
+
     try:
-        store.stage(encoded)
-        gate = missing(assets, store.staged()).first()
+        ids = store.load_candidates(where)
+        if reuse:
+            _carry_over(store, assets, manifest)
+        kept = store.staged().join(ids, "asset_id", "left_semi")
+        done = kept.count()
+        tell("building")
+        dealt, slices = slices_of(store, ids.join(kept.select("asset_id"), "asset_id", "left_anti"), rows_a_slice)
+        in_a_row = 0
+        for s in slices:
+            if stop:
+                return tell("building")
+            own = assets.where(F.col("asset_id").between(s.low, s.high)).join(dealt.where(F.col("slice") == s.number).select("asset_id"), "asset_id", "left_semi")
+            one = own.groupBy("asset_id").agg(F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", "payload")).alias("a")).select("asset_id", "a.*")
+            try:
+                with stop.tagged():
+                    record = store.stage(embed(one, "payload", encoder, keep_failures=True).select(
+                        "asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at", "error"), where.rpartition("-")[2] + f"-{s.number}")
+            except Exception:
+                if stop:
+                    return tell("building")
+                raise
+            done, failed = done + record["done"], failed + record["failed"]
+            longest, in_a_row = _failures_in_a_row(store, record, in_a_row)
+            tell("building")
+            if longest >= ABORT_AT:
+                raise CorruptIndex(f"{longest} failures in a row")
+        if stop:
+            return tell("building")
+        gate = missing(ids, store.staged()).first()
         if not gate["complete"]:
             raise CorruptIndex(f"{gate['missing']} assets have no entry")
-        return store.save_snapshot(manifest, store.staged().dropDuplicates(["asset_id"]))
+        return store.save_snapshot(manifest, store.staged().join(ids, "asset_id", "left_semi"))
     except Exception as e:
-        store.save_checkpoint(Checkpoint("failed", message=str(e)[:500]))
+        tell("failed", str(e)[:500])
         raise
 
 
+def _carry_over(store: IndexStore, assets: DataFrame, manifest: Manifest) -> None:
+    """Stages entries of the published snapshot that still hold: same model, same fingerprint of the payload."""
+    found = store.load_snapshot()
+    if found is None or any(getattr(found[0], k) != getattr(manifest, k) for k in ("model_fingerprint", "resource_fingerprint", "embedding_dimension")):
+        return
+    changes = change_set(found[1], assets)
+    same = changes.where("change = 'same'").select("asset_id")
+    carried = found[1].join(same, "asset_id", "left_semi").join(store.staged().select("asset_id"), "asset_id", "left_anti")
+    store.stage(carried)
+
+
+def change_set(entries: DataFrame, assets: DataFrame) -> DataFrame:
+    """(asset_id, change: added, changed, removed or same), by the fingerprint of the newest payload of each id."""
+    now = assets.groupBy("asset_id").agg(F.max_by(F.sha2("payload", 256), F.struct("updated_at", "payload")).alias("now"))
+    change = (F.when(F.col("fingerprint").isNull(), "added").when(F.col("now").isNull(), "removed")
+              .when(F.col("now") == F.col("fingerprint"), "same").otherwise("changed"))
+    return entries.select("asset_id", "fingerprint").join(now, "asset_id", "full_outer").select("asset_id", change.alias("change"))
+
+
+def resume(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Manifest, **how) -> Manifest | Checkpoint | None:
+    """Goes on with a build that was stopped: only if the checkpoint says that one is being built, for its candidates alone. Without
+    one, what is published; if no candidate is among the assets any more, nothing, and what was staged is dropped."""
+    c = store.load_checkpoint()
+    if c is None or c.stage != "building":
+        return store.load_manifest()
+    ids = store.load_candidates(c.candidates) if c.candidates else store.spark.createDataFrame([(i,) for i in c.candidate_ids], "asset_id string")
+    own = assets if ids.isEmpty() else assets.join(ids, "asset_id", "left_semi")
+    if own.isEmpty():
+        store.clear_staged()
+        return None
+    return build(store, own, encoder, manifest, **how)
+
+
+def add_and_rebuild(store: IndexStore, new: DataFrame, payloads: Callable[[DataFrame], DataFrame], encoder: Encoder, manifest: Manifest, **how) -> Manifest | Checkpoint:
+    """Puts assets (ASSET) into the catalog and brings the index up to it. payloads adds payload to catalog rows."""
+    store.upsert_catalog(new)
+    return rebuild(store, payloads, encoder, manifest, **how)
+
+
+def rebuild(store: IndexStore, payloads: Callable[[DataFrame], DataFrame], encoder: Encoder, manifest: Manifest, **how) -> Manifest | Checkpoint:
+    """The index of the whole catalog: what was staged before is dropped, entries that still hold are carried over."""
+    return build(store, payloads(store.load_catalog()), encoder, manifest, **{"fresh": True} | how)
+
+
 def stage_stream(spark: SparkSession, source: str, schema: str, store: IndexStore, encoder: Encoder, state: str, files_a_batch: int = 12):
-    """Encodes files of assets as they arrive and stages them; each micro-batch is written once. Returns the query."""
+    """Encodes files of assets as they arrive and stages them: only ids that are not staged yet are encoded, and a micro-batch
+    that is given again after its commit is passed over. Returns the query."""
 
     def each(batch: DataFrame, number: int) -> None:
-        done = embed(batch, "payload", encoder).select("asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at")
-        fresh = done.join(store.staged().select("asset_id"), "asset_id", "left_anti")
-        store.stage(fresh)
+        name = f"batch-{hashlib.sha256(state.encode()).hexdigest()[:16]}-{number}"
+        if store.committed(name):
+            return
+        one = batch.groupBy("asset_id").agg(F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", "payload")).alias("a")).select("asset_id", "a.*")
+        fresh = one.join(store.staged().select("asset_id"), "asset_id", "left_anti")
+        store.stage(embed(fresh, "payload", encoder, keep_failures=True).select(
+            "asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at", "error"), name)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
