@@ -17,8 +17,11 @@ from ..functions import vectors as V
 from ..operators import catalog_ops as O
 from ..operators import clustering as C
 from ..operators import search as S
+from ..operators.graph_index import GraphIndex, level, restored
 from ..sources import codec
-from .session import shared_dir, table
+from ..sources.store import IndexStore, Manifest
+from ..streaming import index_build as B
+from .session import fresh_path, shared_dir, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -238,28 +241,103 @@ def search_results(spark, d):
     return kept.join(docs, "id", "left").select("query_id", "rank", "id", _r("score").alias("score"), "source", F.coalesce("lang", F.lit("unavailable")).alias("title"))
 
 
+@query()
+def graph_topk(spark, d):
+    """Nearest neighbours by the layered graph; tests/test_graph_index.py measures it against the exact search."""
+    e = table(spark, d, "embeddings")
+    g = GraphIndex(spark, fresh_path(spark, "graph"))
+    g.replace(e, e.select(F.size("embedding")).first()[0])
+    return g.search(e.where("vec_id % 50 = 0"), 12).select("query_id", "rank", "id", _r("score").alias("score"))
+
+
+@query(f"""with e as (select vec_id, case when vec_id % 10 = 3 then list_transform(embedding, lambda x: -x) else embedding end as embedding from embeddings where vec_id % 7 <> 0),
+s as (select q.vec_id as query_id, e.vec_id as id, {COS.format(a='q.embedding', b='e.embedding')} as s, row_number() over (partition by q.vec_id order by round({COS.format(a='q.embedding', b='e.embedding')}, 12) desc, e.vec_id)::int as rank
+from embeddings q, e where q.vec_id % 50 = 0) select query_id, rank, id, round(s, 5) as score from s where rank <= 5""")
+def kept_index(spark, d):
+    """A kept graph index after insertions, replacements, deletions and compaction; its beam is wide enough here to find what
+    the exact search of the SQL finds."""
+    e = table(spark, d, "embeddings")
+    g = GraphIndex(spark, fresh_path(spark, "graph"))
+    g.replace(e.where("vec_id % 4 <> 1"), e.select(F.size("embedding")).first()[0])
+    g.insert(e.where("vec_id % 4 = 1"))
+    g.insert(e.where("vec_id % 10 = 3").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    g.delete(e.where("vec_id % 7 = 0"))
+    g.compact()
+    return restored(spark, g.root).search(e.where("vec_id % 50 = 0"), 5, width=128).select("query_id", "rank", "id", _r("score").alias("score"))
+
+
+@query("""select vec_id, floor(-ln(greatest(('0x' || substr(md5(vec_id::varchar), 1, 8))::ubigint / 4294967296.0::double, 1e-10)) / ln(16.0::double))::int as level from embeddings""")
+def level_draw(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", level(F.col("vec_id")).alias("level"))
+
+
 @query()
 def lsh_topk(spark, d):
     e = table(spark, d, "embeddings")
     return S.lsh_top_k(e, e.where("vec_id % 50 = 0"), 12)
 
 
-@query()
+#: DuckDB: what the encoder of letters makes of a text, as single-precision numbers.
+LETTERS = """(select {id}, t, list_transform(c, lambda x: (case when abs(n - 1) < 0.001 then x else x / n end)::float) as v from (select *, sqrt(list_sum(list_transform(c, lambda x: x * x))) as n
+from (select {id}, t, case when list_sum(c) = 0 then [1.0::double] || c[2:] else c end as c from (select {id}, coalesce(text, '') as t,
+list_transform(range(26), lambda i: (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr((97 + i)::int), '')))::double) as c from {table}))))"""
+
+
+@query(f"""with d as {LETTERS.format(id='doc_id', table='documents')}, b as (select * from {LETTERS.format(id='item_id', table='benchmark')} where trim(t, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+s as (select item_id as query_id, doc_id as id, round({COS.format(a='b.v', b='d.v')}, 12) as s, row_number() over (partition by item_id order by round({COS.format(a='b.v', b='d.v')}, 12) desc, doc_id)::int as rank from b, d)
+select query_id, rank, id, round(s, 5) as score from s where rank <= 12""")
 def text_search(spark, d):
-    """Documents embedded by the stand-in encoder, searched with benchmark texts."""
-    enc = E.HashingEncoder(64)
+    """Documents embedded by a stand-in encoder, searched with benchmark texts."""
+    enc = E.LetterEncoder()
     docs = E.embed(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("payload")), "payload", enc)
     asked = E.embed(table(spark, d, "benchmark").where(F.length(T.trimmed(F.col("text"))) > 0).select(
         F.col("item_id").alias("doc_id"), F.col("text").cast("binary").alias("payload")), "payload", enc)
-    return S.batch_top_k(docs.select("doc_id", "embedding"), asked.select("doc_id", "embedding"), S.ENGINE_TOP_K, "doc_id")
+    found = S.batch_top_k(docs.select("doc_id", "embedding"), asked.select("doc_id", "embedding"), S.ENGINE_TOP_K, "doc_id")
+    return found.select("query_id", "rank", "id", _r("score").alias("score"))
 
 
-@query("""select doc_id, sha256(text) as fingerprint, 64 as dim from documents""")
+@query(f"select doc_id, sha256(t) as fingerprint, v::double[] as embedding from {LETTERS.format(id='doc_id', table='documents')}")
 def cached_embedding(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
-    known = E.embed(docs.where("doc_id % 3 = 0").select(F.sha2("payload", 256).alias("fingerprint"), "payload").dropDuplicates(["fingerprint"]), "payload", E.HashingEncoder(64))
-    rows, _ = E.cached_embed(docs, "payload", known, E.HashingEncoder(64))
-    return rows.select("doc_id", "fingerprint", F.size("embedding").alias("dim"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    known = E.embed(docs.where("doc_id % 3 = 0").select(F.sha2("payload", 256).alias("fingerprint"), "payload").dropDuplicates(["fingerprint"]), "payload", E.LetterEncoder())
+    rows, _ = E.cached_embed(docs, "payload", known, E.LetterEncoder())
+    return rows.select("doc_id", "fingerprint", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _document_assets(spark, d):
+    at = F.timestamp_seconds(F.lit(1710000000) + F.col("doc_id"))
+    return table(spark, d, "documents").select(F.format_string("doc-%012d", "doc_id").alias("asset_id"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"),
+                                               at.alias("created_at"), at.alias("updated_at"))
+
+
+def _letters_manifest():
+    d = E.LetterEncoder().descriptor
+    return Manifest(d.model_id, d.version, d.display_name, d.dimension, d.image_size, d.context_length, d.fingerprint(), "none", "2024-03-09", "2024-03-09")
+
+
+@query(f"""select printf('doc-%012d', doc_id) as asset_id, sha256(t) as fingerprint, v::double[] as embedding, epoch_ms((1710000000 + doc_id) * 1000) as updated_at
+from {LETTERS.format(id='doc_id', table='documents')}""")
+def resumed_build(spark, d):
+    """All documents indexed by a build that is cancelled after three of eight slices and resumed."""
+    store, assets = IndexStore(spark, fresh_path(spark, "index")), _document_assets(spark, d)
+    stop = B.Cancellation(spark)
+    a_slice = -(-assets.count() // 8)
+    B.build(store, assets, E.LetterEncoder(), _letters_manifest(), rows_a_slice=a_slice, cancellation=stop, progress=lambda c: c.completed >= 3 * a_slice and stop.cancel())
+    B.resume(store, assets, E.LetterEncoder(), _letters_manifest(), rows_a_slice=a_slice)
+    return store.load_snapshot()[1].select("asset_id", "fingerprint", F.col("embedding").cast("array<double>").alias("embedding"), "updated_at")
+
+
+@query("""with e as (select doc_id, sha256(text) as f from documents where doc_id % 5 <> 0),
+a as (select doc_id, case when doc_id % 7 = 0 then sha256(upper(text) || '!') else sha256(text) end as f from documents where doc_id % 3 <> 0)
+select coalesce(e.doc_id, a.doc_id) as doc_id, case when e.doc_id is null then 'added' when a.doc_id is null then 'removed' when e.f = a.f then 'same' else 'changed' end as change
+from e full join a on e.doc_id = a.doc_id""")
+def change_set(spark, d):
+    """What a rebuild has to do, between an index of some documents and what has become of them."""
+    docs = table(spark, d, "documents").where("text is not null").withColumn("asset_id", F.col("doc_id").cast("string"))
+    entries = docs.where("doc_id % 5 <> 0").select("asset_id", F.sha2("text", 256).alias("fingerprint"))
+    now = F.when(F.col("doc_id") % 7 == 0, F.concat(F.upper("text"), F.lit("!"))).otherwise(F.col("text"))
+    assets = docs.where("doc_id % 3 <> 0").select("asset_id", now.cast("binary").alias("payload"), F.lit(0).alias("updated_at"))
+    return B.change_set(entries, assets).select(F.col("asset_id").cast("long").alias("doc_id"), "change")
 
 
 # ---- vector functions

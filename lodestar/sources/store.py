@@ -76,7 +76,9 @@ def validated(entries: DataFrame, dim: int) -> DataFrame:
         F.raise_error(F.concat(F.lit("invalid entry "), F.coalesce("asset_id", F.lit("null")))).cast("boolean")))
 
 
-class IndexStore:
+class Folder:
+    """Small JSON files of a folder in any store that Spark can open. A store without an atomic rename keeps no promise of
+    old or new; the driver's JVM is used, so sessions over Spark Connect have none."""
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
@@ -114,6 +116,10 @@ class IndexStore:
         fs.FileContext.getFileContext(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getUri(),
                                       self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, path, how)
 
+
+class IndexStore(Folder):
+    """The index of a folder: manifest, entries, catalog, checkpoint, and what a build has staged."""
+
     def load_manifest(self) -> Manifest | None:
         found = self._read("manifest.json")
         return Manifest(**found) if found else None
