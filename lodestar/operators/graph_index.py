@@ -1,7 +1,8 @@
 """A layered neighbour graph, kept: approximate search that measures few rows, with insertion, deletion and compaction.
 
 Rows are dealt into segments of a bounded size, one row of a Parquet table each: ids, vectors, the level that each node was
-drawn, and for each level the lists of its neighbours. A segment's graph is built in one task from exact
+drawn, and for each level the lists of its neighbours. Equal vectors of a segment are one node with several ids, so that a
+vector that many rows share blocks no way. A segment's graph is built in one task from exact
 nearest neighbours, and searched by a greedy descent through the upper levels and a beam of bounded width in the lowest.
 Every query meets every segment, in blocks of queries that are dealt to groups of segments by a join, and each pair gives k
 rows at most.
@@ -28,11 +29,11 @@ from ..plans.session import partitions
 from ..sources.store import Folder
 from .search import SearchError
 
-SEGMENT = "segment long, dim int, n long, vectors binary, levels binary, links array<binary>, ids array<{}>"
+SEGMENT = "segment long, dim int, n long, vectors binary, levels binary, links array<binary>, starts binary, ids array<{}>"
 #: The least that a draw counts as, and neighbours of a node in the upper levels.
 LEAST_DRAW, NEIGHBOURS = 1e-10, 16
 #: Neighbours of a node in the lowest level, how wide a beam is in the upper levels, and how many nodes a search begins with at least.
-LOWEST, UPPER_WIDTH, ENTRIES = 20, 8, 3
+LOWEST, UPPER_WIDTH, ENTRIES = 24, 8, 3
 METRICS = ("cosine", "euclidean")
 
 
@@ -65,7 +66,7 @@ def neighbour_lists(x: np.ndarray, most: int) -> np.ndarray:
         between = half[own][:, :, None] + half[own][:, None] - np.matmul(x[own], x[own].transpose(0, 2, 1))
         chosen, number = held[at:at + 512], np.zeros(len(own), np.int64)
         for i in range(c):
-            apart = ~(chosen[:, :i] & (between[:, i, :i] < far[at:at + 512, i:i + 1])).any(1) & (number < k)
+            apart = ~(chosen[:, :i] & (between[:, i, :i] <= far[at:at + 512, i:i + 1])).any(1) & (number < k)
             chosen[:, i] = apart
             number += apart
         for i in range(c):
@@ -85,14 +86,19 @@ def neighbour_lists(x: np.ndarray, most: int) -> np.ndarray:
 
 
 class Segment:
-    def __init__(self, vectors: np.ndarray, levels: np.ndarray, links: list[np.ndarray] | None, metric: str, dead: list[int] = (), lowest: int = LOWEST):
+    """Nodes of distinct vectors; the rows of node i are those from starts[i] to starts[i + 1]. dead: rows that are not found."""
+
+    def __init__(self, vectors: np.ndarray, levels: np.ndarray, links: list[np.ndarray] | None, metric: str, starts: np.ndarray | None = None, dead: list[int] = (),
+                 lowest: int = LOWEST):
         x = vectors.astype(np.float64)
         norm = np.sqrt((x * x).sum(1, keepdims=True))
         self.metric = metric
         self.x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0) if metric == "cosine" else x
         self.half = None if metric == "cosine" else norm[:, 0] ** 2 / 2
-        self.levels, self.alive = levels, np.ones(len(x), bool)
-        self.alive[list(dead)] = False
+        self.levels, self.starts = levels, np.arange(len(x) + 1) if starts is None else starts
+        self.lives = np.ones(self.starts[-1], bool)
+        self.lives[list(dead)] = False
+        self.alive = np.add.reduceat(self.lives, self.starts[:-1], dtype=np.int64) > 0 if len(x) else np.zeros(0, bool)
         top = int(levels.max(initial=0))
         self.own = [np.flatnonzero(levels >= i) for i in range(top + 1)]
         if links is None:
@@ -142,6 +148,11 @@ class Segment:
     def _near(self, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
         return _nearness(self.x[nodes], q, None if self.half is None else self.half[nodes])
 
+    def rows_of(self, node: int, k: int) -> list[int]:
+        """The first k living rows of a node, those of the smallest ids."""
+        a, b = self.starts[node:node + 2]
+        return (a + np.flatnonzero(self.lives[a:b])[:k]).tolist()
+
     def search(self, q: np.ndarray, k: int, width: int) -> tuple[list[tuple[float, int]], int]:
         """(the k nearest living nodes found, nearest first; how many nodes were measured). It begins with all nodes of the
         highest level that has ENTRIES of them."""
@@ -160,7 +171,8 @@ class GraphManifest:
     dimension: int
     kind: str
     metric: str = "cosine"
-    rows_a_segment: int = 8192
+    rows_a_segment: int = 32768
+    neighbours: int = LOWEST
     segments: list[str] = field(default_factory=list)
     dead: str = ""
     next_segment: int = 0
@@ -190,7 +202,7 @@ class GraphIndex(Folder):
 
     def _built(self, rows: DataFrame, m: GraphManifest) -> tuple[str, int, int]:
         """(where the segments of rows (id, v) are, the number of the next one, how many rows)."""
-        where, kind, metric = f"segments-{uuid.uuid4().hex}", m.kind, m.metric
+        where, kind, metric, lowest = f"segments-{uuid.uuid4().hex}", m.kind, m.metric, m.neighbours
         rows = rows.withColumn("level", level(F.col("id")))
         n = rows.count()
         if not n:
@@ -200,11 +212,14 @@ class GraphIndex(Folder):
 
         def run(t: pa.Table) -> pa.Table:
             t = t.sort_by("id").combine_chunks()
-            x = np.asarray(t.column("v").chunk(0).flatten(), np.float32).reshape(t.num_rows, -1)
-            s = Segment(x, t.column("level").to_numpy().astype(np.int32), None, metric)
-            one = {"segment": t.column("segment").slice(0, 1), "dim": [x.shape[1]], "n": [len(x)], "vectors": [x.tobytes()], "levels": [s.levels.astype(np.int32).tobytes()],
-                   "links": [[np.ascontiguousarray(a).tobytes() for a in s.links]], "ids": pa.ListArray.from_arrays([0, len(x)], t.column("id").chunk(0))}
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), None]
+            x, node = np.unique(np.asarray(t.column("v").chunk(0).flatten(), np.float32).reshape(t.num_rows, -1), axis=0, return_inverse=True)
+            order = np.argsort(node, kind="stable")
+            starts = np.searchsorted(node[order], np.arange(len(x) + 1)).astype(np.int32)
+            s = Segment(x, t.column("level").to_numpy()[order][starts[:-1]].astype(np.int32), None, metric, lowest=lowest)
+            one = {"segment": t.column("segment").slice(0, 1), "dim": [x.shape[1]], "n": [t.num_rows], "vectors": [x.tobytes()], "levels": [s.levels.tobytes()],
+                   "links": [[np.ascontiguousarray(a).tobytes() for a in s.links]], "starts": [starts.tobytes()],
+                   "ids": pa.ListArray.from_arrays([0, t.num_rows], t.column("id").chunk(0).take(pa.array(order)))}
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), None]
             return pa.table({k: v if t is None or isinstance(v, pa.ChunkedArray) else pa.array(v, t) for (k, v), t in zip(one.items(), kinds)})
 
         dealt.groupBy("segment").applyInArrow(run, SEGMENT.format(kind)).write.parquet(f"{self.root}/{where}")
@@ -253,11 +268,13 @@ class GraphIndex(Folder):
 
     # ---- what a user calls
 
-    def replace(self, vectors: DataFrame, dimension: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "cosine", rows_a_segment: int = 8192) -> int:
-        """Builds the index of `vectors` and puts it in place of what there was. Returns the number of rows."""
+    def replace(self, vectors: DataFrame, dimension: int, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "cosine", rows_a_segment: int = 32768,
+                neighbours: int = LOWEST) -> int:
+        """Builds the index of `vectors` and puts it in place of what there was, with so many neighbours of a node in the lowest
+        level. Returns the number of rows."""
         if metric not in METRICS:
             raise SearchError(f"no metric {metric}")
-        m = GraphManifest(dimension, vectors.schema[id_col].dataType.simpleString(), metric, rows_a_segment)
+        m = GraphManifest(dimension, vectors.schema[id_col].dataType.simpleString(), metric, rows_a_segment, neighbours)
         where, following, n = self._built(self._rows(vectors, id_col, vec_col, dimension), m)
         self._publish(replace(m, segments=[where] if where else [], next_segment=following, rows=n))
         return n
@@ -304,12 +321,13 @@ class GraphIndex(Folder):
             for b in batches:
                 for i in range(b.num_rows):
                     dim, raw, ids = b.column("dim")[i].as_py(), b.column("vectors")[i].as_py(), b.column("ids")[i].values
-                    v = pa.ListArray.from_arrays(np.arange(0, len(ids) * dim + 1, dim, dtype=np.int32), np.frombuffer(raw, np.float32))
+                    x = np.repeat(np.frombuffer(raw, np.float32).reshape(-1, dim), np.diff(np.frombuffer(b.column("starts")[i].as_py(), np.int32)), axis=0)
+                    v = pa.ListArray.from_arrays(np.arange(0, len(ids) * dim + 1, dim, dtype=np.int32), x.ravel())
                     yield pa.RecordBatch.from_arrays([pa.array([b.column("segment")[i].as_py()] * len(ids)), pa.array(range(len(ids)), pa.int32()), ids, v], ["segment", "place", "id", "v"])
 
         m = self._opened()
         segments = self.segments() if of is None else self.segments().join(of, "segment", "left_semi")
-        every = segments.select("segment", "dim", "vectors", "ids").mapInArrow(run, f"segment long, place int, id {m.kind}, v array<float>")
+        every = segments.select("segment", "dim", "vectors", "starts", "ids").mapInArrow(run, f"segment long, place int, id {m.kind}, v array<float>")
         if m.dead:
             every = every.join(self._dead(m).select("segment", F.explode("places").alias("place")), ["segment", "place"], "left_anti")
         return every.select("segment", "id", "v")
@@ -320,7 +338,7 @@ class GraphIndex(Folder):
         return self.rows(self._places().where(wanted & ~F.col("dead")).select("segment").distinct()).where(wanted).select("id", "v")
 
     def neighbours(self) -> DataFrame:
-        """(segment, level, id, nth, neighbour): the graph as a table."""
+        """(segment, level, id, nth, neighbour): the graph as a table, a node by the smallest of its ids."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for r in b.to_pylist():
@@ -329,14 +347,14 @@ class GraphIndex(Folder):
                         own = np.flatnonzero(levels >= i)
                         links = np.frombuffer(raw, np.int32).reshape(len(own), -1)
                         of, nth = np.nonzero(links >= 0)
-                        ids = pa.array(r["ids"])
+                        ids = pa.array(r["ids"]).take(pa.array(np.frombuffer(r["starts"], np.int32)[:-1]))
                         yield pa.RecordBatch.from_arrays([pa.array([r["segment"]] * len(of), pa.int64()), pa.array([i] * len(of), pa.int32()), ids.take(pa.array(own[of])),
                                                           pa.array(nth.astype(np.int32)), ids.take(pa.array(links[of, nth]))], ["segment", "level", "id", "nth", "neighbour"])
 
         kind = self._opened().kind
-        return self.segments().select("segment", "levels", "links", "ids").mapInArrow(run, f"segment long, level int, id {kind}, nth int, neighbour {kind}")
+        return self.segments().select("segment", "levels", "links", "starts", "ids").mapInArrow(run, f"segment long, level int, id {kind}, nth int, neighbour {kind}")
 
-    def hits(self, queries: DataFrame, k: int, width: int = 16, id_col: str = "vec_id", vec_col: str = "embedding", queries_a_block: int = 512) -> DataFrame:
+    def hits(self, queries: DataFrame, k: int, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", queries_a_block: int = 512) -> DataFrame:
         """(query_id, segment, id, score, measured): what each segment finds for each query; measured: nodes that it compared."""
         m = self._opened()
         if k <= 0:
@@ -362,27 +380,28 @@ class GraphIndex(Folder):
             last, s = None, None
             for b in batches:
                 for i in range(b.num_rows):
-                    r = {c: b.column(c)[i].as_py() for c in ("segment", "vectors", "levels", "links", "places", "queries")}
+                    r = {c: b.column(c)[i].as_py() for c in ("segment", "vectors", "levels", "links", "starts", "places", "queries")}
                     if r["segment"] != last:
                         levels = np.frombuffer(r["levels"], np.int32)
                         links = [np.frombuffer(raw, np.int32).reshape((levels >= i).sum(), -1) for i, raw in enumerate(r["links"])]
-                        s, last = Segment(np.frombuffer(r["vectors"], np.float32).reshape(-1, dim), levels, links, metric, r["places"] or ()), r["segment"]
-                    of, nodes, scores, measured = [], [], [], []
+                        s, last = Segment(np.frombuffer(r["vectors"], np.float32).reshape(-1, dim), levels, links, metric, np.frombuffer(r["starts"], np.int32), r["places"] or ()), r["segment"]
+                    of, rows, scores, measured = [], [], [], []
                     for j, v in enumerate(np.frombuffer(r["queries"]).reshape(-1, dim)):
                         size = math.sqrt((v * v).sum())
                         got, cost = s.search(v / size if metric == "cosine" and size else v, k, max(k, width))
                         for x, node in got:
-                            of.append(j)
-                            nodes.append(node)
-                            scores.append(round(x, 12) if metric == "cosine" else round(math.sqrt(max(0.0, size * size - 2 * x)), 9))
-                            measured.append(cost)
+                            own = s.rows_of(node, k)
+                            of += [j] * len(own)
+                            rows += own
+                            scores += [round(x, 12) if metric == "cosine" else round(math.sqrt(max(0.0, size * size - 2 * x)), 9)] * len(own)
+                            measured += [cost] * len(own)
                     yield pa.RecordBatch.from_arrays([b.column("query_ids")[i].values.take(pa.array(of, pa.int64())), pa.array([last] * len(of), pa.int64()),
-                                                      b.column("ids")[i].values.take(pa.array(nodes, pa.int64())), pa.array(scores, pa.float64()), pa.array(measured, pa.int64())],
+                                                      b.column("ids")[i].values.take(pa.array(rows, pa.int64())), pa.array(scores, pa.float64()), pa.array(measured, pa.int64())],
                                                      ["query_id", "segment", "id", "score", "measured"])
 
         return segments.join(dealt, "g").mapInArrow(run, f"query_id {asked}, segment long, id {kind}, score double, measured long")
 
-    def search(self, queries: DataFrame, k: int = 12, width: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 12, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(query_id, rank, id, score): the k nearest found for each query, ties to smaller ids; an empty index has none."""
         metric = self._opened().metric
         near = F.desc("score") if metric == "cosine" else F.asc("score")

@@ -246,8 +246,8 @@ def graph_topk(spark, d):
     """Nearest neighbours by the layered graph; tests/test_graph_index.py measures it against the exact search."""
     e = table(spark, d, "embeddings")
     g = GraphIndex(spark, fresh_path(spark, "graph"))
-    g.replace(e, e.select(F.size("embedding")).first()[0])
-    return g.search(e.where("vec_id % 50 = 0"), 12).select("query_id", "rank", "id", _r("score").alias("score"))
+    g.replace(e, e.select(F.size("embedding")).first()[0], neighbours=16)
+    return g.search(e.where("vec_id % 50 = 0"), 12, width=12).select("query_id", "rank", "id", _r("score").alias("score"))
 
 
 @query(f"""with e as (select vec_id, case when vec_id % 10 = 3 then list_transform(embedding, lambda x: -x) else embedding end as embedding from embeddings where vec_id % 7 <> 0),

@@ -38,10 +38,10 @@ def exact(e, queries, k=5):
 def test_few_rows_are_measured_and_most_neighbours_found(spark, index):
     x = vectors(3060, 24)
     e, asked = frame(spark, x[:3000]), frame(spark, x[3000:])
-    assert index.replace(e, 24, rows_a_segment=1500) == 3000 == index.count() and index.segments().count() == 2
-    got, want = found(index, asked, 10), exact(e, asked, 10)
+    assert index.replace(e, 24, rows_a_segment=1500, neighbours=20) == 3000 == index.count() and index.segments().count() == 2
+    got, want = found(index, asked, 10, 12), exact(e, asked, 10)
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 600
-    share = G.share_measured(index.hits(asked, 10), 3000).agg(F.avg("share")).first()[0]
+    share = G.share_measured(index.hits(asked, 10, 12), 3000).agg(F.avg("share")).first()[0]
     assert 0 < share < 0.1
     strange = frame(spark, vectors(60, 24, seed=7))  # between the clusters: a wider beam
     got, want = found(index, strange, 10, 64), exact(e, strange, 10)
@@ -104,12 +104,26 @@ def test_euclidean_and_many_equal_vectors(spark, index):
     x[:120] = x[0]
     asked = frame(spark, vectors(10, 8, seed=4))
     index.replace(frame(spark, x), 8, metric="euclidean")
+    assert index.neighbours().where("level = 0").select("id").distinct().count() == 81
     far = lambda q: sorted((round(float(np.linalg.norm(q.astype(float) - v)), 6), i) for i, v in enumerate(x.astype(float)))
     for q, v in enumerate(vectors(10, 8, seed=4)):
         got = found(index, asked, 5, 300)[q]
         assert [s for _, s in got] == pytest.approx([s for s, _ in far(v)[:5]], abs=1e-5)
 
 
+def test_equal_vectors_block_no_way_and_are_found_by_smaller_ids(spark, index):
+    x = vectors(1500, 16, clusters=6)
+    x[::3] = x[0]
+    asked = frame(spark, np.concatenate([x[1:200:3], x[:1]]))
+    index.replace(frame(spark, x), 16)
+    index.delete(spark.createDataFrame([(0,), (6,)], "vec_id long"))
+    left = [i for i in range(1500) if i not in (0, 6)]
+    got, want = found(index, asked, 10), exact(frame(spark, x[left], left), asked, 10)
+    assert got[67] == want[67] == [(i, 1.0) for i in (3, *range(9, 36, 3))]
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+    assert index.rows().where("v is not null").count() == 1498
+
+
 def test_levels(spark):
     n = spark.range(20000).select(G.level(F.col("id")).alias("l")).groupBy("l").count().collect()
     n = {r.l: r["count"] for r in n}
