@@ -82,6 +82,17 @@ def _in_ranges(rows: DataFrame, *by: str) -> DataFrame:
     return cut(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
+def with_offsets(rows: DataFrame, by: list[str], order: str, size: str, name: str = "offset") -> DataFrame:
+    """rows with the sum of `size` over the rows before them in their group. Ranges are summed by themselves, and one row of each
+    meets the others of its group."""
+    dealt = _in_ranges(rows, *by, order)
+    before = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*by, "_part").agg(F.sum(size).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inner = dealt.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return inner.join(parts, [*by, "_part"]).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def with_previous(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """rows with the value of the row before, null for the first. Ranges are sorted by themselves; one row of each meets
     the next range."""

@@ -14,11 +14,12 @@ from ..functions import encoders as E
 from ..functions import formats as M
 from ..functions import texts as T
 from ..functions import vectors as V
+from ..functions.checksums import merged
 from ..operators import catalog_ops as O
 from ..operators import clustering as C
 from ..operators import search as S
 from ..operators.graph_index import GraphIndex, level, restored
-from ..sources import codec
+from ..sources import codec, index_source
 from ..sources.store import IndexStore, Manifest
 from ..streaming import index_build as B
 from .session import fresh_path, shared_dir, table
@@ -155,6 +156,34 @@ def checksums(spark, d):
     return table(spark, d, "documents").select("doc_id", F.crc32("text").alias("crc32"))
 
 
+@query(f"""with b as (select source, hex(encode(string_agg(text, '' order by doc_id))) as h from documents group by source),
+s as (select source, length(h) // 2 as bytes, list_transform(range(length(h)), lambda i: case when i % 2 = 0 then ('0x' || substr(h, (i + 1)::int, 2))::bigint else 0 end) as s from b)
+select source, bytes, xor(list_reduce(s, lambda c, x: xor(xor(c, x) >> 4, ({HALF}::bigint[])[(xor(c, x) & 15) + 1]), 4294967295::bigint), 4294967295::bigint) as crc32 from s""")
+def merged_checksums(spark, d):
+    """The checksum of all texts of a source in a row, from those of the texts."""
+    docs = table(spark, d, "documents").where("text is not null").select("source", "doc_id", F.col("text").cast("binary").alias("data"))
+    placed = O.with_offsets(docs.withColumn("size", F.octet_length("data").cast("long")), ["source"], "doc_id", "size")
+    return merged(placed, ["source"], "offset", "data")
+
+
+@query("""select 'asset-' || vec_id as asset_id, sha256(vec_id::varchar) as fingerprint, embedding::double[] as embedding, epoch_ms((1710000000 + vec_id) * 1000) as updated_at
+from embeddings where vec_id in (7, 42, 499)""")
+def index_file_lookup(spark, d):
+    """Three entries out of index files, by their ids: the files' headers and tables are read, and three rows."""
+    e, where = _entries(spark, d), fresh_path(spark, "files")
+    index_source.write(e, where, e.select(F.size("embedding")).first()[0], rowsafile=1000)
+    got = index_source.read(spark, where).where(F.col("asset_id").isin("asset-7", "asset-42", "asset-499"))
+    return got.select("asset_id", "fingerprint", F.col("embedding").cast("array<double>").alias("embedding"), "updated_at")
+
+
+@query("""select 'asset-' || vec_id as asset_id, sha256(vec_id::varchar) as fingerprint, embedding::double[] as embedding, epoch_ms((1710000000 + vec_id) * 1000) as updated_at from embeddings""")
+def index_file_scan(spark, d):
+    """All entries written to index files and read from them by ranges of rows."""
+    e, where = _entries(spark, d), fresh_path(spark, "files")
+    index_source.write(e, where, e.select(F.size("embedding")).first()[0], rowsafile=1000)
+    return index_source.read(spark, where, rowsapartition=400).select("asset_id", "fingerprint", F.col("embedding").cast("array<double>").alias("embedding"), "updated_at")
+
+
 @query("""select distinct sha256(text) as fingerprint from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 3 = 0)""")
 def cache_misses(spark, d):
     docs = table(spark, d, "documents").withColumn("fingerprint", F.sha2("text", 256))
