@@ -21,7 +21,9 @@ from ..operators import search as S
 from ..operators.graph_index import GraphIndex, level, restored
 from ..sources import codec, index_source
 from ..sources.store import IndexStore, Manifest
+from ..sources.vector_cache import OVERHEAD, VectorCache
 from ..streaming import index_build as B
+from ..streaming.search_history import histories, keep_histories
 from .session import fresh_path, shared_dir, table
 
 QUERIES = {}
@@ -333,6 +335,35 @@ def cached_embedding(spark, d):
     return rows.select("doc_id", "fingerprint", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
+@query(f"select doc_id, sha256(t) as fingerprint, v::double[] as embedding, n from {LETTERS.format(id='doc_id', table='documents')}, (select least((count(distinct coalesce(text, '')) + 1) // 2, count(distinct coalesce(text, ''))) as n from documents)")
+def bounded_cache(spark, d):
+    """Documents embedded through a cache that holds half of the distinct texts; n: entries that it has at the end."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("payload"))
+    room = -(-docs.select("payload").distinct().count() // 2)
+    cache = VectorCache(spark, fresh_path(spark, "cache"), room * (26 * 4 + OVERHEAD))
+    cache.embed(docs.where("doc_id % 3 = 0"), "payload", E.LetterEncoder())
+    rows = cache.embed(docs, "payload", E.LetterEncoder())
+    return rows.select("doc_id", "fingerprint", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(cache.counts()["count"]).cast("long").alias("n"))
+
+
+@query("""with c as (select user_id::varchar as user, event_id, ts, event_type || ' ' || (event_id % 31) as query, event_id % 97 = 0 as clear,
+row_number() over (partition by user_id order by ts, event_id) as rn from events where user_id is not null and ts is not null),
+k as (select *, max(case when clear then rn end) over (partition by user) as gone from c),
+n as (select * from k where not clear and rn > coalesce(gone, 0) qualify row_number() over (partition by user, query order by rn desc) = 1)
+select user, (row_number() over (partition by user order by rn desc) - 1)::int as nth, printf('%012d', event_id) as id, query, ts as at from n
+qualify row_number() over (partition by user order by rn desc) <= 20""")
+def kept_histories(spark, d):
+    """Search histories as the state of a stream of events, some of which clear them."""
+    op = F.when(F.col("event_id") % 97 == 0, "clear").otherwise("add")
+    commands = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user"), op.alias("op"), F.format_string("%012d", "event_id").alias("id"), F.concat(
+        F.lit(" "), "event_type", F.lit(" "), F.col("event_id") % 31).alias("query"), F.lit(0).alias("results"), F.col("ts").cast("timestamp").alias("at"))
+    commands.write.parquet(log := fresh_path(spark, "commands"))
+    commands = spark.readStream.schema(commands.schema).parquet(log)
+    root = fresh_path(spark, "histories")
+    keep_histories(commands, root).awaitTermination()
+    return histories(spark, root).select("user", "nth", "id", "query", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 def _document_assets(spark, d):
     at = F.timestamp_seconds(F.lit(1710000000) + F.col("doc_id"))
     return table(spark, d, "documents").select(F.format_string("doc-%012d", "doc_id").alias("asset_id"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"),

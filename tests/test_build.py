@@ -184,3 +184,44 @@ def test_an_encoder_is_loaded_once_by_a_worker_and_again_after_a_failure(spark,
 def test_letters():
     x = E.LetterEncoder().encode([b"abba z", b"", b"\xff12"])
     assert x[0, :2].tolist() == [2, 2] and x[0, 25] == 1 and x[1].tolist() == [1] + [0] * 25 == x[2].tolist() and np.isfinite(x).all()
+
+
+def test_states_of_a_build_and_what_a_start_does(spark, store, tmp_path):
+    from lodestar.streaming import progress as P
+
+    states, stop = P.ProgressTable(store), B.Cancellation(spark)
+    note = states.of_build("first")
+    assert P.current_state(store) == P.BuildState("idle") and states.states().count() == 0
+
+    def until_ten(c):
+        note(c)
+        if c.completed == 10:
+            stop.cancel()
+
+    B.build(store, assets(spark, 30), Counting(tmp_path / "one"), manifest(), rows_a_slice=10, cancellation=stop, progress=until_ten)
+    assert P.current_state(store) == P.BuildState("building", 10, 30)
+    assert [(r.step, r.stage, r.rows, r.total) for r in states.states().orderBy("step").collect()] == [(0, "building", 0, 30), (1, "building", 10, 30), (2, "building", 10, 30)]
+    assert P.start(store, assets(spark, 30), Counting(tmp_path / "two"), manifest()) == P.BuildState("ready", items=30) and len(encoded(tmp_path / "two")) == 20
+    assert P.start(store, assets(spark, 30), E.NoEncoder(), manifest()).stage == "ready"
+    with pytest.raises(Exception, match="no encoder"):
+        B.build(store, assets(spark, 30, "new "), E.NoEncoder(), manifest(), reuse=False, progress=note)
+    assert P.current_state(store).stage == "failed" == states.last().first().stage
+    assert P.start(store, assets(spark, 30, "new "), Counting(tmp_path / "three"), manifest()).stage == "ready"
+
+
+def test_states_of_a_stream(spark, store, tmp_path):
+    from lodestar.streaming import progress as P
+
+    listener, states = P.StreamProgress(P.ProgressTable(store)), P.ProgressTable(store)
+    spark.streams.addListener(listener)
+    try:
+        for n in range(2):
+            assets(spark, 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            B.stage_stream(spark, str(tmp_path / "in"), assets(spark, 1).schema, store, E.HashingEncoder(8), str(tmp_path / "state"), 1).awaitTermination()
+        until = time.time() + 30
+        while time.time() < until and states.last().where("stage = 'ready'").count() < 2:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted((r.stage, r.rows) for r in states.last().collect()) == [("ready", 5), ("ready", 5)] and states.states().where("stage = 'preparing'").count() == 2
+    assert store.staged().count() == 5
