@@ -89,13 +89,25 @@ def cluster_vectors(index: DataFrame, threshold: float, min_neighbors: int, id_c
     return index.select(F.col(id_col).alias("id"), v.alias("_v")).join(classes, "_v", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def clusters(labels: DataFrame, threshold: float) -> DataFrame:
-    """(cluster, size, center_id: the first member, members, similarity_score: the threshold), for clusters, not noise."""
-    return labels.where("cluster > 0").groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), F.min("id").alias("center_id"), F.sort_array(F.collect_list("id")).alias("members")).withColumn(
+def clusters(labels: DataFrame, threshold: float, members: bool = True) -> DataFrame:
+    """(cluster, size, center_id: the first member, members, similarity_score: the threshold), for clusters, not noise.
+
+    A cluster's members in one row suit small clusters only; without `members` there are aggregates alone, and
+    members_of() has a row each."""
+    lists = [F.sort_array(F.collect_list("id")).alias("members")] if members else []
+    return labels.where("cluster > 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center_id"), *lists).withColumn(
         "similarity_score", F.lit(threshold))
 
 
+def members_of(labels: DataFrame, first: int | None = None) -> DataFrame:
+    """(cluster, id), or with `first` (cluster, nth, id) of the first members of each cluster, which Spark finds in each task before
+    the shuffle, however large a cluster is."""
+    own = labels.where("cluster > 0").select("cluster", "id")
+    if first is None:
+        return own
+    return own.withColumn("nth", F.row_number().over(Window.partitionBy("cluster").orderBy("id"))).where(F.col("nth") <= first).select("cluster", "nth", "id")
+
+
 def statistics(labels: DataFrame) -> DataFrame:
     """One row: cluster_count, grouped_count, average_size (null without clusters)."""
     sizes = labels.where("cluster > 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..plans.session import cut, fresh_path
+from ..plans.session import cut, partitions
 
 #: Results of an engine search and of the views, and the adaptive cutoff's tiers.
 ENGINE_TOP_K, VIEW_TOP_K = 12, 30
 HIGH, FAIR = 0.8, 0.6
 MOST_HIGH, MOST_FAIR, MOST_OTHER = 25, 20, 15
 
-BATCH_BYTES = 32 << 20
+#: Vectors of a block of a search or join.
+BLOCK = 4096
 
 
 class SearchError(ValueError):
@@ -47,40 +47,69 @@ def top_k(index: DataFrame, query: list[float], k: int = ENGINE_TOP_K, id_col: s
     return index.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(best, "id").limit(k)
 
 
-def _by_block(asked: DataFrame, id_col: str, vec_col: str, answer: Callable[[Broadcast], DataFrame], schema: str) -> DataFrame:
-    """The rows of answer(block) for all blocks of `asked`, a block being a broadcast (ids, matrix) of about BATCH_BYTES.
+def vector_blocks(rows: DataFrame, id_col: str, vec_col: str, size: int | None = None) -> DataFrame:
+    """(b: a number, dim, ids, v: a matrix of unit vectors) of at most BLOCK vectors of one length each, written once. Vectors
+    that are null, empty or not finite are left out; a zero vector stays one."""
+    size = size or BLOCK
+    v = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(V.is_valid("v"))
 
-    One block: a lazy plan. Several: each one's answer is written and its broadcast dropped before the next, so that the
-    driver and the executors hold one block at a time; rows are written in the order of their blocks first, so that a
-    block is read without the others. Vectors that are null, empty or not finite aren't asked; lengths must be equal."""
-    spark = asked.sparkSession
-    v = asked.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(V.is_valid("v"))
-    size, shortest, longest = v.agg(F.sum(F.size("v")) * 8, F.min(F.size("v")), F.max(F.size("v"))).first()
-    if shortest != longest:
-        raise SearchError(f"vectors asked have dimensions from {shortest} to {longest}")
-    n = int(-(-(size or 0) // BATCH_BYTES)) or 1
-
-    def block(rows: DataFrame) -> Broadcast | None:
-        got = rows.collect()
-        return spark.sparkContext.broadcast((np.array([r["id"] for r in got]), np.array([r["v"] for r in got]))) if got else None
+    def block(held: list[pa.RecordBatch], dim: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        x = _unit(np.asarray(t.column("v").chunk(0).flatten(), np.float64).reshape(-1, dim))
+        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays([0, len(x)], t.column("id").chunk(0)), pa.array([x.tobytes()], pa.binary())], ["dim", "ids", "v"])
 
-    if n == 1:
-        shared = block(v)
-        return answer(shared) if shared else spark.createDataFrame([], schema)
-    dealt = cut(v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).repartitionByRange("block").sortWithinPartitions("block"), "blocks")
-    path = fresh_path(spark, "answers")
-    for i in range(n):
-        if shared := block(dealt.where(F.col("block") == i).select("id", "v")):
-            answer(shared).write.mode("append").parquet(path)
-            shared.destroy()
-    return spark.read.schema(schema).parquet(path)
-
-
-def _finite(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors (of `dim` components each) of a batch, without those that hold null or what isn't finite."""
-    x = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, dim)
-    fine = np.isfinite(x).all(1)
-    return np.array(b.column("id").to_pylist())[fine], x[fine]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            dims = np.diff(b.column("v").offsets.to_numpy())
+            for dim in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == dim))
+                while part.num_rows:
+                    own = held.setdefault(dim, [])
+                    now = part.slice(0, size - sum(h.num_rows for h in own))
+                    own.append(now)
+                    part = part.slice(now.num_rows)
+                    if sum(h.num_rows for h in own) == size:
+                        yield block(held.pop(dim), dim)
+        for dim, own in held.items():
+            yield block(own, dim)
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return cut(v.mapInArrow(run, f"dim int, ids array<{kind}>, v binary").select(F.monotonically_increasing_id().alias("b"), "*"), "blocks")
+
+
+def _side(blocks: DataFrame, name: str) -> DataFrame:
+    return blocks.select(*(F.col(c).alias(f"{name}_{c}") for c in ("b", "ids", "v")), "dim")
+
+
+def _dealt(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of blocks of one dimension, by an equi-join: left blocks are dealt into g groups and right ones into h, g * h
+    cells for as many tasks, and each block goes once to every cell of its row or column."""
+    tasks = partitions(left.sparkSession)
+    n, m = left.count(), right.count()
+    g = max(1, min(n, tasks, -(-tasks // max(1, min(m, int(tasks ** 0.5))))))
+    h = max(1, min(m, -(-tasks // g)))
+    group = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    one = _side(left, "l").withColumn("p", group("l_b", g)).withColumn("q", every(h))
+    two = _side(right, "r").withColumn("q", group("r_b", h)).withColumn("p", every(g))
+    return one.join(two, ["p", "q", "dim"]).drop("p", "q")
+
+
+def _dealt_once(blocks: DataFrame) -> DataFrame:
+    """All pairs of a block and another or itself, each once: as _dealt, with the cells on one side of the diagonal."""
+    tasks = partitions(blocks.sparkSession)
+    g = max(1, min(blocks.count(), int((2 * tasks) ** 0.5)))
+    one, two = (_side(blocks, k).withColumn(c, F.pmod(F.xxhash64(f"{k}_b"), F.lit(g)).cast("int")) for k, c in (("l", "p"), ("r", "q")))
+    one = one.withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(g - 1))))
+    two = two.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("q"))))
+    return one.join(two, ["p", "q", "dim"]).where("p < q or l_b <= r_b").drop("p", "q")
+
+
+def _matrices(b: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    dim = b.column("dim")[i].as_py()
+    side = lambda k: (b.column(f"{k}_ids")[i].values, np.frombuffer(b.column(f"{k}_v")[i].as_buffer()).reshape(-1, dim))
+    return *side("l"), *side("r")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -92,80 +121,104 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
                 exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k best by cosine for each query, ties to smaller ids.
 
-    Queries are broadcast in blocks of a bounded size. A task scores its rows by matrix products and keeps k a query, so
-    k rows a query and task are shuffled, never the index. Rows whose vector is null, not finite or of another length
-    than the queries' take no part."""
-    rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    kind = index.schema[id_col].dataType.simpleString()
+    Both sides are written as blocks, once, and pairs of blocks are multiplied in tasks; a pair gives k rows a query, of
+    which Spark keeps the first k of a task before the shuffle. Rows whose vector is null, not finite or of another length
+    than the queries' take no part; queries must be of one length."""
+    kind, asked = index.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
+    q = vector_blocks(queries, id_col, vec_col)
+    shortest, longest = q.agg(F.min("dim"), F.max("dim")).first()
+    if shortest != longest:
+        raise SearchError(f"vectors asked have dimensions from {shortest} to {longest}")
+    rows = q if index is queries else vector_blocks(index, id_col, vec_col)
 
-    def answer(shared: Broadcast) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            q = _unit(q)
-            for b in batches:
-                ids, x = _finite(b, q.shape[1])
-                x = _unit(x)
-                out: tuple[list, list, list] = ([], [], [])
-                for at in range(0, len(q), 256):
-                    s = q[at:at + 256] @ x.T
-                    for i, row in enumerate(s):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                l_ids, x, r_ids, y = _matrices(b, i)
+                ids, own = np.array(l_ids.to_pylist()), np.array(r_ids.to_pylist())
+                of, to, scores = [], [], []
+                for at in range(0, len(y), 256):
+                    s = y[at:at + 256] @ x.T
+                    for j, row in enumerate(s, at):
                         near = np.arange(len(row))
                         if len(row) > 4 * k:
                             near = np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)] - 1e-9)
                         if exclude_self:
-                            near = near[ids[near] != qid[at + i]]
-                        exact = np.round((x[near] * q[at + i]).sum(1), 12)
-                        top = near[np.lexsort((ids[near], -exact))[:k]]
-                        out[0].extend([qid[at + i]] * len(top))
-                        out[1].extend(ids[top])
-                        out[2].extend(np.round((x[top] * q[at + i]).sum(1), 12))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c)) if len(c) else pa.array([], t) for c, t in zip(
-                    out, (b.schema.field("id").type,) * 2 + (pa.float64(),))], ["query_id", "id", "score"])
+                            near = near[ids[near] != own[j]]
+                        exact = np.round((x[near] * y[j]).sum(1), 12)
+                        top = np.lexsort((ids[near], -exact))[:k]
+                        of.append(np.full(len(top), j))
+                        to.append(near[top])
+                        scores.append(exact[top])
+                of, to, scores = (np.concatenate(c) for c in (of, to, scores))
+                yield pa.RecordBatch.from_arrays([r_ids.take(pa.array(of)), l_ids.take(pa.array(to)), pa.array(scores)], ["query_id", "id", "score"])
 
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return rows.where(F.size("v") == shared.value[1].shape[1]).mapInArrow(run, f"query_id {kind}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
-            F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return _dealt(rows, q).mapInArrow(run, f"query_id {asked}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
+        F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-    return _by_block(queries, id_col, vec_col, answer, f"query_id {kind}, rank int, id {kind}, score double")
+
+def _near_pairs(index: DataFrame, threshold: float, id_col: str, vec_col: str, answer, schema: str) -> DataFrame:
+    """What answer(ids, other ids, places, other places, scores) gives for each pair of blocks with the pairs of rows whose cosine
+    is at least threshold, each pair of different rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                l_ids, x, r_ids, y = _matrices(b, n)
+                same, ids, own = b.column("l_b")[n] == b.column("r_b")[n], np.array(l_ids.to_pylist()), np.array(r_ids.to_pylist())
+                for at in range(0, len(x), 512):
+                    i, j = np.nonzero(x[at:at + 512] @ y.T >= threshold - 1e-9)
+                    i += at
+                    keep = (ids[i] != own[j]) & ((i < j) if same else True)
+                    i, j = i[keep], j[keep]
+                    score = np.concatenate([(x[i[c:c + 65536]] * y[j[c:c + 65536]]).sum(1) for c in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+                    fine = np.round(score, 12) >= threshold
+                    yield from answer(l_ids, r_ids, i[fine], j[fine], score[fine])
+
+    return _dealt_once(vector_blocks(index, id_col, vec_col)).mapInArrow(run, schema)
 
 
 def similarity_join(index: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", most: int | None = None) -> DataFrame:
     """(src, dst, score) in both directions for pairs of rows with cosine >= threshold, a row never with itself.
 
-    With `most`, the best that many of each row, as a clustering that asks for a bounded number of neighbours. Rows are
-    met block by block: blocks of a bounded size are broadcast in turn. Vectors that are null or not finite take no part."""
+    With `most`, the best that many of each row, as a clustering that asks for a bounded number of neighbours. Each pair
+    of blocks is multiplied once, in a task. Vectors that are null or not finite take no part, nor pairs of unequal length."""
     kind = index.schema[id_col].dataType.simpleString()
-    rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-
-    def answer(shared: Broadcast) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            other, y = shared.value
-            y = _unit(y)
-            for b in batches:
-                ids, x = _finite(b, y.shape[1])
-                x = _unit(x)
-                for at in range(0, len(x), 512):
-                    s = x[at:at + 512] @ y.T
-                    i, j = np.nonzero(s >= threshold - 1e-9)
-                    score = (x[at + i] * y[j]).sum(1)
-                    ok = (np.round(score, 12) >= threshold) & (ids[at + i] != other[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + i[ok]]), pa.array(other[j[ok]]), pa.array(score[ok])], ["src", "dst", "score"])
 
-        return rows.where(F.size("v") == shared.value[1].shape[1]).mapInArrow(run, schema)
+    def answer(l_ids, r_ids, i, j, score):
+        a, b = l_ids.take(pa.array(i)), r_ids.take(pa.array(j))
+        for src, dst in ((a, b), (b, a)):
+            yield pa.RecordBatch.from_arrays([src, dst, pa.array(score)], ["src", "dst", "score"])
 
-    schema = f"src {kind}, dst {kind}, score double"
-    found = _by_block(index, id_col, vec_col, answer, schema)
+    found = _near_pairs(index, threshold, id_col, vec_col, answer, f"src {kind}, dst {kind}, score double")
     if most is not None:
         w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
         found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
     return found
 
 
+def neighbor_counts(index: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, neighbors) of rows that have any: similarity_join counted in the tasks, so that no pair leaves them."""
+    kind = index.schema[id_col].dataType.simpleString()
+
+    def answer(l_ids, r_ids, i, j, score):
+        for ids, places in ((l_ids, i), (r_ids, j)):
+            at, n = np.unique(places, return_counts=True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(n)], ["id", "n"])
+
+    return _near_pairs(index, threshold, id_col, vec_col, answer, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("neighbors"))
+
+
 def adaptive_cutoff(ranked: DataFrame, by: list[str], score: str = "score", order: list[Column] | None = None) -> DataFrame:
     """Of each ranked list: with a best score of 0.8 or more, scores from 0.6 on, 25 at most; from 0.6 on the first 20;
-    else the first 15."""
+    else the first 15.
+
+    No rule keeps more than the first 25, which Spark finds in each task before the shuffle; as lists are ordered by their
+    scores, or so that the best is among these, the best score is theirs."""
     w = Window.partitionBy(*by)
-    d = ranked.withColumn("_best", F.max(score).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*(order or [F.desc(score)]))))
+    first = ranked.withColumn("_r", F.row_number().over(w.orderBy(*(order or [F.desc(score)])))).where(F.col("_r") <= max(MOST_HIGH, MOST_FAIR, MOST_OTHER))
+    d = first.withColumn("_best", F.max(score).over(w))
     keep = (F.when(F.col("_best") >= HIGH, (F.col(score) >= FAIR) & (F.col("_r") <= MOST_HIGH))
             .when(F.col("_best") >= FAIR, F.col("_r") <= MOST_FAIR).otherwise(F.col("_r") <= MOST_OTHER))
     return d.where(keep).drop("_best", "_r")

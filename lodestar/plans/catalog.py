@@ -24,7 +24,7 @@ from ..sources.store import IndexStore, Manifest
 from ..sources.vector_cache import OVERHEAD, VectorCache
 from ..streaming import index_build as B
 from ..streaming.search_history import histories, keep_histories
-from .session import fresh_path, shared_dir, table
+from .session import cut, fresh_path, shared_dir, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -478,6 +478,14 @@ def cluster_groups(spark, d):
     return c.withColumn("preview", F.slice("members", 1, 10)).orderBy(F.desc("size"), "cluster")
 
 
+@query(DBSCAN + """ select cluster, size, center_id, 0.35::double as similarity_score, nth, id from
+(select cluster, count(*) over (partition by cluster) as size, min(id) over (partition by cluster) as center_id, row_number() over (partition by cluster order by id)::int as nth, id from lab where cluster > 0) where nth <= 10""")
+def cluster_previews(spark, d):
+    """Clusters with their first ten members, a row each."""
+    labels = cut(C.cluster_vectors(table(spark, d, "embeddings"), 0.35, 3), "labels")
+    return C.clusters(labels, 0.35, members=False).join(C.members_of(labels, 10), "cluster")
+
+
 @query(DBSCAN + """ select count(*) as cluster_count, coalesce(sum(n), 0)::bigint as grouped_count, avg(n) as average_size from (select count(*) as n from lab where cluster > 0 group by cluster)""")
 def cluster_statistics(spark, d):
     return C.statistics(C.cluster_vectors(table(spark, d, "embeddings"), 0.35, 3))
@@ -485,8 +493,7 @@ def cluster_statistics(spark, d):
 
 @query(f"with {EDGES} select src as id, count(*) as neighbors, count(*) >= 3 as core from e group by src")
 def neighbor_counts(spark, d):
-    e = S.similarity_join(table(spark, d, "embeddings"), 0.35)
-    return e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("neighbors")).withColumn("core", F.col("neighbors") >= 3)
+    return S.neighbor_counts(table(spark, d, "embeddings"), 0.35).withColumn("core", F.col("neighbors") >= 3)
 
 
 # ---- text

@@ -121,7 +121,8 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
             if stop:
                 return tell("building")
             own = assets.where(F.col("asset_id").between(s.low, s.high)).join(dealt.where(F.col("slice") == s.number).select("asset_id"), "asset_id", "left_semi")
-            one = own.groupBy("asset_id").agg(F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", "payload")).alias("a")).select("asset_id", "a.*")
+            one = own.groupBy("asset_id").agg(F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", "payload")).alias("a")).select("asset_id", "a.*").coalesce(
+                store.spark.sparkContext.defaultParallelism)  # as many files as cores, not as shuffle partitions
             try:
                 with stop.tagged():
                     record = store.stage(embed(one, "payload", encoder, keep_failures=True).select(

@@ -41,7 +41,7 @@ def test_batches_equal_brute_force(spark, monkeypatch):
     x = vectors()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     cos = u @ u.T
-    monkeypatch.setattr(S, "BATCH_BYTES", 5000)  # several broadcasts
+    monkeypatch.setattr(S, "BLOCK", 37)  # several blocks
     e = index(spark, [(i, v.tolist()) for i, v in enumerate(x)])
     got = {}
     for r in S.batch_top_k(e, e.where("vec_id % 5 = 0"), 7, exclude_self=True).orderBy("query_id", "rank").collect():
