@@ -16,6 +16,19 @@ def clock_text(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm:ss")
 
 
+def time_ago(ts: Column, now: Column) -> Column:
+    """How long ago in the largest whole unit, as 5 min. ago; in 5 min. for what is to come; now for less than a second."""
+    far = now.cast("double") - ts.cast("double")
+    n = F.floor(F.abs(far))
+    units = ((31_536_000, "yr."), (2_592_000, "mo."), (604_800, "wk."), (86_400, "day"), (3600, "hr."), (60, "min."), (1, "sec."))
+    text = F.lit(None)
+    for size, unit in reversed(units):
+        count = F.floor(n / size)
+        name = F.when(count == 1, "day").otherwise("days") if unit == "day" else F.lit(unit)
+        text = F.when(n >= size, F.concat(count.cast("string"), F.lit(" "), name)).otherwise(text)
+    return F.when(far.isNull(), F.lit(None)).when(n == 0, "now").when(far > 0, F.concat(text, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), text))
+
+
 def speed_text(per_second: Column) -> Column:
     """Items a second from one on, else seconds an item; empty for no speed."""
     return (F.when(per_second >= 1, F.format_string("%.1f items/s", per_second))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -130,9 +131,14 @@ def title(file_name: Column, created: Column, fallback: str) -> Column:
 
 
 def token_texts(ids: Column, vocab: dict[str, int]) -> Column:
-    """The tokens of ids; unknown for ids that the vocabulary lacks."""
-    names = F.create_map(*(F.lit(x) for t, i in vocab.items() for x in (i, t)))
-    return F.transform(ids, lambda i: F.coalesce(F.element_at(names, i.cast("int")), F.lit(UNKNOWN)))
+    """The tokens of ids; unknown for ids that the vocabulary lacks. The vocabulary is broadcast once, not part of the plan."""
+    names = SparkSession.active().sparkContext.broadcast({i: t for t, i in vocab.items()})
+
+    @F.pandas_udf("array<string>")
+    def texts(own: pd.Series) -> pd.Series:
+        return own.map(lambda some: None if some is None else [names.value.get(i, UNKNOWN) for i in some])
+
+    return texts(ids)
 
 
 def resource_fingerprint(name: Column, size: Column, modified: Column) -> Column:

@@ -123,9 +123,9 @@ def latest(metrics: DataFrame, key: str, at: str, tie: str, value: str) -> DataF
     return metrics.groupBy(key).agg(F.max(F.struct(at, tie, value)).alias("m")).select(key, f"m.{at}", f"m.{value}")
 
 
-def tally(log: DataFrame, status: str) -> DataFrame:
-    """One row: succeeded, failed, completed."""
-    return log.agg(F.count_if(F.col(status) == "success").alias("succeeded"), F.count_if(F.col(status) == "failure").alias("failed"),
+def tally(log: DataFrame, status: str, *by: str) -> DataFrame:
+    """succeeded, failed, completed: one row, or one for each source, say, of an import."""
+    return log.groupBy(*by).agg(F.count_if(F.col(status) == "success").alias("succeeded"), F.count_if(F.col(status) == "failure").alias("failed"),
                    F.count_if(F.col(status).isin("success", "failure")).alias("completed"))
 
 

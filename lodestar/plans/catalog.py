@@ -19,6 +19,7 @@ from ..operators import catalog_ops as O
 from ..operators import clustering as C
 from ..operators import search as S
 from ..operators.graph_index import GraphIndex, level, restored
+from ..operators.validation import report, similarity_results
 from ..sources import codec, index_source
 from ..sources.store import IndexStore, Manifest
 from ..sources.vector_cache import OVERHEAD, VectorCache
@@ -588,6 +589,38 @@ def build_tally(spark, d):
     return O.tally(table(spark, d, "events").selectExpr(f"{STATUS} as s"), "s")
 
 
+@query(f"""select event_type, count(*) filter (s = 'success') as succeeded, count(*) filter (s = 'failure') as failed, count(*) filter (s <> 'cancelled') as completed
+from (select event_type, {STATUS} as s from events) group by event_type""")
+def import_tally(spark, d):
+    """Successes and failures of an import by source."""
+    return O.tally(table(spark, d, "events").selectExpr("event_type", f"{STATUS} as s"), "s", "event_type")
+
+
+AGO = """case when n = 0 then 'now' else (case when far > 0 then '' else 'in ' end) || (case when n >= 31536000 then (n // 31536000) || ' yr.' when n >= 2592000 then (n // 2592000) || ' mo.'
+when n >= 604800 then (n // 604800) || ' wk.' when n >= 86400 then (n // 86400) || (case when n // 86400 = 1 then ' day' else ' days' end) when n >= 3600 then (n // 3600) || ' hr.'
+when n >= 60 then (n // 60) || ' min.' else n || ' sec.' end) || (case when far > 0 then ' ago' else '' end) end"""
+
+
+@query(f"""with t as (select event_id, epoch_us(timestamp '2024-01-20 00:00:00') / 1e6 - epoch_us(ts) / 1e6 as far from events where ts is not null), u as (select *, floor(abs(far))::bigint as n from t)
+select event_id, {AGO} as ago from u""")
+def times_ago(spark, d):
+    e = table(spark, d, "events").where("ts is not null")
+    return e.select("event_id", M.time_ago(F.col("ts").cast("timestamp"), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("ago"))
+
+
+@query(f"""with p as (select vec_id as id, list_cosine_similarity(x, y) as own from {PAIRS}), c as (select id, round(own + case when id % 3 = 0 then 0.01 else 0 end, 2)::double as similarity, own from p),
+r as (select *, abs(own - similarity) as far, abs(own - similarity) <= 0.005 as passed from c),
+n as (select *, row_number() over (order by id::varchar) as nth from r where not passed)
+select 'similarity' as kind, (select bool_and(passed) from r) as passed, (select count(*) from r) as checks, (select count(*) from n) as failures,
+(select string_agg(id || ': differs by ' || printf('%.4f', far), '; ' order by nth) from n where nth <= 20) as messages""")
+def similarity_report(spark, d):
+    """Similarities of pairs against golden ones, of which every third is off by a hundredth, with a tolerance."""
+    own = V.cosine("x", "y")
+    golden = _r(own + F.when(F.col("vec_id") % 3 == 0, 0.01).otherwise(0.0), 2)
+    cases = _pairs(spark, d).select(F.col("vec_id").alias("id"), golden.alias("similarity"), own.alias("own"), F.lit(0.005).alias("most"))
+    return report(similarity_results(cases))
+
+
 @query("""select o_orderkey, case when o_orderkey % 5 = 0 then case when o_orderkey % 2 = 0 then 'building' else 'preparing' end when o_orderkey % 5 = 1 then 'failed'
 when o_orderkey % 3 = 0 then 'ready' else 'idle' end as state from orders""")
 def restored_states(spark, d):
