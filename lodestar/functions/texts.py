@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -34,15 +36,26 @@ def white_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+@lru_cache(maxsize=1)
+def _marks() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn")
+
+
 def strip_accents_of(text: str | None) -> str | None:
-    return None if text is None else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    return None if text is None else unicodedata.normalize("NFD", text).translate(_marks())
 
 
 @F.pandas_udf(StringType())
-def strip_accents(text):  # Spark has no decomposition of characters
+def _strip_accents(text: pd.Series) -> pd.Series:  # Spark has no decomposition of characters
     return text.map(strip_accents_of, na_action="ignore")
 
 
+def strip_accents(text: Column) -> Column:
+    """Only texts that aren't ASCII go to a Python worker."""
+    plain = ~text.rlike(r"[^\x{0}-\x{7F}]")
+    return F.when(plain, text).otherwise(_strip_accents(F.when(~plain, text)))
+
+
 def split_punctuation(word: Column) -> Column:
     """Array: each punctuation character alone, and what stands between."""
     return F.regexp_extract_all(word, F.lit(f"[{PUNCTUATION}]|[^{PUNCTUATION}]+"), F.lit(0))
