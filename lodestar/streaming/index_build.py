@@ -18,6 +18,10 @@ from ..sources.codec import ENTRY, CorruptIndex
 from ..sources.store import Checkpoint, IndexStore, Manifest
 
 
+#: Ids of a slice that are broadcast to the scan of its assets; a slice of more is joined.
+BROADCAST_IDS = 200_000
+
+
 class Cancellation:
     """Ends a build from another thread or from its progress callback: no further slice starts, and the jobs of the running one are
     interrupted by their tag."""
@@ -88,7 +92,8 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
     on after its last slice; `fresh` drops it first. With `reuse`, entries of the published snapshot whose fingerprint
     is that of the asset, made by the same model, are carried over without encoding: only what was added or changed costs.
     Assets that can't be encoded are counted and passed over, but ABORT_AT in a row end the build, and a
-    snapshot is published only if every candidate has an entry. Of repeated ids the newest asset counts, ties to the larger payload.
+    snapshot is published only if every candidate has an entry. Of repeated ids the newest asset counts, ties
+    to the larger fingerprint; where ids are unique, no payload is shuffled.
 
     Cancelled before a slice, in it or after it, the build saves its checkpoint and returns it."""
     stop = Cancellation(store.spark) if cancellation is None else cancellation
@@ -96,6 +101,7 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
         assets = assets.join(candidates.select("asset_id"), "asset_id", "left_semi")
     if fresh:
         store.clear_staged()
+    unique = assets.agg(F.count("asset_id") == F.count_distinct("asset_id")).first()[0]
     where, total = store.save_candidates(assets.select("asset_id").where("length(asset_id) > 0").distinct().sort("asset_id"))
     if not total:
         raise Nothing("there is no asset to index")
@@ -120,9 +126,9 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
         for s in slices:
             if stop:
                 return tell("building")
-            own = assets.where(F.col("asset_id").between(s.low, s.high)).join(dealt.where(F.col("slice") == s.number).select("asset_id"), "asset_id", "left_semi")
-            one = own.groupBy("asset_id").agg(F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", "payload")).alias("a")).select("asset_id", "a.*").coalesce(
-                store.spark.sparkContext.defaultParallelism)  # as many files as cores, not as shuffle partitions
+            todo = dealt.where(F.col("slice") == s.number).select("asset_id")
+            own = assets.where(F.col("asset_id").between(s.low, s.high)).join(F.broadcast(todo) if s.rows <= BROADCAST_IDS else todo, "asset_id", "left_semi")
+            one = (own if unique else newest(own)).coalesce(store.spark.sparkContext.defaultParallelism)  # as many files as cores
             try:
                 with stop.tagged():
                     record = store.stage(embed(one, "payload", encoder, keep_failures=True).select(
@@ -158,9 +164,16 @@ def _carry_over(store: IndexStore, assets: DataFrame, manifest: Manifest) -> Non
     store.stage(carried)
 
 
+def newest(assets: DataFrame) -> DataFrame:
+    """One asset of each id: the newest, ties to the larger fingerprint."""
+    kept = F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", F.sha2("payload", 256)))
+    return assets.groupBy("asset_id").agg(kept.alias("a")).select("asset_id", "a.*")
+
+
 def change_set(entries: DataFrame, assets: DataFrame) -> DataFrame:
     """(asset_id, change: added, changed, removed or same), by the fingerprint of the newest payload of each id."""
-    now = assets.groupBy("asset_id").agg(F.max_by(F.sha2("payload", 256), F.struct("updated_at", "payload")).alias("now"))
+    own = assets.select("asset_id", "updated_at", F.sha2("payload", 256).alias("now"))  # payloads stay where they are
+    now = own.groupBy("asset_id").agg(F.max(F.struct("updated_at", "now")).alias("m")).select("asset_id", "m.now")
     change = (F.when(F.col("fingerprint").isNull(), "added").when(F.col("now").isNull(), "removed")
               .when(F.col("now") == F.col("fingerprint"), "same").otherwise("changed"))
     return entries.select("asset_id", "fingerprint").join(now, "asset_id", "full_outer").select("asset_id", change.alias("change"))
@@ -199,8 +212,7 @@ def stage_stream(spark: SparkSession, source: str, schema: str, store: IndexStor
         name = f"batch-{hashlib.sha256(state.encode()).hexdigest()[:16]}-{number}"
         if store.committed(name):
             return
-        one = batch.groupBy("asset_id").agg(F.max_by(F.struct("payload", "created_at", "updated_at"), F.struct("updated_at", "payload")).alias("a")).select("asset_id", "a.*")
-        fresh = one.join(store.staged().select("asset_id"), "asset_id", "left_anti")
+        fresh = newest(batch).join(store.staged().select("asset_id"), "asset_id", "left_anti")
         store.stage(embed(fresh, "payload", encoder, keep_failures=True).select(
             "asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at", "error"), name)
 
