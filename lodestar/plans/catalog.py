@@ -273,6 +273,21 @@ def search_results(spark, d):
     return kept.join(docs, "id", "left").select("query_id", "rank", "id", _r("score").alias("score"), "source", F.coalesce("lang", F.lit("unavailable")).alias("title"))
 
 
+@query(f"""with s as (select q.vec_id as query_id, e.vec_id as id, {COS.format(a='q.embedding', b='e.embedding')} as s, row_number() over (partition by q.vec_id order by round({COS.format(a='q.embedding', b='e.embedding')}, 12) desc, e.vec_id)::int as rank
+from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 5 = 0), b as (select query_id, round(max(s), 12) as best from s group by query_id)
+select query_id, rank, id, round(s, 5) as score, d.source, coalesce(d.lang, 'unavailable') as title, case when best >= 0.8 then 'high' when best >= 0.6 then 'fair' else 'other' end as tier
+from s join b using (query_id) left join documents d on s.id = d.doc_id
+where case when best >= 0.8 then round(s, 12) >= 0.6 and rank <= 25 when best >= 0.6 then rank <= 20 else rank <= 15 end""")
+def search_tiers(spark, d):
+    """Searches by indexed rows that don't find themselves: lists of all tiers, cut by their best score and joined to the catalog."""
+    e = table(spark, d, "embeddings")
+    hits = S.batch_top_k(e, e.where("vec_id % 5 = 0"), S.VIEW_TOP_K, exclude_self=True)
+    kept = S.adaptive_cutoff(hits, ["query_id"], order=[F.col("rank")])
+    best = hits.where("rank = 1").select("query_id", F.when(F.col("score") >= S.HIGH, "high").when(F.col("score") >= S.FAIR, "fair").otherwise("other").alias("tier"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    return kept.join(best, "query_id").join(docs, "id", "left").select("query_id", "rank", "id", _r("score").alias("score"), "source", F.coalesce("lang", F.lit("unavailable")).alias("title"), "tier")
+
+
 @query()
 def graph_topk(spark, d):
     """Nearest neighbours by the layered graph; tests/test_graph_index.py measures it against the exact search."""
@@ -516,6 +531,24 @@ def spaced_ideographs(spark, d):
     return table(spark, d, "documents").select("doc_id", T.spaced_ideographs(F.concat("text", F.lit("漢字x"))).alias("spaced"))
 
 
+#: The first and the last character of each range, and some beside them.
+ENDS = [chr(c) for a, b in ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
+         for c in (a, b)] + [chr(c) for c in (0x33FF, 0x4DC0, 0xA000, 0xFB00, 0x1FFFF, 0x2A6E0, 0x2CEB0, 0x2FA20, 0xAC00)]
+
+
+CODES = f"[{', '.join(f'chr({ord(c)})' for c in ENDS)}]"
+
+
+@query(f"""select doc_id, regexp_replace(text || ({CODES})[doc_id % {len(ENDS)} + 1] || 'x' || ({CODES})[doc_id * 7 % {len(ENDS)} + 1],
+'([\\x{{4E00}}-\\x{{9FFF}}]|[\\x{{3400}}-\\x{{4DBF}}]|[\\x{{20000}}-\\x{{2A6DF}}]|[\\x{{2A700}}-\\x{{2B73F}}]|[\\x{{2B740}}-\\x{{2B81F}}]|[\\x{{2B820}}-\\x{{2CEAF}}]|[\\x{{F900}}-\\x{{FAFF}}]|[\\x{{2F800}}-\\x{{2FA1F}}])',
+' \\1 ', 'g') as spaced from documents""")
+def ideograph_ranges(spark, d):
+    """Texts that end in characters at the ends of the eight ranges, and beside them."""
+    edge = lambda n: F.element_at(F.array(*map(F.lit, ENDS)), (n % len(ENDS) + 1).cast("int"))
+    own = F.concat("text", edge(F.col("doc_id")), F.lit("x"), edge(F.col("doc_id") * 7))
+    return table(spark, d, "documents").select("doc_id", T.spaced_ideographs(own).alias("spaced"))
+
+
 @query()
 def wordpiece_ids(spark, d):
     """Documents in word pieces of single characters and a few endings: a small fixed vocabulary."""
