@@ -224,3 +224,20 @@ def latest_metrics_stream(events: DataFrame, name: str):
     """The last value of each key, kept up to date in a memory table. events: key, at, value, as a stream."""
     last = events.groupBy("key").agg(F.max(F.struct("at", "value")).alias("m")).select("key", "m.at", "m.value")
     return last.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+
+def keep_latest_metrics(events: DataFrame, root: str):
+    """Keeps the last value of each key in a folder: a micro-batch is reduced by itself and written, and one that is done over
+    replaces itself. events: key, at, value, as a stream."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("key").agg(F.max(F.struct("at", "value")).alias("m")).select("key", "m.at", "m.value")
+        last.write.mode("overwrite").parquet(f"{root}/metrics/batch={number}")
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+
+
+def latest_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """(key, at, value): the last value of each key, of what the batches left."""
+    rows = spark.read.option("basePath", f"{root}/metrics").parquet(f"{root}/metrics")
+    return rows.groupBy("key").agg(F.max(F.struct("at", "value")).alias("m")).select("key", "m.at", "m.value")

@@ -118,6 +118,14 @@ def test_metrics_stream(spark, tmp_path):
     assert {(r.key, r.at, r.value) for r in spark.table("latest_values").collect()} == {("a", 3, 0.7), ("b", 2, 0.1)}
 
 
+def test_latest_metrics_are_kept_over_streams(spark, tmp_path):
+    src, root = f"file://{tmp_path}/events", f"file://{tmp_path}/kept"
+    for rows in ([("a", 1, 0.5), ("a", 3, 0.7), ("b", 2, 0.1)], [("a", 2, 0.9), ("b", 4, 0.3), ("c", 1, 0.2)]):
+        spark.createDataFrame(rows, "key string, at int, value double").write.mode("append").parquet(src)
+        B.keep_latest_metrics(spark.readStream.schema("key string, at int, value double").parquet(src), root).awaitTermination()
+    assert {tuple(r) for r in B.latest_metrics(spark, root).select("key", "at", "value").collect()} == {("a", 3, 0.7), ("b", 4, 0.3), ("c", 1, 0.2)}
+
+
 def test_checkpoints(store):
     c = Checkpoint("building", ("a", "b"), 1, 2)
     store.save_checkpoint(c)
