@@ -4,8 +4,8 @@ Rows are dealt into segments of a bounded size, one row of a Parquet table each:
 drawn, and for each level the lists of its neighbours. Equal vectors of a segment are one node with several ids, so that a
 vector that many rows share blocks no way. A segment's graph is built in one task from exact
 nearest neighbours, and searched by a greedy descent through the upper levels and a beam of bounded width in the lowest.
-Every query meets every segment, in blocks of queries that are dealt to groups of segments by a join, and each pair gives k
-rows at most.
+Every query meets every segment: blocks of queries are broadcast if they measure little, else dealt to groups of segments by a
+join, and each pair gives k rows at most.
 
 What is added later forms segments of its own; a row that is deleted or replaced stays in its graph as a way through, but
 is no longer found. Segments that have become small or have lost many rows are built anew by compact(). The manifest is renamed
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..plans.session import partitions
 from ..sources.store import Folder
-from .search import SearchError
+from .search import BROADCAST_BYTES, SearchError
 
 SEGMENT = "segment long, dim int, n long, vectors binary, levels binary, links array<binary>, starts binary, ids array<{}>"
 #: The least that a draw counts as, and neighbours of a node in the upper levels.
@@ -370,7 +370,8 @@ class GraphIndex(Folder):
                     raw = np.asarray(part.column("v").flatten(), np.float64).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, part.num_rows], part.column("query_id")), pa.array([raw], pa.binary())], ["query_ids", "queries"])
 
-        groups = partitions(self.spark)
+        few = q.count() * m.dimension * 8 <= BROADCAST_BYTES  # then segments stay where they are read
+        groups = 1 if few else partitions(self.spark)
         dealt = q.mapInArrow(blocks, f"query_ids array<{asked}>, queries binary").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         segments = self.segments().withColumn("g", F.pmod(F.xxhash64("segment"), F.lit(groups)).cast("int"))
         segments = segments.join(self._dead(m), "segment", "left") if m.dead else segments.withColumn("places", F.lit(None).cast("array<int>"))
@@ -399,7 +400,7 @@ class GraphIndex(Folder):
                                                       b.column("ids")[i].values.take(pa.array(rows, pa.int64())), pa.array(scores, pa.float64()), pa.array(measured, pa.int64())],
                                                      ["query_id", "segment", "id", "score", "measured"])
 
-        return segments.join(dealt, "g").mapInArrow(run, f"query_id {asked}, segment long, id {kind}, score double, measured long")
+        return segments.join(F.broadcast(dealt) if few else dealt, "g").mapInArrow(run, f"query_id {asked}, segment long, id {kind}, score double, measured long")
 
     def search(self, queries: DataFrame, k: int = 12, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """(query_id, rank, id, score): the k nearest found for each query, ties to smaller ids; an empty index has none."""

@@ -17,8 +17,8 @@ ENGINE_TOP_K, VIEW_TOP_K = 12, 30
 HIGH, FAIR = 0.8, 0.6
 MOST_HIGH, MOST_FAIR, MOST_OTHER = 25, 20, 15
 
-#: Vectors of a block of a search or join.
-BLOCK = 4096
+#: Vectors of a block of a search or join, and bytes of queries that are broadcast to where the index is read.
+BLOCK, BROADCAST_BYTES = 4096, 32 << 20
 
 
 class SearchError(ValueError):
@@ -47,9 +47,9 @@ def top_k(index: DataFrame, query: list[float], k: int = ENGINE_TOP_K, id_col: s
     return index.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(best, "id").limit(k)
 
 
-def vector_blocks(rows: DataFrame, id_col: str, vec_col: str, size: int | None = None) -> DataFrame:
-    """(b: a number, dim, ids, v: a matrix of unit vectors) of at most BLOCK vectors of one length each, written once. Vectors
-    that are null, empty or not finite are left out; a zero vector stays one."""
+def vector_blocks(rows: DataFrame, id_col: str, vec_col: str, size: int | None = None, kept: bool = True) -> DataFrame:
+    """(b: a number, dim, ids, v: a matrix of unit vectors) of at most BLOCK vectors of one length each, written once if `kept`.
+    Vectors that are null, empty or not finite are left out; a zero vector stays one."""
     size = size or BLOCK
     v = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(V.is_valid("v"))
 
@@ -75,7 +75,8 @@ def vector_blocks(rows: DataFrame, id_col: str, vec_col: str, size: int | None =
             yield block(own, dim)
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return cut(v.mapInArrow(run, f"dim int, ids array<{kind}>, v binary").select(F.monotonically_increasing_id().alias("b"), "*"), "blocks")
+    made = v.mapInArrow(run, f"dim int, ids array<{kind}>, v binary").select(F.monotonically_increasing_id().alias("b"), "*")
+    return cut(made, "blocks") if kept else made
 
 
 def _side(blocks: DataFrame, name: str) -> DataFrame:
@@ -121,15 +122,20 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
                 exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k best by cosine for each query, ties to smaller ids.
 
-    Both sides are written as blocks, once, and pairs of blocks are multiplied in tasks; a pair gives k rows a query, of
+    Queries are written as blocks. If they measure no more than BROADCAST_BYTES they are broadcast, and the index stays where it
+    is read; else both sides are dealt as blocks. Pairs of blocks are multiplied in tasks; a pair gives k rows a query, of
     which Spark keeps the first k of a task before the shuffle. Rows whose vector is null, not finite or of another length
     than the queries' take no part; queries must be of one length."""
     kind, asked = index.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
     q = vector_blocks(queries, id_col, vec_col)
-    shortest, longest = q.agg(F.min("dim"), F.max("dim")).first()
+    shortest, longest, size = q.agg(F.min("dim"), F.max("dim"), F.sum(F.octet_length("v"))).first()
     if shortest != longest:
         raise SearchError(f"vectors asked have dimensions from {shortest} to {longest}")
-    rows = q if index is queries else vector_blocks(index, id_col, vec_col)
+    if (size or 0) <= BROADCAST_BYTES:
+        rows = vector_blocks(index, id_col, vec_col, kept=False)
+        pairs = _side(rows, "l").join(F.broadcast(_side(q, "r")), "dim")
+    else:
+        pairs = _dealt(q if index is queries else vector_blocks(index, id_col, vec_col), q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +160,7 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
                 yield pa.RecordBatch.from_arrays([r_ids.take(pa.array(of)), l_ids.take(pa.array(to)), pa.array(scores)], ["query_id", "id", "score"])
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return _dealt(rows, q).mapInArrow(run, f"query_id {asked}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
+    return pairs.mapInArrow(run, f"query_id {asked}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(
         F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

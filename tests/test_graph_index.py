@@ -51,6 +51,15 @@ def test_few_rows_are_measured_and_most_neighbours_found(spark, index):
     assert g.where("id = neighbour").count() == 0 and 100 < g.where("level = 1").select("id").distinct().count() < 300
 
 
+def test_queries_that_are_dealt_find_what_broadcast_ones_do(spark, index, monkeypatch):
+    x = vectors(300)
+    index.replace(frame(spark, x), 16, rows_a_segment=64)
+    asked = frame(spark, x[:50])
+    want = found(index, asked)
+    monkeypatch.setattr(G, "BROADCAST_BYTES", 0)
+    assert found(index, asked) == want and len(want) == 50
+
+
 def test_replace_insert_delete_and_compact_equal_a_fresh_build(spark, index, tmp_path):
     x = vectors(260)
     asked = frame(spark, vectors(20, seed=3))

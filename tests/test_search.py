@@ -37,8 +37,10 @@ def vectors(n=240, d=16, seed=0):
     return (c[rnd.integers(0, 12, n)] + 0.35 * rnd.normal(size=(n, d))).astype(np.float32)
 
 
-def test_batches_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1 << 20])  # queries dealt, or broadcast
+def test_batches_equal_brute_force(spark, monkeypatch, most):
     x = vectors()
+    monkeypatch.setattr(S, "BROADCAST_BYTES", most)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     cos = u @ u.T
     monkeypatch.setattr(S, "BLOCK", 37)  # several blocks
