@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoders import Encoder, embed
 from ..operators.catalog_ops import ABORT_AT, failure_runs, missing
+from ..plans.session import cut
 from ..sources.codec import ENTRY, CorruptIndex
 from ..sources.store import Checkpoint, IndexStore, Manifest
 
@@ -51,21 +52,32 @@ class Nothing(ValueError):
 
 @dataclass(frozen=True)
 class Slice:
-    number: int
+    """Ids from low to high, those of the parts from first to last."""
+
+    first: int
+    last: int
     low: str
     high: str
     rows: int
 
 
-def slices_of(store: IndexStore, todo: DataFrame, rows_a_slice: int) -> tuple[DataFrame, list[Slice]]:
-    """(todo with `slice`, written; the slices): ranges of ids of about so many rows, so that a table of assets sorted by id is
-    read in pieces, not whole for each slice. The driver gets one row a slice."""
-    n = -(-todo.count() // rows_a_slice)
+def slices_of(store: IndexStore, todo: DataFrame, rows: int, rows_a_slice: int) -> tuple[DataFrame, list[Slice]]:
+    """(the ids of todo, so many rows, with `part`, written; the slices): ranges of ids of about rows_a_slice, so that a table of assets
+    sorted by id is read in pieces, not whole for each slice. Into how many parts Spark ranges them is its own affair: neighbours
+    are joined until they make a slice. The driver gets one row a part."""
     path = f"{store.root}/staged/todo-{uuid.uuid4().hex}"
-    todo.select("asset_id").repartitionByRange(max(1, n), "asset_id").withColumn("slice", F.spark_partition_id()).write.parquet(path)
-    dealt = store.spark.read.schema("asset_id string, slice int").parquet(path)
-    ends = dealt.groupBy("slice").agg(F.min("asset_id").alias("low"), F.max("asset_id").alias("high"), F.count(F.lit(1)).alias("rows")).orderBy("slice").collect()
-    return dealt, [Slice(r["slice"], r["low"], r["high"], r["rows"]) for r in ends]
+    ranged = todo.select("asset_id").repartitionByRange(max(1, -(-rows // rows_a_slice)), "asset_id")
+    ranged.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = store.spark.read.schema("asset_id string, part int").parquet(path)
+    parts = dealt.groupBy("part").agg(F.min("asset_id").alias("low"), F.max("asset_id").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    slices: list[Slice] = []
+    for p in parts:
+        if slices and slices[-1].rows + p["n"] / 2 <= rows_a_slice:
+            s = slices[-1]
+            slices[-1] = Slice(s.first, p["part"], s.low, p["high"], s.rows + p["n"])
+        else:
+            slices.append(Slice(p["part"], p["part"], p["low"], p["high"], p["n"]))
+    return dealt, slices
 
 
 def _failures_in_a_row(store: IndexStore, record: dict, before: int) -> tuple[int, int]:
@@ -101,10 +113,11 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
         assets = assets.join(candidates.select("asset_id"), "asset_id", "left_semi")
     if fresh:
         store.clear_staged()
-    unique = assets.agg(F.count("asset_id") == F.count_distinct("asset_id")).first()[0]
-    where, total = store.save_candidates(assets.select("asset_id").where("length(asset_id) > 0").distinct().sort("asset_id"))
+    named = assets.where("length(asset_id) > 0")
+    where, total = store.save_candidates(named.select("asset_id").distinct())
     if not total:
         raise Nothing("there is no asset to index")
+    unique = named.count() == total
     done = failed = 0
 
     def tell(stage: str, message: str | None = None) -> Checkpoint:
@@ -118,21 +131,23 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
         ids = store.load_candidates(where)
         if reuse:
             _carry_over(store, assets, manifest)
-        kept = store.staged().join(ids, "asset_id", "left_semi")
-        done = kept.count()
+        todo = ids
+        if store.commits():
+            todo = cut(ids.join(store.staged().select("asset_id"), "asset_id", "left_anti"), "todo")
+            done = total - todo.count()
         tell("building")
-        dealt, slices = slices_of(store, ids.join(kept.select("asset_id"), "asset_id", "left_anti"), rows_a_slice)
+        dealt, slices = slices_of(store, todo, total - done, rows_a_slice)
         in_a_row = 0
         for s in slices:
             if stop:
                 return tell("building")
-            todo = dealt.where(F.col("slice") == s.number).select("asset_id")
+            todo = dealt.where(F.col("part").between(s.first, s.last)).select("asset_id")
             own = assets.where(F.col("asset_id").between(s.low, s.high)).join(F.broadcast(todo) if s.rows <= BROADCAST_IDS else todo, "asset_id", "left_semi")
             one = (own if unique else newest(own)).coalesce(store.spark.sparkContext.defaultParallelism)  # as many files as cores
             try:
                 with stop.tagged():
                     record = store.stage(embed(one, "payload", encoder, keep_failures=True).select(
-                        "asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at", "error"), where.rpartition("-")[2] + f"-{s.number}")
+                        "asset_id", F.sha2("payload", 256).alias("fingerprint"), "embedding", "created_at", "updated_at", "error"), where.rpartition("-")[2] + f"-{s.first}")
             except Exception:
                 if stop:
                     return tell("building")

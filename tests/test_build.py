@@ -181,6 +181,17 @@ def test_an_encoder_is_loaded_once_by_a_worker_and_again_after_a_failure(spark,
     assert own.state == "ready" and own.get(Flaky()) is first and len(tries) == 2 and own.error is None
 
 
+def test_slices_do_not_depend_on_how_ids_are_ranged(spark, store, monkeypatch):
+    ids = assets(spark, 1000).select("asset_id")
+    for parts in (1, 4, 90):
+        frame = type(ids)
+        with monkeypatch.context() as m:
+            m.setattr(frame, "repartitionByRange", lambda self, n, *c, f=frame.repartitionByRange: f(self, parts, *c))
+            dealt, slices = B.slices_of(store, ids, 1000, 250)
+        assert sum(s.rows for s in slices) == 1000 == dealt.count() and len(slices) == min(parts, 4) and all(a.high < b.low for a, b in zip(slices, slices[1:]))
+        assert all(dealt.where(F.col("part").between(s.first, s.last)).agg(F.min("asset_id"), F.max("asset_id"), F.count("*")).first() == (s.low, s.high, s.rows) for s in slices)
+
+
 def test_letters():
     x = E.LetterEncoder().encode([b"abba z", b"", b"\xff12"])
     assert x[0, :2].tolist() == [2, 2] and x[0, 25] == 1 and x[1].tolist() == [1] + [0] * 25 == x[2].tolist() and np.isfinite(x).all()
