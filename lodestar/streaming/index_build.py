@@ -109,12 +109,12 @@ def build(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Mani
 
     Cancelled before a slice, in it or after it, the build saves its checkpoint and returns it."""
     stop = Cancellation(store.spark) if cancellation is None else cancellation
-    if candidates is not None and not candidates.isEmpty():
-        assets = assets.join(candidates.select("asset_id"), "asset_id", "left_semi")
     if fresh:
         store.clear_staged()
-    named = assets.where("length(asset_id) > 0")
-    where, total = store.save_candidates(named.select("asset_id").distinct())
+    named = assets.select("asset_id").where("length(asset_id) > 0")  # payloads are read slice by slice only
+    if candidates is not None and not candidates.isEmpty():
+        named = named.join(candidates.select("asset_id"), "asset_id", "left_semi")
+    where, total = store.save_candidates(named.distinct())
     if not total:
         raise Nothing("there is no asset to index")
     unique = named.count() == total
@@ -201,11 +201,11 @@ def resume(store: IndexStore, assets: DataFrame, encoder: Encoder, manifest: Man
     if c is None or c.stage != "building":
         return store.load_manifest()
     ids = store.load_candidates(c.candidates) if c.candidates else store.spark.createDataFrame([(i,) for i in c.candidate_ids], "asset_id string")
-    own = assets if ids.isEmpty() else assets.join(ids, "asset_id", "left_semi")
-    if own.isEmpty():
+    named = assets.select("asset_id")
+    if (named if ids.isEmpty() else named.join(ids, "asset_id", "left_semi")).isEmpty():
         store.clear_staged()
         return None
-    return build(store, own, encoder, manifest, **how)
+    return build(store, assets, encoder, manifest, cut(ids, "candidates"), **how)
 
 
 def add_and_rebuild(store: IndexStore, new: DataFrame, payloads: Callable[[DataFrame], DataFrame], encoder: Encoder, manifest: Manifest, **how) -> Manifest | Checkpoint:
