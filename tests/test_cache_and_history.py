@@ -4,7 +4,6 @@ import random
 import sys
 import time
 
-import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import functions as F
