@@ -7,9 +7,9 @@ every row's distances are stored. By the triangle inequality, an anchor's distan
 difference and the smallest sum of their distances to a pivot: this brackets the score, and only rows whose bracket allows
 them among the first are measured, in exact arithmetic.
 
-Rows are written as blocks, sorted by label, with their pivot distances. Anchors are dealt in blocks too, and each goes once to
-every group of row blocks by a join on the group's number: neither side passes through the driver or is broadcast by
-hand. A pair of blocks gives at most k rows for an anchor, or for each of its positives, and Spark keeps the first k of each
+Rows are written as blocks, sorted by label, with their pivot distances. Anchors are dealt in blocks too. If they measure no
+more than BROADCAST_BYTES they are broadcast, each once; else each goes once to every group of row blocks by a join on the
+group's number that shuffles both sides, so that copies for many groups never pass through the driver. A pair of blocks gives at most k rows for an anchor, or for each of its positives, and Spark keeps the first k of each
 task before the shuffle.
 
 Defined results: rows whose id or label is null, or whose vector is null or empty or holds a null or non-finite component,
@@ -32,6 +32,8 @@ from .shared import partitions, written
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 #: Integers up to here, and sums of them, are exact in double precision.
 EXACT = float(1 << 53)
+#: Bytes of anchors that are broadcast, which the driver holds meanwhile.
+BROADCAST_BYTES = 16 << 20
 
 
 def usable(rows: DataFrame, id_col: str, label_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -57,6 +59,16 @@ def pivots_of(x: np.ndarray, m: float, most: int) -> tuple[np.ndarray, np.ndarra
     return full[chosen, :-1], full[chosen, -1]
 
 
+def sample_of(v: DataFrame, most: int) -> list:
+    """The `most` first rows (id, v, ...) by a hash of the id, cut in tasks: the driver gets these alone, however many tasks read v."""
+    order, n = F.xxhash64("id"), v.count()
+    if n > 4 * most:  # about four times as many come together, whatever n is
+        few = v.where(order <= F.lit(int((8 * most / n - 1) * (1 << 63))))
+        v = few if few.count() >= most else v
+    got = written(v.withColumn("order", order).orderBy("order", "id", "v").limit(most), "sample")
+    return sorted(got.collect(), key=lambda r: (r["order"], r["id"], r["v"]))
+
+
 class Pivots:
     """Distances to the pivots, and the brackets of scores that they give."""
 
@@ -194,7 +206,15 @@ def _dealt(anchors: DataFrame, groups: int, size: int) -> DataFrame:
     return made.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
 
-def _pairs(table: DataFrame, anchors: DataFrame, groups: int, size: int, width: int, pivots: Pivots, answer, schema: str) -> DataFrame:
+def _met(table: DataFrame, anchors: DataFrame, groups: int, size: int, few: bool) -> DataFrame:
+    """All pairs of a block of rows and a block of anchors: with `few`, anchors are broadcast once and rows stay where they are
+    read. Else the hint keeps Spark, which doesn't see that anchors are repeated for each group, from broadcasting them."""
+    if few:
+        return table.drop("g").crossJoin(F.broadcast(_dealt(anchors, 1, size).drop("g")))
+    return table.join(_dealt(anchors, groups, size).hint("merge"), "g").drop("g")
+
+
+def _pairs(table: DataFrame, anchors: DataFrame, groups: int, size: int, few: bool, width: int, pivots: Pivots, answer, schema: str) -> DataFrame:
     """What answer(rows of a label, whether it is the anchors', anchors of a label) gives for all pairs of blocks."""
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -215,7 +235,7 @@ def _pairs(table: DataFrame, anchors: DataFrame, groups: int, size: int, width:
                 cols = list(zip(*found)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return table.join(_dealt(anchors, groups, size), "g").drop("g").mapInArrow(run, schema)
+    return _met(table, anchors, groups, size, few).mapInArrow(run, schema)
 
 
 def hard_negatives(rows: DataFrame, is_anchor: str, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: float = 256.0,
@@ -225,7 +245,7 @@ def hard_negatives(rows: DataFrame, is_anchor: str, positives: int = 5, negative
     same label, the first `negatives` rows of other labels whose score is low to high percent of the positive's."""
     spark = rows.sparkSession
     v = written(usable(rows, id_col, label_col, vec_col, scale), "rows")
-    sample = v.orderBy(F.xxhash64("id"), "id", "v").limit(sampled).collect()
+    sample = sample_of(v, sampled)
     if not sample:
         return spark.createDataFrame([], RESULT)
     longest = v.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (F.abs(x) + 1) * (F.abs(x) + 1))))).first()[0]  # rounding down adds less than 1
@@ -235,6 +255,7 @@ def hard_negatives(rows: DataFrame, is_anchor: str, positives: int = 5, negative
     groups = max(1, min(made.count(), partitions(spark)))
     made = made.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")).drop("number")
     anchors = written(v.where(is_anchor).withColumn("number", F.monotonically_increasing_id()), "anchors")
+    few = anchors.count() * width * 8 <= BROADCAST_BYTES
 
     def same(of: dict, own: slice, some: dict):
         return positives_in(_part(of, own), some, table, positives) if own.start < own.stop else ()
@@ -245,11 +266,11 @@ def hard_negatives(rows: DataFrame, is_anchor: str, positives: int = 5, negative
                 yield from negatives_in(_part(of, at), some, table, negatives, low, high)
 
     w = Window.partitionBy("number").orderBy(F.desc("score"), "id")
-    good = written(_pairs(made, anchors, groups, anchors_a_block, width, table, same, "number long, id long, score long").withColumn(
+    good = written(_pairs(made, anchors, groups, anchors_a_block, few, width, table, same, "number long, id long, score long").withColumn(
         "nth", F.row_number().over(w) - 1).where(F.col("nth") < positives), "positives")
     scores = good.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("nth", "score"))).alias("s")).select("number", F.col("s.score").alias("scores"))
     w = Window.partitionBy("number", "nth").orderBy(F.desc("negative_score"), "negative_id")
-    bad = _pairs(made, anchors.join(scores, "number"), groups, anchors_a_block, width, table, other,
+    bad = _pairs(made, anchors.join(scores, "number"), groups, anchors_a_block, few, width, table, other,
                  "number long, nth long, negative_id long, negative_score long").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= negatives)
     named = good.join(anchors.select("number", F.col("id").alias("anchor_id")), "number").select(
         "number", "nth", "anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))

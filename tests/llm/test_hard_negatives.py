@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import hard_negatives as hn
 
@@ -70,3 +71,25 @@ def test_brackets_hold_scores_and_exclude_rows():
     assert (lo <= s).all() and (s <= hi).all()
     fifth = np.sort(lo, 1)[:, -6]
     assert (hi >= fifth[:, None]).mean() < 0.25  # most rows are never measured where vectors lie in clusters
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])  # anchors dealt to groups of blocks, or broadcast
+def test_anchors_repeated_for_groups_are_not_broadcast(spark, monkeypatch, most):
+    rows = vectors()
+    e = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    made = hn.blocks(hn.usable(e, "vec_id", "label", "embedding", 256.0), hn.Pivots(np.ones((1, 12)), 1e4, 1), 50).withColumn("g", F.lit(0))
+    anchors = hn.usable(e, "vec_id", "label", "embedding", 256.0).where("id % 10 = 0").withColumn("number", F.monotonically_increasing_id())
+    met = hn._met(hn.written(made, "blocks"), hn.written(anchors, "anchors"), 4, 512, most > 0)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastExchange" in plan) == (most > 0)  # Spark takes written anchors for small, however often they are repeated
+    monkeypatch.setattr(hn, "BROADCAST_BYTES", most)
+    got = hn.hard_negatives(e, "id % 10 = 0", block=50, anchors_a_block=7, sampled=100)
+    assert sorted(tuple(r) for r in got.collect()) == plain(rows, lambda i: i % 10 == 0)
+
+
+def test_a_sample_is_cut_before_the_driver(spark):
+    v = spark.createDataFrame([(i, [float(i)]) for i in [*range(900), *[7] * 50]], "id long, v array<double>").repartition(16)
+    order = lambda d: [(r.id, r.v) for r in d.orderBy(F.xxhash64("id"), "id", "v").limit(20).collect()]
+    assert [(r["id"], r["v"]) for r in hn.sample_of(v, 20)] == order(v) and len(hn.sample_of(v, 5000)) == 950
+    same = v.withColumn("id", F.lit(3).cast("long"))
+    assert [(r["id"], r["v"]) for r in hn.sample_of(same, 20)] == order(same)
