@@ -47,15 +47,16 @@ def top_k(index: DataFrame, query: list[float], k: int = ENGINE_TOP_K, id_col: s
     return index.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(best, "id").limit(k)
 
 
-def vector_blocks(rows: DataFrame, id_col: str, vec_col: str, size: int | None = None, kept: bool = True) -> DataFrame:
-    """(b: a number, dim, ids, v: a matrix of unit vectors) of at most BLOCK vectors of one length each, written once if `kept`.
-    Vectors that are null, empty or not finite are left out; a zero vector stays one."""
+def vector_blocks(rows: DataFrame, id_col: str, vec_col: str, size: int | None = None, kept: bool = True, unit: bool = True) -> DataFrame:
+    """(b: a number, dim, ids, v: a matrix of unit vectors, or of the vectors as they are) of at most BLOCK vectors of one length
+    each, written once if `kept`. Vectors that are null, empty or not finite are left out; a zero vector stays one."""
     size = size or BLOCK
     v = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(V.is_valid("v"))
 
     def block(held: list[pa.RecordBatch], dim: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        x = _unit(np.asarray(t.column("v").chunk(0).flatten(), np.float64).reshape(-1, dim))
+        x = np.asarray(t.column("v").chunk(0).flatten(), np.float64).reshape(-1, dim)
+        x = _unit(x) if unit else x
         return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays([0, len(x)], t.column("id").chunk(0)), pa.array([x.tobytes()], pa.binary())], ["dim", "ids", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +119,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _asked(index: DataFrame, queries: DataFrame, id_col: str, vec_col: str, unit: bool = True) -> DataFrame:
+    """Pairs of a block of the index and a block of queries: queries are broadcast if they measure little, else both are dealt."""
+    q = vector_blocks(queries, id_col, vec_col, unit=unit)
+    shortest, longest, size = q.agg(F.min("dim"), F.max("dim"), F.sum(F.octet_length("v"))).first()
+    if shortest != longest:
+        raise SearchError(f"vectors asked have dimensions from {shortest} to {longest}")
+    if (size or 0) <= BROADCAST_BYTES:
+        return _side(vector_blocks(index, id_col, vec_col, kept=False, unit=unit), "l").join(F.broadcast(_side(q, "r")), "dim")
+    return _dealt(q if index is queries else vector_blocks(index, id_col, vec_col, unit=unit), q)
+
+
 def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_col: str = "vec_id", vec_col: str = "embedding",
                 exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k best by cosine for each query, ties to smaller ids.
@@ -127,15 +139,7 @@ def batch_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_
     which Spark keeps the first k of a task before the shuffle. Rows whose vector is null, not finite or of another length
     than the queries' take no part; queries must be of one length."""
     kind, asked = index.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
-    q = vector_blocks(queries, id_col, vec_col)
-    shortest, longest, size = q.agg(F.min("dim"), F.max("dim"), F.sum(F.octet_length("v"))).first()
-    if shortest != longest:
-        raise SearchError(f"vectors asked have dimensions from {shortest} to {longest}")
-    if (size or 0) <= BROADCAST_BYTES:
-        rows = vector_blocks(index, id_col, vec_col, kept=False)
-        pairs = _side(rows, "l").join(F.broadcast(_side(q, "r")), "dim")
-    else:
-        pairs = _dealt(q if index is queries else vector_blocks(index, id_col, vec_col), q)
+    pairs = _asked(index, queries, id_col, vec_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,27 +243,49 @@ def lsh_top_k(index: DataFrame, queries: DataFrame, k: int = ENGINE_TOP_K, id_co
               bits: int = 7, seed: int = 1) -> DataFrame:
     """Approximate batch_top_k: rows meet queries that lie on the same side of all `bits` random planes of some table.
 
-    Signs are computed in numpy, candidates come from one equi-join of ids, and are measured exactly. A row of cosine c
-    meets a query in a table with probability (1 - acos(c) / pi) ** bits: more bits, with more tables, compare fewer rows."""
-    dim = index.select(F.size(vec_col)).first()
-    if dim is None:
-        return batch_top_k(index, queries, k, id_col, vec_col)
-    planes = index.sparkSession.sparkContext.broadcast(np.random.default_rng(seed).normal(size=(tables * bits, dim[0])))
+    Blocks of vectors meet as in batch_top_k. In the task of a pair of blocks, rows that share a table's key with a query are
+    its candidates; they are measured exactly and the first k leave the task, so that neither keys nor pairs are shuffled. A row of cosine c
+    meets a query in a table with probability (1 - acos(c) / pi) ** bits: more bits, with more tables, measure fewer rows."""
+    kind, asked = index.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
+    narrow = np.min_scalar_type((1 << bits) - 1)
+
+    def keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+        """(tables, rows): the side of the planes of each table."""
+        side = (x @ planes.T > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
+        return np.ascontiguousarray(side.T.astype(narrow))
+
+    def added(x: np.ndarray) -> np.ndarray:
+        """Sums of rows from left to right, as Spark's expressions add."""
+        return np.add.accumulate(x, axis=1)[:, -1]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
         for b in batches:
-            x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
-            side = (x @ planes.value.T > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-            key = (side + np.arange(tables) * (1 << bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(list(key), pa.list_(pa.int64()))], ["id", "v", "keys"])
+            for i in range(b.num_rows):
+                l_ids, x, r_ids, y = _matrices(b, i)
+                if planes is None or planes.shape[1] != x.shape[1]:
+                    planes = np.random.default_rng(seed).normal(size=(tables * bits, x.shape[1]))
+                ids, theirs, ours = np.array(l_ids.to_pylist()), keys(x, planes), keys(y, planes)
+                unit, length, far = _unit(x), np.sqrt(added(x * x)), np.sqrt(added(y * y))
+                of, to, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+                for at in range(0, len(y), 256):
+                    met = np.zeros((len(y[at:at + 256]), len(x)), bool)
+                    for t in range(tables):
+                        met |= ours[t, at:at + 256, None] == theirs[t]
+                    s = np.where(met, _unit(y[at:at + 256]) @ unit.T, -np.inf)
+                    for j, row in enumerate(s, at):
+                        near = np.flatnonzero(row > -np.inf)
+                        if len(near) > 4 * k:
+                            near = near[row[near] >= np.partition(row[near], -k)[-k] - 1e-9]
+                        size = length[near] * far[j]
+                        exact = np.divide(added(x[near] * y[j]), size, out=np.zeros(len(near)), where=size > 0)
+                        top = np.lexsort((ids[near], -exact))[:k]
+                        of.append(np.full(len(top), j))
+                        to.append(near[top])
+                        scores.append(exact[top])
+                of, to, scores = (np.concatenate(c) for c in (of, to, scores))
+                yield pa.RecordBatch.from_arrays([r_ids.take(pa.array(of)), l_ids.take(pa.array(to)), pa.array(scores)], ["query_id", "id", "score"])
 
-    kind = index.schema[id_col].dataType.simpleString()
-    made = lambda d: d.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(
-        keys, f"id {kind}, v array<double>, keys array<long>")
-    x, q = made(index), made(queries)
-    pairs = (q.select(F.col("id").alias("query_id"), F.explode("keys").alias("key"))
-             .join(x.select("id", F.explode("keys").alias("key")), "key").select("query_id", "id").distinct())
-    scored = (pairs.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(x.select("id", "v"), "id")
-              .select("query_id", "id", V.cosine("qv", "v").alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return _asked(index, queries, id_col, vec_col, unit=False).mapInArrow(run, f"query_id {asked}, id {kind}, score double").withColumn(
+        "rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

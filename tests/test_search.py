@@ -65,6 +65,23 @@ def test_lsh_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])  # queries dealt, or broadcast
+def test_lsh_measures_in_tasks_and_passes_over_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "BLOCK", 37)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", most)
+    x = [v.tolist() for v in vectors(200)]
+    e = index(spark, [*enumerate(x), (500, None), (501, []), (502, [1.0]), (503, [float("nan")] * 16), (504, [0.0] * 16)])
+    found = S.lsh_top_k(e, e.where("vec_id % 20 = 0 and vec_id < 200"), 7, tables=400, bits=1)  # all but opposite vectors meet
+    rows = found.orderBy("query_id", "rank").collect()
+    a = np.array(x, np.float64)
+    u = a / np.linalg.norm(a, axis=1, keepdims=True)
+    for q in range(0, 200, 20):
+        own = [r for r in rows if r.query_id == q]
+        assert [r.id for r in own] == np.argsort(-(u @ u[q]), kind="stable")[:7].tolist() and [r.score for r in own] == pytest.approx(np.sort(u @ u[q])[::-1][:7])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(keys" not in plan and plan.count("hashpartitioning(query_id") == 1  # only the first k of a pair of blocks are shuffled by query
+
+
 def test_cutoff_tiers(spark):
     lists = {"high": [0.8] + [0.7] * 30, "edge": [0.9, 0.6, 0.59], "fair": [0.6] + [0.1] * 30, "low": [0.59] * 30, "few": [0.1]}
     df = spark.createDataFrame([(q, i, s) for q, v in lists.items() for i, s in enumerate(v)], "query_id string, id int, score double")
