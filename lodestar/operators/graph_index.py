@@ -165,6 +165,17 @@ class Segment:
         found, more = self._beam(0, q, sorted(found)[-UPPER_WIDTH:], width, k)
         return found, cost + more
 
+    def near_enough(self, q: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each row of q: all living nodes that may be as near as `least`, and how near they are; 32 queries at a time."""
+        for at in range(0, len(q), 32):
+            s = self.x @ q[at:at + 32].T
+            if self.half is not None:
+                s -= self.half[:, None]
+            for j, v in enumerate(q[at:at + 32]):
+                low = least[at + j]
+                own = np.flatnonzero(self.alive & (s[:, j] >= low - 1e-9 * max(1.0, abs(low) if np.isfinite(low) else 1.0)))
+                yield own, (self.x[own] * v).sum(1) - (0 if self.half is None else self.half[own])
+
 
 @dataclass(frozen=True)
 class GraphManifest:
@@ -354,8 +365,12 @@ class GraphIndex(Folder):
         kind = self._opened().kind
         return self.segments().select("segment", "levels", "links", "starts", "ids").mapInArrow(run, f"segment long, level int, id {kind}, nth int, neighbour {kind}")
 
-    def hits(self, queries: DataFrame, k: int, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", queries_a_block: int = 512) -> DataFrame:
-        """(query_id, segment, id, score, measured): what each segment finds for each query; measured: nodes that it compared."""
+    def hits(self, queries: DataFrame, k: int, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", queries_a_block: int = 512,
+             exact: bool = False) -> DataFrame:
+        """(query_id, segment, id, score, measured): what each segment finds for each query; measured: nodes that it compared.
+
+        With `exact`, what the graph finds tells how near a row must be, and every node of the segment is checked against that, so
+        that none of the k nearest is missed."""
         m = self._opened()
         if k <= 0:
             raise SearchError("k must be positive")
@@ -387,27 +402,39 @@ class GraphIndex(Folder):
                         links = [np.frombuffer(raw, np.int32).reshape((levels >= i).sum(), -1) for i, raw in enumerate(r["links"])]
                         s, last = Segment(np.frombuffer(r["vectors"], np.float32).reshape(-1, dim), levels, links, metric, np.frombuffer(r["starts"], np.int32), r["places"] or ()), r["segment"]
                     of, rows, scores, measured = [], [], [], []
-                    for j, v in enumerate(np.frombuffer(r["queries"]).reshape(-1, dim)):
-                        size = math.sqrt((v * v).sum())
-                        got, cost = s.search(v / size if metric == "cosine" and size else v, k, max(k, width))
+                    asked_here = np.frombuffer(r["queries"]).reshape(-1, dim)
+                    sizes = np.sqrt((asked_here * asked_here).sum(1))
+                    unit = np.divide(asked_here, sizes[:, None], out=asked_here.copy(), where=sizes[:, None] > 0) if metric == "cosine" else asked_here
+                    hits = [s.search(v, k, max(k, width)) for v in unit]
+                    if exact:
+                        least = np.array([got[k - 1][0] if len(got) >= k else -np.inf for got, _ in hits])
+                        hits = [(list(zip(near.tolist(), own.tolist())), len(s.x)) for own, near in s.near_enough(unit, least)]
+                    for j, (got, cost) in enumerate(hits):
+                        found = []
                         for x, node in got:
-                            own = s.rows_of(node, k)
-                            of += [j] * len(own)
-                            rows += own
-                            scores += [round(x, 12) if metric == "cosine" else round(math.sqrt(max(0.0, size * size - 2 * x)), 9)] * len(own)
-                            measured += [cost] * len(own)
+                            score = round(x, 12) if metric == "cosine" else round(math.sqrt(max(0.0, sizes[j] * sizes[j] - 2 * x)), 9)
+                            found += [(score, row) for row in s.rows_of(node, k)]
+                        if exact and len(found) > k:
+                            ids = b.column("ids")[i].values.take(pa.array([row for _, row in found], pa.int64())).to_pylist()
+                            best = sorted(range(len(found)), key=lambda n: (-found[n][0] if metric == "cosine" else found[n][0], ids[n]))
+                            found = [found[n] for n in best[:k]]
+                        of += [j] * len(found)
+                        rows += [row for _, row in found]
+                        scores += [score for score, _ in found]
+                        measured += [cost] * len(found)
                     yield pa.RecordBatch.from_arrays([b.column("query_ids")[i].values.take(pa.array(of, pa.int64())), pa.array([last] * len(of), pa.int64()),
                                                       b.column("ids")[i].values.take(pa.array(rows, pa.int64())), pa.array(scores, pa.float64()), pa.array(measured, pa.int64())],
                                                      ["query_id", "segment", "id", "score", "measured"])
 
         return segments.join(F.broadcast(dealt) if few else dealt, "g").mapInArrow(run, f"query_id {asked}, segment long, id {kind}, score double, measured long")
 
-    def search(self, queries: DataFrame, k: int = 12, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-        """(query_id, rank, id, score): the k nearest found for each query, ties to smaller ids; an empty index has none."""
+    def search(self, queries: DataFrame, k: int = 12, width: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False) -> DataFrame:
+        """(query_id, rank, id, score): the k nearest found for each query, ties to smaller ids; an empty index has none. With
+        `exact`, the k nearest of all: see hits()."""
         metric = self._opened().metric
         near = F.desc("score") if metric == "cosine" else F.asc("score")
         w = Window.partitionBy("query_id").orderBy(near, "id")
-        return self.hits(queries, k, width, id_col, vec_col).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        return self.hits(queries, k, width, id_col, vec_col, exact=exact).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
     def _opened(self) -> GraphManifest:
         m = self.manifest()

@@ -133,6 +133,26 @@ def test_equal_vectors_block_no_way_and_are_found_by_smaller_ids(spark, index):
     assert index.rows().where("v is not null").count() == 1498
 
 
+@pytest.mark.parametrize("metric", G.METRICS)
+def test_a_checked_search_misses_nothing(spark, index, metric):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(900, 48)).astype(np.float32)  # no structure: a narrow beam misses many
+    x[100:140], x[140:150] = x[0], 2 * x[0]
+    e, asked = frame(spark, x), frame(spark, np.concatenate([rnd.normal(size=(30, 48)).astype(np.float32), x[:2], 0 * x[:1]]))
+    index.replace(e, 48, metric=metric, rows_a_segment=400)
+    index.delete(e.where("vec_id in (0, 101, 300)"))
+    left = e.where("vec_id not in (0, 101, 300)")
+    if metric == "cosine":
+        want = exact(left, asked, 10)
+    else:
+        got = {r.vec_id: np.array(r.embedding) for r in left.collect()}
+        want = {q.vec_id: sorted(((i, round(float(np.linalg.norm(v - np.array(q.embedding))), 6)) for i, v in got.items()), key=lambda p: (p[1], p[0]))[:10] for q in asked.collect()}
+    seen = {}
+    for r in index.search(asked, 10, 10, exact=True).orderBy("query_id", "rank").collect():
+        seen.setdefault(r.query_id, []).append((r.id, round(r.score, 6)))
+    assert seen == want and found(index, asked, 10, 10) != want
+
+
 def test_levels(spark):
     n = spark.range(20000).select(G.level(F.col("id")).alias("l")).groupBy("l").count().collect()
     n = {r.l: r["count"] for r in n}
