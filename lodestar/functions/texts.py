@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -17,6 +16,9 @@ from pyspark.sql.types import StringType
 IDEOGRAPHS = (r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}"
               r"\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
 PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
+#: What cleaning drops, white space that separates words kept; ideographs, punctuation characters and words of a cleaned text.
+DROPPED = r"[\x{0}\x{FFFD}\p{Cc}\p{Cf}&&[^\t\n\r]]"
+WORDS = rf"[{IDEOGRAPHS}]|[{PUNCTUATION}]|[^\s\p{{Zs}}{IDEOGRAPHS}{PUNCTUATION}]+"
 PAD, UNKNOWN, START, END = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 CONTEXT, LONGEST_WORD = 52, 200
 WHITE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -45,15 +47,41 @@ def strip_accents_of(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFD", text).translate(_marks())
 
 
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str, str]:
+    """(characters, what each of the first becomes, the others being dropped; a pattern of the rest): which characters decompose
+    to one or none without accents, and those that Spark's translate can't do: more than one, or marks that stay and may change places."""
+    one, gone, odd = {}, [], set()
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if 0xD800 <= ord(c) < 0xE000 or not (unicodedata.decomposition(c) or unicodedata.combining(c) or 0xAC00 <= ord(c) < 0xD7A4 or unicodedata.category(c) == "Mn"):
+            continue
+        t = strip_accents_of(c)
+        if not t:
+            gone.append(c)
+        elif len(t) > 1 or unicodedata.combining(c):
+            odd.add(c)
+        elif t != c:
+            one[c] = t
+    odd |= {c for c in map(chr, range(0x250, sys.maxunicode + 1)) if not odd.isdisjoint(c.lower())}
+    spans = []
+    for c in sorted(map(ord, odd)):
+        spans = [*spans[:-1], (spans[-1][0], c)] if spans and spans[-1][1] == c - 1 else [*spans, (c, c)]
+    return "".join([*one, *gone]), "".join(one.values()), "[" + "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in spans) + "]"
+
+
 @F.pandas_udf(StringType())
 def _strip_accents(text: pd.Series) -> pd.Series:  # Spark has no decomposition of characters
     return text.map(strip_accents_of, na_action="ignore")
 
 
-def strip_accents(text: Column) -> Column:
-    """Only texts that aren't ASCII go to a Python worker."""
-    plain = ~text.rlike(r"[^\x{0}-\x{7F}]")
-    return F.when(plain, text).otherwise(_strip_accents(F.when(~plain, text)))
+def strip_accents(text: Column, of: Column | None = None) -> Column:
+    """Characters are mapped by Spark; only texts with one that becomes several go to a Python worker. of: the column that
+    `text` is made from without adding characters, but by lower-casing, if it costs less to look at."""
+    of = text if of is None else of
+    characters, become, several = _accents()
+    plain = F.octet_length(of) == F.length(of)
+    odd = ~plain & of.rlike(several)
+    return F.when(plain, text).when(odd, _strip_accents(F.when(odd, text))).otherwise(F.translate(text, characters, become))
 
 
 def split_punctuation(word: Column) -> Column:
@@ -62,9 +90,10 @@ def split_punctuation(word: Column) -> Column:
 
 
 def basic_tokens(text: Column) -> Column:
-    """Lower-case words and punctuation characters, without accents."""
-    t = strip_accents(F.lower(spaced_ideographs(clean(text))))
-    return F.flatten(F.transform(white_tokens(t), split_punctuation))
+    """Lower-case words and punctuation characters, without accents; ideographs are words of their own. As clean(), spaced
+    ideographs, lower case, strip_accents(), white_tokens() and split_punctuation() one after another, in two passes."""
+    t = strip_accents(F.lower(F.regexp_replace(text, DROPPED, "")), text)
+    return F.regexp_extract_all(t, F.lit(WORDS), F.lit(0))
 
 
 def pieces_of(word: str, vocab: dict[str, int], longest: int = LONGEST_WORD) -> list[str]:
@@ -95,29 +124,32 @@ def load_vocabulary(lines: list[str]) -> dict[str, int]:
 
 
 def wordpiece(df: DataFrame, tokens_col: str, vocab: dict[str, int], out: str = "ids", context: int = CONTEXT) -> DataFrame:
-    """Adds ids: start, at most context - 2 ids of word pieces, end, padding. The vocabulary is broadcast: its size is fixed."""
-    shared = df.sparkSession.sparkContext.broadcast(vocab)
+    """Adds ids: start, at most context - 2 ids of word pieces, end, padding. The vocabulary is broadcast: its size is fixed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        known: dict[str, list[int]] = {}
-        for b in batches:
-            rows = []
-            for tokens in b.column(tokens_col).to_pylist():
-                ids: list[int] = []
-                for t in tokens or ():
-                    if len(ids) >= context - 2:
-                        break
-                    if t not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[t] = [v.get(p, v[UNKNOWN]) for p in pieces_of(t, v)]
-                    ids += known[t]
-                ids = [v[START], *ids[:context - 2], v[END]]
-                rows.append(ids + [v[PAD]] * (context - len(ids)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.int64()))], [*b.schema.names, out])
-
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` array<long>")
+    As every token that isn't empty gives an id, no more than the first context - 2 of them go to Python, and of a long one no
+    more than tells that it is too long: what a worker holds doesn't grow with the texts."""
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+    known: dict[str, list[int]] = {}
+
+    @F.arrow_udf("array<long>")
+    def ids_of(lists: pa.Array) -> pa.Array:
+        v, rows = shared.value, []
+        for tokens in lists.to_pylist():
+            ids: list[int] = []
+            for t in tokens or ():
+                if len(ids) >= context - 2:
+                    break
+                if t not in known:
+                    if len(known) > 50_000:
+                        known.clear()
+                    known[t] = [v.get(p, v[UNKNOWN]) for p in pieces_of(t, v)]
+                ids += known[t]
+            ids = [v[START], *ids[:context - 2], v[END]]
+            rows.append(ids + [v[PAD]] * (context - len(ids)))
+        return pa.array(rows, pa.list_(pa.int64()))
+
+    first = F.slice(F.filter(F.col(tokens_col), lambda t: t != ""), 1, context - 2)
+    return df.withColumn(out, ids_of(F.transform(first, lambda t: F.left(t, F.lit(LONGEST_WORD + 1)))))
 
 
 def trimmed(text: Column) -> Column:

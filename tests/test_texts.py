@@ -16,6 +16,32 @@ def test_basic_tokens(spark):
     assert got == [list("节日庆典"), ["hello", "世", "界"], ["cafe", ",", "ok", "!"], [], ["a", "b", "c"], ["don", "'", "t", "-", "stop", "…"], ["x", "𠀀", "y"], None]
 
 
+def test_basic_tokens_equal_their_steps(spark):
+    """Every character alone, between letters and after a mark; the steps one after another, accents by Python."""
+    chars = [chr(c) for c in range(0x11FFF) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x16000, 0x17000)] + [
+        chr(c) for a, b in ((0x1D100, 0x1D200), (0x1E000, 0x1F000), (0x20000, 0x20010), (0x2F800, 0x2FA20), (0xE0100, 0xE0110)) for c in range(a, b)]
+    rows = ["".join(f"A{c}B {c}\u0301 Σ{c} É{c}," for c in chars[i:i + 16]) for i in range(0, len(chars), 16)] + [f"\u302e\u0301{c}\u0327x" for c in "aé한"]
+    df = spark.createDataFrame([(r,) for r in rows], "x string").repartition(4)
+    lowered = F.lower(T.spaced_ideographs(T.clean(F.col("x"))))
+    stripped = df.select("x", T._strip_accents(lowered).alias("t"))
+    want = dict(map(tuple, stripped.select("x", F.flatten(F.transform(T.white_tokens(F.col("t")), T.split_punctuation))).collect()))
+    got = dict(map(tuple, df.select("x", T.basic_tokens(F.col("x"))).collect()))
+    assert len(got) == len(set(rows)) and [r for r in rows if got[r] != want[r]] == []
+
+
+def test_only_what_counts_goes_to_python(spark, monkeypatch):
+    vocab = T.load_vocabulary(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "##a"])
+    seen = spark.createDataFrame([(["", None, "a" * 100_000, *["a"] * 5000],)], "tokens array<string>")
+    assert T.wordpiece(seen, "tokens", vocab).first().ids == [2, 1, *[4] * 49, 3]
+    plan = T.wordpiece(seen, "tokens", vocab).select("ids")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "slice(filter(tokens" in plan
+    texts = spark.createDataFrame([("Café",), ("한",), ("plain",)], "x string")
+    sent = []
+    monkeypatch.setattr(T, "_strip_accents", lambda c: sent.append(c) or c)
+    texts.select(T.strip_accents(F.col("x"))).collect()
+    assert [r[0] for r in texts.select(sent[0]).collect()] == [None, "한", None]
+
+
 def test_wordpiece(spark):
     vocab = T.load_vocabulary(["[PAD]", "[UNK]", "", "[CLS]\r", "[SEP]", "un", "##aff", "##able", "a", "##a"])
     assert vocab["[CLS]"] == 2 and vocab["un"] == 4
