@@ -35,6 +35,8 @@ LEAST_DRAW, NEIGHBOURS = 1e-10, 16
 #: Neighbours of a node in the lowest level, how wide a beam is in the upper levels, and how many nodes a search begins with at least.
 LOWEST, UPPER_WIDTH, ENTRIES = 24, 8, 3
 METRICS = ("cosine", "euclidean")
+#: Numbers of a matrix of distances that a build holds at a time (and a few matrices of that size).
+MEASURED = 1 << 21
 
 
 def level(id_col: Column, m: int = NEIGHBOURS) -> Column:
@@ -57,16 +59,18 @@ def neighbour_lists(x: np.ndarray, most: int) -> np.ndarray:
     if c < 1:
         return out
     near, far, held = np.empty((n, c), np.int64), np.empty((n, c)), np.zeros((n, c), bool)
-    for at in range(0, n, 512):
-        d = half[at:at + 512, None] + half - x[at:at + 512] @ x.T  # half the squared distance
+    step = max(16, min(512, MEASURED // n))
+    for at in range(0, n, step):
+        d = half[at:at + step, None] + half
+        d -= x[at:at + step] @ x.T  # half the squared distance
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         own = np.argpartition(d, c - 1, axis=1)[:, :c]
         own = np.take_along_axis(own, np.argsort(np.take_along_axis(d, own, 1), axis=1, kind="stable"), 1)
-        near[at:at + 512], far[at:at + 512] = own, np.take_along_axis(d, own, 1)
+        near[at:at + step], far[at:at + step] = own, np.take_along_axis(d, own, 1)
         between = half[own][:, :, None] + half[own][:, None] - np.matmul(x[own], x[own].transpose(0, 2, 1))
-        chosen, number = held[at:at + 512], np.zeros(len(own), np.int64)
+        chosen, number = held[at:at + step], np.zeros(len(own), np.int64)
         for i in range(c):
-            apart = ~(chosen[:, :i] & (between[:, i, :i] <= far[at:at + 512, i:i + 1])).any(1) & (number < k)
+            apart = ~(chosen[:, :i] & (between[:, i, :i] <= far[at:at + step, i:i + 1])).any(1) & (number < k)
             chosen[:, i] = apart
             number += apart
         for i in range(c):

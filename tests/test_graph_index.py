@@ -157,3 +157,11 @@ def test_levels(spark):
     n = spark.range(20000).select(G.level(F.col("id")).alias("l")).groupBy("l").count().collect()
     n = {r.l: r["count"] for r in n}
     assert 1100 < sum(v for k, v in n.items() if k >= 1) < 1400 and 50 < sum(v for k, v in n.items() if k >= 2) < 110
+
+
+def test_a_build_holds_matrices_of_a_bounded_size(monkeypatch):
+    x, seen, taken = vectors(600, 8).astype(np.float64), [], np.argpartition
+    want = G.neighbour_lists(x, 8)
+    monkeypatch.setattr(G, "MEASURED", 600 * 32)
+    monkeypatch.setattr(np, "argpartition", lambda d, *a, **b: seen.append(d.size) or taken(d, *a, **b))
+    assert (G.neighbour_lists(x, 8) == want).all() and max(seen) == 600 * 32
