@@ -16,9 +16,12 @@ from pyspark.sql.types import StringType
 IDEOGRAPHS = (r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}"
               r"\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
 PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
-#: What cleaning drops, white space that separates words kept; ideographs, punctuation characters and words of a cleaned text.
+#: What cleaning drops, white space that separates words kept.
 DROPPED = r"[\x{0}\x{FFFD}\p{Cc}\p{Cf}&&[^\t\n\r]]"
-WORDS = rf"[{IDEOGRAPHS}]|[{PUNCTUATION}]|[^\s\p{{Zs}}{IDEOGRAPHS}{PUNCTUATION}]+"
+#: Words, punctuation characters and ideographs of a cleaned text. The letters of Latin-1 come first, one by one: Java looks them
+#: up in a table, and tries the ranges and properties that follow only for what isn't among them.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalnum())
+WORDS = rf"[[{LETTERS}][^\s\p{{Zs}}{IDEOGRAPHS}{PUNCTUATION}]]+|[{PUNCTUATION}]|[{IDEOGRAPHS}]"
 PAD, UNKNOWN, START, END = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 CONTEXT, LONGEST_WORD = 52, 200
 WHITE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -47,15 +50,18 @@ def strip_accents_of(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFD", text).translate(_marks())
 
 
-@lru_cache(maxsize=1)
-def _accents() -> tuple[str, str, str]:
+@lru_cache(maxsize=2)
+def _accents(lower: bool = False) -> tuple[str, str, str]:
     """(characters, what each of the first becomes, the others being dropped; a pattern of the rest): which characters decompose
-    to one or none without accents, and those that Spark's translate can't do: more than one, or marks that stay and may change places."""
+    to one or none without accents, and those that Spark's translate can't do: more than one, or marks that stay and may change places.
+    lower: of lower-cased characters; a capital sigma, which depends on its place in a word, is in neither."""
     one, gone, odd = {}, [], set()
     for c in map(chr, range(sys.maxunicode + 1)):
-        if 0xD800 <= ord(c) < 0xE000 or not (unicodedata.decomposition(c) or unicodedata.combining(c) or 0xAC00 <= ord(c) < 0xD7A4 or unicodedata.category(c) == "Mn"):
+        x = c.lower() if lower else c
+        if 0xD800 <= ord(c) < 0xE000 or lower and c == "Σ" or x == c and not (
+                unicodedata.decomposition(c) or unicodedata.combining(c) or 0xAC00 <= ord(c) < 0xD7A4 or unicodedata.category(c) == "Mn"):
             continue
-        t = strip_accents_of(c)
+        t = strip_accents_of(x)
         if not t:
             gone.append(c)
         elif len(t) > 1 or unicodedata.combining(c):
@@ -66,7 +72,18 @@ def _accents() -> tuple[str, str, str]:
     spans = []
     for c in sorted(map(ord, odd)):
         spans = [*spans[:-1], (spans[-1][0], c)] if spans and spans[-1][1] == c - 1 else [*spans, (c, c)]
-    return "".join([*one, *gone]), "".join(one.values()), "[" + "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in spans) + "]"
+    several = "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in spans)
+    return "".join([*one, *gone]), "".join(one.values()), rf"[[^\x{{0}}-\x{{24F}}]&&[{several}]]"
+
+
+@lru_cache(maxsize=1)
+def _folded() -> tuple[str, str, str]:
+    """For basic_tokens: (characters, what each of the first becomes, the others being dropped) by cleaning, lower-casing and without
+    accents; a pattern of those that this doesn't settle: several characters, capital sigma, and from U+0250 on what is dropped
+    or what Java, whose tables differ from Python's, doesn't know."""
+    characters, become, several = _accents(lower=True)
+    dropped = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c) in ("Cc", "Cf") and c not in "\t\n\r")
+    return characters + dropped, become, several.replace("&&[", r"&&[Σ\x{FFFD}\p{C}")
 
 
 @F.pandas_udf(StringType())
@@ -80,8 +97,8 @@ def strip_accents(text: Column, of: Column | None = None) -> Column:
     of = text if of is None else of
     characters, become, several = _accents()
     plain = F.octet_length(of) == F.length(of)
-    odd = ~plain & of.rlike(several)
-    return F.when(plain, text).when(odd, _strip_accents(F.when(odd, text))).otherwise(F.translate(text, characters, become))
+    by_python = _strip_accents(F.when(~plain & of.rlike(several), text))
+    return F.when(plain, text).otherwise(F.coalesce(by_python, F.translate(text, characters, become)))
 
 
 def split_punctuation(word: Column) -> Column:
@@ -91,9 +108,13 @@ def split_punctuation(word: Column) -> Column:
 
 def basic_tokens(text: Column) -> Column:
     """Lower-case words and punctuation characters, without accents; ideographs are words of their own. As clean(), spaced
-    ideographs, lower case, strip_accents(), white_tokens() and split_punctuation() one after another, in two passes."""
-    t = strip_accents(F.lower(F.regexp_replace(text, DROPPED, "")), text)
-    return F.regexp_extract_all(t, F.lit(WORDS), F.lit(0))
+    ideographs, lower case, strip_accents(), white_tokens() and split_punctuation() one after another, but characters are mapped
+    once and matched once. Only texts with one that has no such mapping take these steps, in two passes."""
+    characters, become, unsettled = _folded()
+    mapped = F.translate(text, characters, become)
+    settled = (F.octet_length(mapped) == F.length(mapped)) | ~text.rlike(unsettled)
+    stepwise = strip_accents(F.lower(F.regexp_replace(text, DROPPED, "")), text)
+    return F.regexp_extract_all(F.when(settled, mapped).otherwise(stepwise), F.lit(WORDS), F.lit(0))
 
 
 def pieces_of(word: str, vocab: dict[str, int], longest: int = LONGEST_WORD) -> list[str]:

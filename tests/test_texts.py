@@ -29,6 +29,26 @@ def test_basic_tokens_equal_their_steps(spark):
     assert len(got) == len(set(rows)) and [r for r in rows if got[r] != want[r]] == []
 
 
+def test_basic_tokens_of_single_characters_equal_their_steps(spark):
+    """A text for every character, so that those which are mapped in one step aren't hidden by others that take all steps."""
+    chars = [chr(c) for a, b in ((0, 0xD800), (0xE000, 0x12000), (0x13430, 0x13460), (0x16000, 0x17000), (0x1D100, 0x1D200), (0x1E000, 0x1F000), (0x2F800, 0x2FA20))
+             for c in range(a, b)]
+    df = spark.createDataFrame([(f"A{c}B {c}\u0301 É{c},",) for c in chars], "x string").repartition(4).cache()
+    lowered = F.lower(T.spaced_ideographs(T.clean(F.col("x"))))
+    steps = df.select("x", T._strip_accents(lowered).alias("t")).select("x", F.flatten(F.transform(T.white_tokens(F.col("t")), T.split_punctuation)).alias("want"))
+    wrong = steps.withColumn("got", T.basic_tokens(F.col("x"))).where("not got <=> want")
+    assert wrong.take(5) == [] and df.count() == len(chars)
+
+
+def test_only_unsettled_texts_take_all_steps(spark, monkeypatch):
+    x = F.col("x")
+    monkeypatch.setattr(T, "strip_accents", lambda *_: F.lit("by steps"))
+    latin = ["Plain, text\x00s", "L'ÉCOLE straße İ\xad\x85½", "Ạ Привет “x”", "e\u0301 漢字", ""]
+    assert values(spark, T.basic_tokens(x), latin) == [
+        ["plain", ",", "texts"], ["l", "'", "ecole", "straße", "i½"], ["a", "привет", "“", "x", "”"], ["e", "漢", "字"], []]
+    assert values(spark, T.basic_tokens(x), ["ΟΔΟΣ", "한", "a\u200bé", "\ufffd", "\u302e\u0301", "\U0010fffe"]) == [["by", "steps"]] * 6
+
+
 def test_only_what_counts_goes_to_python(spark, monkeypatch):
     vocab = T.load_vocabulary(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "##a"])
     seen = spark.createDataFrame([(["", None, "a" * 100_000, *["a"] * 5000],)], "tokens array<string>")
